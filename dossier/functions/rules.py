@@ -95,12 +95,12 @@ def stronger_role(roles: Column) -> Column:
         return F.when(keep, a).when(take | (rank(b) > rank(a)), b).otherwise(a)
 
     ordered = F.array_sort(roles)
-    return F.aggregate(F.slice(ordered, 2, 1 << 20), F.element_at(ordered, 1), step)["category"]
+    return F.aggregate(F.slice(ordered, 2, 1 << 20), F.try_element_at(ordered, F.lit(1)), step)["category"]
 
 
 def seniority(works: Column, h: Column, first: Column, last: Column, years_here: Column, name: Column, as_of_year: int) -> Column:
     """Whether a publication record alone speaks for an established researcher at this place."""
     here = F.array_distinct(F.coalesce(years_here, F.array().cast("array<int>")))
-    spelled = F.length(F.replace(F.element_at(F.split(F.trim(F.coalesce(name, F.lit(""))), r"\s+"), 1), F.lit("."), F.lit(""))) >= 3
+    spelled = F.length(F.replace(F.get(F.split(F.trim(F.coalesce(name, F.lit(""))), r"\s+"), F.lit(0)), F.lit("."), F.lit(""))) >= 3
     record = (F.coalesce(works, F.lit(0)) >= 15) & (F.coalesce(h, F.lit(0)) >= 8) & (F.coalesce(as_of_year - first, F.lit(0)) >= 8)
     return record & (F.coalesce(last, F.lit(0)) >= as_of_year - 2) & (F.size(here) >= 4) & F.exists(here, lambda y: y >= as_of_year - 2) & spelled

@@ -54,7 +54,7 @@ def ordered_name_key(c: Column | str) -> Column:
 def short_name_keys(c: Column | str) -> Column:
     """Initial of one end and the other end whole, if that has three letters at least: both ways, distinct."""
     t = F.filter(F.split(ordered_name_key(c), " "), lambda x: x != "")
-    first, last = F.element_at(t, 1), F.element_at(t, -1)
+    first, last = F.try_element_at(t, F.lit(1)), F.try_element_at(t, F.lit(-1))
     pair = lambda whole, other: F.when((F.size(t) >= 2) & (F.length(whole) >= 3), F.concat(F.substring(other, 1, 1), F.lit(" "), whole))
     return F.array_distinct(F.array_compact(F.array(pair(last, first), pair(first, last))))
 

@@ -17,7 +17,7 @@ def same_institution(name: Column, id_: Column, other: Column) -> Column:
 
 def assessment(name: Column, id_: Column, last_known: Column, history: Column, as_of_year: int) -> Column:
     """struct(status, name, id, last_seen). last_known: array of struct(id, name, lineage); history: the same with years."""
-    ours = F.element_at(F.filter(history, lambda h: same_institution(name, id_, h)), 1)
+    ours = F.get(F.filter(history, lambda h: same_institution(name, id_, h)), F.lit(0))
     here = F.coalesce(F.array_max(ours["years"]), F.lit(0))
     still = F.filter(last_known, lambda k: same_institution(name, id_, k))
     first = F.get(last_known, F.lit(0))

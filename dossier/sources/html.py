@@ -124,7 +124,7 @@ def emails(text: Column) -> Column:
 def personal_email(addresses: Column, name_tokens: Column) -> Column:
     """The address that fits a name best: the surname counts 10, other words 3 each, no general mailbox; the shorter one among equals."""
     box = lambda a: F.substring_index(a, "@", 1)
-    last = F.element_at(name_tokens, -1)
+    last = F.try_element_at(name_tokens, F.lit(-1))
 
     def score(a: Column) -> Column:
         words = F.size(F.filter(name_tokens, lambda t: (F.length(t) >= 3) & F.contains(box(a), t)))
