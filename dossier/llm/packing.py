@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm import buffers as B
 from dossier.llm import tokens
-from dossier.llm.common import lines, positions, prepare
+from dossier.llm.common import cut, lines, positions, prepare
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -164,7 +164,8 @@ def _placed(plan):
 def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """The pieces with sequence_id and offset."""
     spark = docs.sparkSession
-    rows, _ = positions(pieces(docs, path, end_id, capacity), ["length", "doc_id", "piece"])
+    # cut first: a range partitioning reads its input twice, and texts are encoded once
+    rows, _ = positions(cut(pieces(docs, path, end_id, capacity)), ["length", "doc_id", "piece"])
     per = rows.groupBy("part", "length").agg(F.count("*").alias("n"), F.min("pos").alias("low")).collect()  # as many as parts and lengths at most
     counts: dict[int, int] = {}
     shift = []
