@@ -113,12 +113,12 @@ def test_order(spark):
 
 
 def test_mining(spark):
-    df = spark.createDataFrame([("A µPalm EmStat4S and EmStat here. Nothing. Dr. Ann Example met Prof Bo Other.",)], "t string")
-    found = mining.detect(df, "t", [("palm", "Palm", "EmStat[0-9A-Z]*"), ("none", "zzz", "z+")], "f").first().f
-    assert [(x.brand, x.model) for x in found] == [("palm", "EmStat4S")]
+    df = spark.createDataFrame([("A µZorb Cellar4S and Cellar here. Nothing. Dr. Ann Example met Prof Bo Other.",)], "t string")
+    found = mining.detect(df, "t", [("zorb", "Zorb", "Cellar[0-9A-Z]*"), ("none", "zzz", "z+")], "f").first().f
+    assert [(x.brand, x.model) for x in found] == [("zorb", "Cellar4S")]
     assert one(spark, mining.mentions(F.col("t")), t="Dr. Ann Example met Prof Bo Other and Dr. Ann Example") == ["Ann Example", "Bo Other"]
     assert one(spark, mining.methods_section(F.col("t")), t="Intro\nMethods\nshort\nResults\nx\nMaterials and Methods\nmuch longer text\nReferences\n") == "much longer text"
-    assert one(spark, mining.snippets(F.col("t"), ["SP200"]), t="We used SP-200 here. Other SP2001. The SP 200.") == ["We used SP-200 here.", "The SP 200."]
+    assert one(spark, mining.snippets(F.col("t"), ["QX200"]), t="We used QX-200 here. Other QX2001. The QX 200.") == ["We used QX-200 here.", "The QX 200."]
 
 
 def test_scores(spark):
