@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.text import squeeze
@@ -43,6 +43,40 @@ DEPARTMENTS = [
     (r"\b(mechanical|manufactur|production\s+eng|industrial\s+eng|automobile)\b", "mechanical"),
 ]
 TOPIC_SHARE = 0.4
+#: Domains that are kept, those that need a term on corrosion, departments that are known and not kept.
+KEPT = ["chemistry", "biology", "biotechnology", "chemical_engineering", "biochemical_engineering", "materials", "energy", "electrical"]
+GATED = ["civil", "mechanical"]
+NOT_KEPT = [
+    r"\bphysics\b", r"\b(computer|computing|informatics|information technology|data science|artificial intelligence)\b", r"\b(communication|instrumentation|control)\b", r"\b(mathematic|statistic)",
+    r"\b(humanities|social|economics|management|business|liberal arts|linguistics|philosophy|design school|industrial design|education)\b",
+    r"\b(aerospace|aeronautic|ocean|naval|earth science|geolog|geophysic|atmospher|climate|mining|petroleum|textile|agricultur|food)\b",
+]
+#: Patterns of topic names and their domains, in the order in which they are tried.
+TOPICS = [
+    (r"\b(nuclear|particle|high[-\s]energy|astro\w*|cosmolog|gravitation|quantum\s+(field|chromo)|plasma\s+physics|string\s+theory)\b", "other"),
+    (r"\bbiochemical\s+engineering\b", "biochemical_engineering"),
+    (r"\bchemical\s+engineering\b", "chemical_engineering"),
+    (r"\belectrochemistry\b", "chemistry"),
+    (r"\bchemistry\b", "chemistry"),
+    (r"\bbiotechnology\b", "biotechnology"),
+    (r"\bbiomedical\s+engineering\b", "biotechnology"),
+    (r"\bbioengineering\b", "biotechnology"),
+    (r"\b(biochemistry|genetics|molecular\s+biology|immunology|microbiology|biological\s+sciences|agricultural\s+and\s+biological|neuroscience|cell\s+biology|pharmacolog)", "biology"),
+    (r"\b(materials?\s+(science|chemistry)|metals?\s+and\s+alloys|ceramics|polymers|nanotechnology|surfaces|electronic,?\s+optical)", "materials"),
+    (r"\b(energy|fuel\s+technology|renewable|electrochemical\s+energy)\b", "energy"),
+    (r"\b(electrical\s+and\s+electronic|electronic,?\s+optical\s+and\s+magnetic|signal\s+processing|hardware\s+and\s+architecture)\b", "electrical"),
+    (r"\b(civil\s+and\s+structural|building\s+and\s+construction|geotechnical|ocean\s+engineering)\b", "civil"),
+    (r"\b(mechanical\s+engineering|mechanics\s+of\s+materials|industrial\s+and\s+manufacturing|automotive)\b", "mechanical"),
+]
+#: Terms that open the gate for electrochemical work, those that do so alone, and terms on corrosion.
+ELECTRO_TERMS = ["electrochem", "potentiostat", "galvanostat", "voltammetr", "impedance spectroscopy", "electroanalytical", "biosensor", "electrocatal", "photoelectrochem", "battery", "batteries", "supercapacitor", "fuel cell", "electrolys", "electrolyzer", "electrodeposition", "corrosion", "electrode"]
+STRONG_TERMS = ["potentiostat", "galvanostat", "voltammetr", "electroanalytical", "impedance spectroscopy"]
+CORROSION_TERMS = [
+    "corrosion", "corrosive", "anti-corrosion", "anticorrosion", "cathodic protection", "anodic protection", "rebar", "reinforcement corrosion", "chloride ingress", "chloride penetration", "carbonation",
+    "concrete durability", "durability of concrete", "passivation", "passive film", "pitting", "galvanic", "coating degradation", "protective coating", "inhibitor", "electrochemical", "impedance spectroscopy",
+    "polarization", "polarisation", "biofouling", "microbiologically influenced", "stress corrosion", "hydrogen embrittlement", "erosion-corrosion", "tribocorrosion",
+]
+GATE_TERMS, GATE_WORKS = 2, 3
 
 _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
@@ -83,6 +117,56 @@ def department_domain(department: Column) -> Column:
     return first_of(F.trim(F.coalesce(department, F.lit(""))), DEPARTMENTS, "other")
 
 
+def terms_in(text: Column, terms: list[str]) -> Column:
+    """The terms that a text holds, whatever the case, in the order of the list."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))
+
+
+def _works(topic: Column) -> Column:
+    return F.when(topic["count"] > 0, topic["count"]).otherwise(1).cast("long")
+
+
+VOTES = "array<struct<domain:string,n:bigint>>"
+
+
+def topic_votes(topics: Column) -> Column:
+    """Domain and works of each topic of array<struct(name, count, subfield, field)>: the subfield's domain, else the field's, else the name's."""
+
+    def own(t: Column) -> Column:
+        return F.coalesce(*(F.when(F.coalesce(t[part], F.lit("")) != "", first_of(t[part], TOPICS, None)) for part in ("subfield", "field", "name")), F.lit("other"))
+
+    return F.coalesce(F.transform(topics, lambda t: F.struct(own(t).alias("domain"), _works(t).alias("n"))), F.array().cast(VOTES))
+
+
+def voted_domain(votes: Column) -> Column:
+    """The domain with the most works if it has its share of all; the one seen first among equals, never `other`."""
+    count = lambda vs: F.aggregate(vs, F.lit(0).cast("long"), lambda s, v: s + v["n"])
+    named = F.filter(F.array_distinct(F.transform(votes, lambda v: v["domain"])), lambda d: d != "other")
+    sums = F.transform(named, lambda d: F.struct(count(F.filter(votes, lambda v: v["domain"] == d)).alias("n"), d.alias("domain")))
+    best = F.aggregate(sums, F.struct(F.lit(0).cast("long").alias("n"), F.lit("other").alias("domain")), lambda a, b: F.when(b["n"] > a["n"], b).otherwise(a))
+    return F.aggregate(F.array(best), F.lit("other"), lambda s, b: F.when(b["n"] >= TOPIC_SHARE * count(votes), b["domain"]).otherwise(s))
+
+
+def with_domain(df: DataFrame, department: Column, topics: Column, text: Column, name: str = "decision") -> DataFrame:
+    """df with struct(domain, kept, gate, terms). A known department decides, topics speak only for an unknown one; some domains need a term on corrosion, all others electrochemical work.
+
+    What patterns find is in columns of its own, one after another, so each runs once a row."""
+    on_topic = F.filter(topics, lambda t: F.concat_ws(" ", t["subfield"], t["name"]).rlike("(?i)electrochem"))
+    works = F.coalesce(F.aggregate(on_topic, F.lit(0).cast("long"), lambda s, t: s + _works(t)), F.lit(0))
+    found = {"__stated": department_domain(department), "__votes": topic_votes(topics), "__corrosion": terms_in(text, CORROSION_TERMS), "__electro": terms_in(text, ELECTRO_TERMS), "__works": works}
+    found["__refused"] = F.trim(F.coalesce(department, F.lit(""))).rlike(any_pattern(NOT_KEPT))
+    corrosion, electro, many = F.col("__corrosion"), F.col("__electro"), F.col("__works") >= GATE_WORKS
+    voted = F.when((F.col("__stated") != "other") | F.col("__refused"), F.col("__stated")).otherwise(voted_domain(F.col("__votes")))
+    domain, gate = F.col("__domain"), F.col("__gate")
+    opened = (F.size(electro) >= GATE_TERMS) | F.arrays_overlap(electro, F.array(*map(F.lit, STRONG_TERMS))) | many
+    opens = F.when(domain.isin(GATED) & (F.size(corrosion) > 0), "corrosion").when(~domain.isin(KEPT + GATED) & opened, "electrochemistry")
+    by_works = F.when(many & ~F.array_contains(electro, "electrochem"), F.array_prepend(electro, "electrochemistry topics")).otherwise(electro)
+    terms = F.when(gate == "corrosion", corrosion).when(gate == "electrochemistry", by_works)
+    out = F.struct(domain.alias("domain"), (domain.isin(KEPT) | gate.isNotNull()).alias("kept"), gate.alias("gate"), terms.alias("terms"))
+    return df.withColumns(found).withColumn("__domain", voted).withColumn("__gate", opens).withColumn(name, out).drop(*found, "__domain", "__gate")
+
+
 def stronger_role(roles: Column) -> Column:
     """Folds an array of struct(seq, source, category) in order of seq. A page's faculty title stands against an exclusion from elsewhere; else the higher rank, the earlier one among equals."""
     page = lambda r: r["source"].isin("faculty_page", "registry")

@@ -59,6 +59,21 @@ def short_name_keys(c: Column | str) -> Column:
     return F.array_distinct(F.array_compact(F.array(pair(last, first), pair(first, last))))
 
 
+def name_tokens(c: Column | str) -> Column:
+    """Words of a name in their order, without titles."""
+    return F.filter(F.split(F.regexp_replace(F.lower(col(c)), r"[^\p{L}\p{N}]+", " "), " "), lambda t: (t != "") & ~t.isin("dr", "prof", "mr", "ms", "mrs"))
+
+
+def same_person(a: Column, b: Column) -> Column:
+    """Whether two lists of name tokens may name one person: the last ones equal, and the first ones equal, one the other's initial, or any other word shared. Null and empty lists fit nobody."""
+    end = F.lit(-1)
+    first = lambda t: F.try_element_at(t, F.lit(1))
+    initial = lambda x, y: (F.length(x) == 1) & F.startswith(y, x)
+    rest = lambda t: F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0)))
+    close = (first(a) == first(b)) | initial(first(a), first(b)) | initial(first(b), first(a)) | F.arrays_overlap(rest(a), rest(b))
+    return F.coalesce((F.try_element_at(a, end) == F.try_element_at(b, end)) & close, F.lit(False))
+
+
 def institution_key(c: Column | str) -> Column:
     """What tells an institution from others; null if nothing does."""
     text = F.regexp_replace(fold(c), r"[^a-z0-9\s]", " ")

@@ -23,8 +23,8 @@ def vote(df: DataFrame, by: str, choice: Column, weight: Column, otherwise: str,
     """The choice with the most weight in each group if that is a share of all weights; `otherwise` never wins over a choice, and ties go to the smaller one."""
     sums = df.groupBy(by, choice.alias("choice")).agg(F.sum(weight).alias("w"))
     real = F.col("choice") != otherwise
-    best = F.max_by("choice", F.when(real, F.struct("w", F.bitwise_not(F.ascii("choice")).alias("t"))))
-    out = sums.groupBy(by).agg(best.alias("winner"), F.max(F.when(real, F.col("w"))).alias("votes"), F.sum("w").alias("total"))
+    best = F.min(F.when(real, F.struct((-F.col("w")).alias("w"), "choice")))
+    out = sums.groupBy(by).agg(best.alias("best"), F.sum("w").alias("total")).select(by, F.col("best.choice").alias("winner"), (-F.col("best.w")).alias("votes"), "total")
     return out.select(by, F.when(F.col("votes") >= share * F.col("total"), F.col("winner")).otherwise(otherwise).alias("winner"), "total")
 
 

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 SKIPPED = {"script", "style", "noscript", "template"}
 BLOCKS = {"p", "div", "li", "ul", "ol", "tr", "td", "th", "table", "h1", "h2", "h3", "h4", "h5", "h6", "br", "section", "article", "nav", "header", "footer", "title", "dt", "dd"}
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+# Beginnings of addresses that are nobody's own.
+GENERAL_BOXES = [
+    "registrar", "hod", "head", "office", "admin", "administrator", "info", "enquiry", "enquiries", "contact", "webmaster", "web", "dean", "director", "principal", "secretary", "support", "help", "helpdesk",
+    "noreply", "no-reply", "postmaster", "library", "accounts", "finance", "admission", "admissions", "placement", "training", "chairman", "convenor", "coordinator", "department", "dept", "chemistry", "physics", "office365",
+]
 _NAME = re.compile(r"^(?:(?:Dr|Prof|Professor|Mr|Mrs|Ms)\.?\s+)?[A-Z][a-zA-Z'.\-]+(?:\s+[A-Z][a-zA-Z'.\-]*){1,4}$")
 _TITLE = re.compile(r"\b(professor|lecturer|reader|scientist|fellow|head|dean|director)\b", re.I)
 # Words of link texts and paths that speak for a page of people, with their scores.
@@ -122,16 +127,18 @@ def emails(text: Column) -> Column:
 
 
 def personal_email(addresses: Column, name_tokens: Column) -> Column:
-    """The address that fits a name best: the surname counts 10, other words 3 each, no general mailbox; the shorter one among equals."""
-    box = lambda a: F.substring_index(a, "@", 1)
+    """The address that fits a name best: the surname counts 10, each word 3, an initial before the surname 6, no general mailbox; the shorter one among equals, then the first by letters."""
+    box = lambda a: F.regexp_replace(F.substring_index(a, "@", 1), "[^a-z0-9]", "")
     last = F.try_element_at(name_tokens, F.lit(-1))
+    start = F.concat(F.substring(F.try_element_at(name_tokens, F.lit(1)), 1, 1), last)
 
     def score(a: Column) -> Column:
-        words = F.size(F.filter(name_tokens, lambda t: (F.length(t) >= 3) & F.contains(box(a), t)))
-        points = 3 * words + F.when((F.length(last) >= 3) & F.contains(box(a), last), 7).otherwise(0)
-        return F.when(box(a).rlike(r"^(info|contact|office|admin|webmaster|enquiry|hod|dean|director|registrar)\b"), 0).otherwise(points)
+        words = 3 * F.size(F.filter(name_tokens, lambda t: F.contains(box(a), t)))
+        points = words + F.when(F.contains(box(a), last), 10).otherwise(0) + F.when(F.startswith(box(a), start), 6).otherwise(0)
+        return F.when(F.lower(a).rlike(rf"^({'|'.join(GENERAL_BOXES)})"), 0).otherwise(points)
 
-    ranked = F.array_sort(F.transform(F.filter(addresses, lambda a: score(a) > 0), lambda a: F.struct((-score(a)).alias("s"), F.length(a).alias("n"), a.alias("a"))))
+    own = F.array_distinct(F.transform(addresses, lambda a: F.lower(F.trim(a))))
+    ranked = F.array_sort(F.transform(F.filter(own, lambda a: score(a) > 0), lambda a: F.struct((-score(a)).alias("s"), F.length(a).alias("n"), a.alias("a"))))
     return F.get(ranked, F.lit(0))["a"]
 
 

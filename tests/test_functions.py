@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import fuzzy, rules, scoring, text, where
-from dossier.operators import affiliation, identity, mining, order, store
-from dossier.sources import files, html
+from dossier.operators import affiliation, identity, mining, order, roster, store
+from dossier.sources import files, html, records
 
 
 def one(spark, column, **values):
@@ -159,3 +159,78 @@ def test_files(spark, tmp_path):
     feed = "<rss><channel><item><title>T</title><link>L</link><pubDate>Mon, 02 Jan 2023 10:00:00 +0000</pubDate></item></channel></rss>"
     item = files.feed_items(spark.createDataFrame([(1, feed)], "k int, xml string"), "k", "xml").first()
     assert (item.title, item.link, item.published.year) == ("T", "L", 2023)
+
+
+TOPIC = "name string, count long, subfield string, field string"
+
+
+@pytest.mark.parametrize(
+    ("department", "topics", "words", "want"),
+    [
+        ("Chemistry", [], "", ("chemistry", True, None)),
+        ("Civil Engineering", [], "rebar Corrosion", ("civil", True, "corrosion")),
+        ("Civil Engineering", [], "bridges", ("civil", False, None)),
+        ("Physics", [("x", 9, "Chemistry", None)], "", ("other", False, None)),
+        ("Physics", [], "a potentiostat", ("other", True, "electrochemistry")),
+        (None, [("x", 4, "Biotechnology", None), ("y", 6, None, "Nuclear and High Energy Physics")], "", ("biotechnology", True, None)),
+        (None, [("x", 3, "Biotechnology", None), ("y", 6, None, "Poetry")], "", ("other", False, None)),
+        (None, [("x", 2, None, "Materials Science"), ("y", 2, "Chemistry", None)], None, ("materials", True, None)),
+        (None, None, None, ("other", False, None)),
+    ],
+)
+def test_domain_decisions(spark, department, topics, words, want):
+    df = spark.createDataFrame([(department, topics, words)], f"d string, t array<struct<{TOPIC.replace(' string', ':string').replace(' long', ':bigint')}>>, w string")
+    x = rules.with_domain(df, F.col("d"), F.col("t"), F.col("w"), "x").first().x
+    assert (x.domain, x.kept, x.gate) == want
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("S. Tal", "Sid Tal", True), ("Anil Kum", "Sunil Kum", False), ("M Anil Kum", "Anil Kum", True), ("Ann Example", "Ann Other", False), ("", "Ann", False), (None, "Ann", False)])
+def test_same_person(spark, a, b, same):
+    got = text.same_person(text.name_tokens(F.lit(a).cast("string")), text.name_tokens(F.lit(b)))
+    assert one(spark, got) is same
+
+
+def test_roster(spark):
+    domain = F.struct(F.lit(False).alias("kept"))
+    outcome = lambda role, senior, pinned=False, **more: tuple(one(spark, roster.decision(F.lit(role), F.lit(senior), domain, F.lit(pinned), **more)))
+    assert outcome("professor", False) == ("excludedDomain", "professor") and outcome("professor", False, True) == ("kept", "professor")
+    assert outcome("unknown", True) == ("excludedDomain", "inferred") and outcome("unknown", True, infer=False) == ("droppedUnconfirmed", "unknown")
+    assert outcome("excluded", True, True) == ("excludedRole", "excluded") and outcome("excluded", True, stale_title=F.lit(True)) == ("excludedDomain", "inferred")
+    members = spark.createDataFrame([("a", "", 3, ["x"], "excluded"), ("b", "t", 9, None, "promoted")], "k string, title string, works int, topics array<string>, status string")
+    drafts = spark.createDataFrame([("a", "new", 2, ["x", "y"]), ("b", "new", None, ["z"]), ("c", None, 1, None)], "k string, title string, works int, topics array<string>")
+    got = sorted(map(tuple, roster.merge_members(members, drafts, "k", ["title"], ["works"], {"topics": 2}).collect()))
+    assert got == [("a", "new", 3, ["x", "y"], "eligible", "updated"), ("b", "t", 9, ["z"], "promoted", "updated"), ("c", None, 1, [], "eligible", "created")]
+    again = roster.merge_members(members.limit(0), drafts, "k", ["title"], ["works"], {"topics": 2})
+    assert {r.change for r in again.collect()} == {"created"}
+
+
+def test_sweep(spark):
+    members = spark.createDataFrame([(1, "ann"), (2, "bo")], "id int, name string")
+    seen = spark.createDataFrame([(1, "ann", "Zorb", None), (2, "ann", "Zorb", "X1"), (3, "ann", "Zorb", "x1"), (4, "cy", "Zorb", None), (5, "bo", "Q", None)], "seq int, who string, brand string, model string")
+    tagged, unknown = roster.swept(members, seen, [("name", [F.col("who")], [F.col("name")])], "id", "seq", "brand", "model")
+    assert {r.id: [tuple(x) for x in r.instruments] for r in tagged.collect()} == {1: [("Zorb", "X1")], 2: [("Q", None)]}
+    assert [r.who for r in unknown.collect()] == ["cy"]
+
+
+def test_captured_works(spark):
+    place = lambda k: ("https://x.org/" + k, k.upper(), "XX")
+    author = lambda k, corresponding, *at: ((k, k, "https://orcid.org/0"), corresponding, [place(p) for p in at], ["raw"])
+    rows = [
+        ("w1", None, "T", 2020, [("t",), (None,)], {"b": [1], "a": [0]}, [author("p", True, "far"), author("q", False, "far", "here"), author("r", True, "here")]),
+        ("w2", "doi", None, 2020, None, None, [author("p", None), author("q", True)]),
+        ("w3", None, "T", 2020, None, None, []),
+        ("w4", None, "T", 2020, None, None, None),
+    ]
+    works = spark.createDataFrame(rows, records.WORKS)
+    got = {r.source_url: r for r in records.work_candidates(works, ["here"]).collect()}
+    assert (got["w1"].name, got["w1"].institution_name, got["w1"].evidence_text, got["w1"].topics, got["w1"].orcid) == ("r", "HERE", "T. a b", ["t"], "0")
+    assert (got["doi"].name, got["doi"].institution_name, got["doi"].publications) == ("q", "raw", []) and len(got) == 2
+    assert sorted(r.name for r in records.work_candidates(works, ["here"], every=True).collect()) == ["q", "r"]
+
+
+def test_awards(spark):
+    rows = [("1", "Ann", "Example", "A@X.org", "U", "T", "12000 USD", "01/02/2021", "abs"), ("2", None, "", None, "U", "T", "1", "x", None), ("3", "Bo", None, None, None, None, "none", None, None)]
+    awards = spark.createDataFrame(rows, "id string, first_name string, last_name string, email string, awardee string, title string, amount string, start string, abstract string")
+    got = {r.name: r for r in records.award_grants(awards).collect()}
+    assert set(got) == {"Ann Example", "Bo"} and (got["Ann Example"].grant.amount, got["Ann Example"].grant.year, got["Ann Example"].evidence_text) == (12000.0, 2021, "T. abs")
+    assert (got["Bo"].grant.amount, got["Bo"].grant.year) == (None, None)

@@ -1,9 +1,10 @@
 import duckdb
 import pytest
 
+import dossier.plans.people  # noqa: F401
 from dossier.plans.queries import ORACLE_SQL, QUERIES
 
-TABLES = "customer supplier part orders lineitem events documents pages labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
 
 
 @pytest.fixture(scope="module")
