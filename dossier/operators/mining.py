@@ -18,13 +18,13 @@ AFTER_METHODS = "results and discussion|results|discussion|conclusions?|acknowle
 def detect(df: DataFrame, text: str, lexicon: list[tuple[str, str, str]], name: str, limit: int = 12) -> DataFrame:
     """df with an array<struct(brand, model, evidence)> of at most `limit`: for each brand (name, brand pattern, model pattern) that the text names its models, the most specific ones only, or the brand alone.
 
-    Matches and their sorted models are columns of their own before anything looks at them twice: each pattern runs once a row, and a model is compared with
-    its neighbour in the order only."""
+    Matches and their sorted models are columns of their own before anything looks at them twice: each pattern runs once a row, models are looked for only in
+    texts that name their brand, and a model is compared with its neighbour in the order only."""
     hits, models, entries = {}, {}, []
     for k, (brand, brand_pattern, model_pattern) in enumerate(lexicon):
-        hits[f"__hit{k}"] = F.regexp_extract(text, "(?i)" + EDGES.format(f"(?:{brand_pattern})"), 0)
+        hits[f"__hit{k}"] = F.coalesce(F.regexp_extract(text, "(?i)" + EDGES.format(f"(?:{brand_pattern})"), 0), F.lit(""))  # a null text names nothing
         every = F.filter(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("(" + EDGES.format(f"(?:{model_pattern})") + ")"), F.lit(1))), lambda m: F.length(m) >= 3)
-        models[f"__models{k}"] = F.array_sort(F.transform(every, lambda m, i: F.struct(F.lower(m).alias("low"), i.alias("at"), m.alias("m"))))
+        models[f"__models{k}"] = F.when(F.col(f"__hit{k}") != "", F.array_sort(F.transform(every, lambda m, i: F.struct(F.lower(m).alias("low"), i.alias("at"), m.alias("m")))))
         entries.append(_entries(text, brand, f"__hit{k}", f"__models{k}", limit))
     found = df.withColumns(hits).withColumns(models)
     return found.withColumn(name, F.slice(F.flatten(F.array(*entries)), 1, limit)).drop(*hits, *models)

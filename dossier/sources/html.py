@@ -122,8 +122,10 @@ def page_people(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 
 
 def emails(text: Column) -> Column:
-    """Addresses in their order, distinct, in lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({EMAIL})"), F.lit(1)), F.lower))
+    """Addresses in their order, distinct, in lower case. A match begins where a run of mailbox characters does, or where the last match ends, so a run is looked at once; texts without an @ aren't searched."""
+    begin, rest = r"(?:(?<![A-Za-z0-9._%+\-])|\G)", EMAIL.replace("+@", "++@", 1)
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({begin}{rest})"), F.lit(1)), F.lower))
+    return F.when(F.contains(text, F.lit("@")), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def personal_email(addresses: Column, name_tokens: Column) -> Column:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +236,14 @@ def test_awards(spark):
     got = {r.name: r for r in records.award_grants(awards).collect()}
     assert set(got) == {"Ann Example", "Bo"} and (got["Ann Example"].grant.amount, got["Ann Example"].grant.year, got["Ann Example"].evidence_text) == (12000.0, 2021, "T. abs")
     assert (got["Bo"].grant.amount, got["Bo"].grant.year) == (None, None)
+
+
+@pytest.mark.parametrize("t", ["a@b.com.x@y.org", "x a.b+c@D.org, A.b+c@d.org;e@f", "no address", "@x.org q@-.ab", "aaaa" * 50 + "@b.cd", "a@b@c.de", ""])
+def test_emails_are_those_of_the_plain_pattern(spark, t):
+    assert one(spark, html.emails(F.col("t")), t=t) == list(dict.fromkeys(x.lower() for x in re.findall(html.EMAIL, t)))
+
+
+def test_models_only_with_their_brand(spark):
+    df = spark.createDataFrame([("X1 alone",), ("Zorb X1 X1b",), (None,)], "t string")
+    found = [r.f for r in mining.detect(df, "t", [("zorb", "Zorb", "X1[a-z]?")], "f").collect()]
+    assert found[0] == [] and [x.model for x in found[1]] == ["X1b"] and found[2] == []
