@@ -31,6 +31,8 @@ SAMPLE, STEMS = 4000, 20_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t"}
+#: Characters of the runs whose readings a worker remembers, at most.
+REMEMBERED = 100
 #: Log costs: reading a sign as a letter, dropping it, closing a gap.
 AS_LETTER, DROP, CLOSE = -1.0, -3.0, -1.0
 
@@ -46,7 +48,7 @@ _LOWER = B.LOWER.copy()
 _LOWER[0x80:0x9F] += 0x20  # the second byte of accented capitals
 _CODES = B.CODES[_LOWER]
 
-RUNS = re.compile(r"(?<![a-z])[a-z](?:[ .\-_*]{1,2}[a-z](?![a-z])){2,}|(?<![a-z0-9@$!+])[a-z]*[0-9@$!+][a-z0-9@$!+]*[a-z0-9@$]|[a-z]*([a-z])\1\1[a-z]*")
+RUNS = re.compile(r"(?<![a-z])[a-z](?:[ .\-_*]{1,2}[a-z](?![a-z])){2,}|(?<![a-z0-9@$!+])[a-z]*[0-9@$!+][a-z0-9@$!+]*[a-z0-9@$]|(?<![a-z])[a-z]*([a-z])\1\1[a-z]*")
 
 
 def trigrams(batches):
@@ -85,30 +87,34 @@ def lattice(run: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(places: list[list[tuple[str, float]]], model: np.ndarray) -> str:
-    """The likeliest reading. A state is the last two letters; equal states keep the better path, the first one among equals."""
+    """The likeliest reading. A state is the last two letters and keeps its better path, the first one among equals; paths share their beginnings, so a run of any length is read in linear time."""
     code = lambda c: ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
-    states = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for readings in places:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in states.items():
             for c, cost in readings:
                 key, s = ((a, b), score + cost) if not c else ((b, x := code(c)), score + cost + model[a, b, x])
                 if key not in after or s > after[key][0]:
-                    after[key] = (s, text + c)
+                    after[key] = (s, (path, c) if c else path)
         states = after
-    return max(((s + model[a, b, 0], t) for (a, b), (s, t) in states.items()), key=lambda x: x[0])[1]
+    path, letters = max(((s + model[a, b, 0], p) for (a, b), (s, p) in states.items()), key=lambda x: x[0])[1], []
+    while path:
+        path, c = path
+        letters.append(c)
+    return "".join(reversed(letters))
 
 
 def restorer(model: np.ndarray):
     """text -> text with its suspicious runs read anew."""
 
-    @lru_cache(1 << 16)
     def read(run: str) -> str:
         if not any("a" <= c <= "z" for c in run):
             return run
         return viterbi(lattice(run), model)
 
-    return lambda text: RUNS.sub(lambda m: read(m[0]), text.lower())
+    often = lru_cache(1 << 16)(read)
+    return lambda text: RUNS.sub(lambda m: (often if len(m[0]) <= REMEMBERED else read)(m[0]), text.lower())
 
 
 def suspicious(data: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -359,3 +359,18 @@ def test_pipeline(spark, sf, docs, labels):
     best = components(sets(rows))
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == {i for i in best if best[i] == i}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "minhash", "packing"]
+
+
+def test_long_runs():
+    """Runs without a space: a reading of 120,000 characters ends, and paths are the same whichever stretches are probed together."""
+    model = np.log(np.random.default_rng(3).dirichlet(np.ones(28), (28, 28)))
+    restore = toxicity.restorer(model)
+    run = "h4t" * 40_000
+    assert set(restore(run)) <= set("hat") and len(restore(run)) >= 2 * 40_000
+    slow = {n: sentencepieces.Encoder(path("piece_bpe_32k.model")).pieces.best(np.frombuffer(("▁" + "banana" * n).encode("utf-32-le"), np.uint32).astype(np.uint64)[None])[0] for n in (3, 300)}
+    kept, sentencepieces.STRETCH = sentencepieces.STRETCH, 7
+    try:
+        for n, ids in slow.items():
+            assert sentencepieces.Encoder(path("piece_bpe_32k.model")).pieces.best(np.frombuffer(("▁" + "banana" * n).encode("utf-32-le"), np.uint32).astype(np.uint64)[None])[0] == ids
+    finally:
+        sentencepieces.STRETCH = kept
