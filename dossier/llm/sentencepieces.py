@@ -24,6 +24,8 @@ from dossier.llm.tokens import Units
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Units of one length that advance together, at most.
 TOGETHER = 4096
+#: Places of a unit whose pieces are probed at once.
+STRETCH = 1 << 15
 
 
 def _hash(points: np.ndarray) -> int:
@@ -54,6 +56,24 @@ class Pieces:
         own = [b"" if model.is_control(i) or model.is_unknown(i) else bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.vocab_size())]
         self.flat, self.at = np.frombuffer(b"".join(own), np.uint8), np.r_[0, np.cumsum([len(b) for b in own])]
 
+    def _probed(self, sums: np.ndarray, power: np.ndarray, first: int, ends: int, widest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the pieces that end at each place from first to ends, the widest ones first; -inf where there is none, -1 for a character without a piece."""
+        gain = np.full((widest, ends - first, sums.shape[1]), -np.inf, np.float32)
+        found = np.full(gain.shape, -1, np.int32)
+        gain[-1] = self.unknown
+        for w in range(1, widest + 1):
+            low = max(first, w)
+            if low >= ends:
+                break
+            key = sums[low:ends] - sums[low - w : ends - w] * power[w]
+            end, row = np.nonzero(self.maybe[key >> np.uint64(44)])
+            key = key[end, row]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            place = (widest - w, end[hit] + low - first, row[hit])
+            gain[place], found[place] = self.scores[at[hit]], self.ids[at[hit]]
+        return gain, found
+
     def best(self, words: np.ndarray) -> list[list[int]]:
         """Ids of the best path of each row of code points."""
         n, size = words.shape
@@ -61,26 +81,17 @@ class Pieces:
         power = B.powers(int(BASE), self.longest + 1)
         for k in range(size):
             sums[k + 1] = sums[k] * BASE + words[:, k] + np.uint64(1)
-        score = np.full((size + 1, n), -np.inf, np.float32)
-        score[0] = 0
+        score = np.zeros((size + 1, n), np.float32)
         width, piece = np.zeros((size + 1, n), np.int16), np.zeros((size + 1, n), np.int32)
-        for end in range(1, size + 1):
-            for begin in range(max(0, end - self.longest), end):
-                key = sums[end] - sums[begin] * power[end - begin]
-                rows = np.flatnonzero(self.maybe[key >> np.uint64(44)])
-                at = np.minimum(np.searchsorted(self.keys, key[rows]), len(self.keys) - 1)
-                hit = self.keys[at] == key[rows]
-                rows, at = rows[hit], at[hit]
-                reached = self.scores[at] + score[begin, rows]
-                better = reached > score[end, rows]
-                rows, at = rows[better], at[better]
-                score[end, rows], width[end, rows], piece[end, rows] = reached[better], end - begin, self.ids[at]
-                if begin == end - 1:
-                    single = np.ones(n, bool)
-                    single[np.flatnonzero(self.maybe[key >> np.uint64(44)])[hit]] = False
-                    unknown = self.unknown + score[begin]
-                    rows = np.flatnonzero(single & (unknown > score[end]))
-                    score[end, rows], width[end, rows], piece[end, rows] = unknown[rows], 1, -1
+        widest, every = min(self.longest, size), np.arange(n)
+        for first in range(1, size + 1, STRETCH):
+            ends = min(first + STRETCH, size + 1)
+            gain, found = self._probed(sums, power, first, ends, widest)
+            for end in range(first, ends):
+                most = min(widest, end)
+                reached = gain[widest - most :, end - first] + score[end - most : end]
+                k = reached.argmax(0)  # the longest piece, which begins earliest, among equals
+                score[end], width[end], piece[end] = reached[k, every], most - k, found[widest - most + k, end - first, every]
         out: list[list[int]] = [[] for _ in range(n)]
         at = np.full(n, size)
         rows = np.arange(n)
