@@ -81,7 +81,7 @@ def page_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
 
 
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key, position, href, link, host, link_text of each link in its order."""
+    """key, page_url, position, href, link, host, link_text of each link in its order."""
 
     def run(batches):
         for b in batches:
@@ -93,11 +93,11 @@ def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
                         host = urlparse(link).netloc
                     except ValueError:  # no URL
                         link, host = None, None
-                    out.append((k, n, href, link, host, text))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.string()] * 4), strict=True)], names=[key, "position", "href", "link", "host", "link_text"])
+                    out.append((k, u, n, href, link, host, text))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 4), strict=True)], names=[key, "page_url", "position", "href", "link", "host", "link_text"])
 
-    return pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("h")).mapInArrow(run, f"{key} long, position int, href string, link string, host string, link_text string")
+    return pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("h")).mapInArrow(run, f"{key} long, page_url string, position int, href string, link string, host string, link_text string")
 
 
 def page_people(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
