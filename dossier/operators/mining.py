@@ -15,8 +15,8 @@ METHODS = "materials and methods|experimental section|experimental|methods|metho
 AFTER_METHODS = "results and discussion|results|discussion|conclusions?|acknowledge?ments?|references"
 
 
-def detect(df: DataFrame, text: str, lexicon: list[tuple[str, str, str]], name: str, limit: int = 12) -> DataFrame:
-    """df with an array<struct(brand, model, evidence)> of at most `limit`: for each brand (name, brand pattern, model pattern) that the text names its models, the most specific ones only, or the brand alone.
+def detect(df: DataFrame, text: str, lexicon: list[tuple[str, str, str]], name: str, limit: int | None = None) -> DataFrame:
+    """df with an array<struct(brand, model, evidence)>: for each brand (name, brand pattern, model pattern) that the text names its models, the most specific ones only, or the brand alone. All of them, or the first `limit` over all brands.
 
     Matches and their sorted models are columns of their own before anything looks at them twice: each pattern runs once a row, models are looked for only in
     texts that name their brand, and a model is compared with its neighbour in the order only."""
@@ -25,17 +25,18 @@ def detect(df: DataFrame, text: str, lexicon: list[tuple[str, str, str]], name:
         hits[f"__hit{k}"] = F.coalesce(F.regexp_extract(text, "(?i)" + EDGES.format(f"(?:{brand_pattern})"), 0), F.lit(""))  # a null text names nothing
         every = F.filter(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("(" + EDGES.format(f"(?:{model_pattern})") + ")"), F.lit(1))), lambda m: F.length(m) >= 3)
         models[f"__models{k}"] = F.when(F.col(f"__hit{k}") != "", F.array_sort(F.transform(every, lambda m, i: F.struct(F.lower(m).alias("low"), i.alias("at"), m.alias("m")))))
-        entries.append(_entries(text, brand, f"__hit{k}", f"__models{k}", limit))
+        entries.append(_entries(text, brand, f"__hit{k}", f"__models{k}"))
     found = df.withColumns(hits).withColumns(models)
-    return found.withColumn(name, F.slice(F.flatten(F.array(*entries)), 1, limit)).drop(*hits, *models)
+    every = F.flatten(F.array(*entries))
+    return found.withColumn(name, every if limit is None else F.slice(every, 1, limit)).drop(*hits, *models)
 
 
-def _entries(text: str, brand: str, hit: str, models: str, limit: int) -> Column:
+def _entries(text: str, brand: str, hit: str, models: str) -> Column:
     def entry(model: Column, shown: Column) -> Column:
         return F.struct(F.lit(brand).alias("brand"), model.alias("model"), around(F.col(text), F.instr(text, shown), F.length(shown)).alias("evidence"))
 
     own = F.filter(models, lambda x, i: ~F.coalesce(F.startswith(F.get(models, i + 1)["low"], x["low"]), F.lit(False)))
-    first = F.slice(F.array_sort(F.transform(own, lambda x: F.struct(x["at"].alias("at"), x["m"].alias("m")))), 1, limit)
+    first = F.array_sort(F.transform(own, lambda x: F.struct(x["at"].alias("at"), x["m"].alias("m"))))
     alone = F.array(entry(F.lit(None).cast("string"), F.col(hit)))
     return F.when(F.col(hit) == "", F.slice(alone, 1, 0)).when(F.size(models) > 0, F.transform(first, lambda x: entry(x["m"], x["m"]))).otherwise(alone)
 

@@ -247,3 +247,15 @@ def test_models_only_with_their_brand(spark):
     df = spark.createDataFrame([("X1 alone",), ("Zorb X1 X1b",), (None,)], "t string")
     found = [r.f for r in mining.detect(df, "t", [("zorb", "Zorb", "X1[a-z]?")], "f").collect()]
     assert found[0] == [] and [x.model for x in found[1]] == ["X1b"] and found[2] == []
+
+
+def test_every_model_is_detected(spark):
+    lexicon = [("zorb", "Zorb", "Z[0-9]+[a-z]?"), ("quux", "Quux", "Q[0-9]+"), ("mimp", "Mimp", "M[0-9]+")]
+    t = "Zorb Quux Mimp " + " ".join([*(f"Z{k}" for k in range(300, 280, -1)), "Z290b", *(f"Q{k}" for k in range(10, 30)), "M77"])
+    want = []
+    for brand, _, pattern in lexicon:
+        models = list(dict.fromkeys(re.findall(rf"\b{pattern}\b", t)))
+        want += [(brand, m) for m in models if not any(o != m and o.lower().startswith(m.lower()) for o in models)]
+    found = mining.detect(spark.createDataFrame([(t,)], "t string"), "t", lexicon, "f")
+    assert [(x.brand, x.model) for x in found.first().f] == want and len(want) == 41 and ("zorb", "Z290") not in want
+    assert len(found.select(mining.merged_detections(F.col("f")).alias("f")).first().f) == 12
