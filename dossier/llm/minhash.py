@@ -12,6 +12,8 @@ answer each; an empty table gives an empty one; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +23,27 @@ from pyspark.sql import functions as F
 from dossier.llm import buffers as B
 from dossier.llm.common import cut, lines, only_ids, prepare
 
-#: Bands and rows of each: at a similarity of 0.85 a pair shares no band once in 100,000 times.
-BANDS, ROWS = 20, 5
-#: Estimates below are no candidates: four standard deviations under 0.85.
-FLOOR = 0.70
+#: Hash functions; chances, at most, that a pair at the asked similarity shares no band, and that its signatures agree too seldom to be a candidate.
+HASHES, NO_BAND, UNLIKELY = 100, 1e-5, 1e-9
 #: Members of a bucket that one block holds.
 BLOCK = 256
 _random = np.random.default_rng(7)
-SLOPES = (_random.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-SHIFTS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+SLOPES = (_random.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+SHIFTS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+
+
+@lru_cache
+def layout(percent: int) -> tuple[int, int, int]:
+    """Bands, rows of each, and equal minima that a candidate has at least: as many rows and minima as NO_BAND and UNLIKELY allow at this similarity."""
+    p = percent / 100
+    rows = max((r for r in range(1, HASHES + 1) if (1 - p**r) ** (HASHES // r) <= NO_BAND), default=0)
+    if not rows:
+        raise ValueError(f"{HASHES} hash functions find pairs at {percent} % too seldom")
+    least, below = 0, (1 - p) ** HASHES
+    while least < HASHES and below <= UNLIKELY:
+        least += 1
+        below += comb(HASHES, least) * p**least * (1 - p) ** (HASHES - least)
+    return HASHES // rows, rows, least
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -61,7 +75,9 @@ def minima(x: np.ndarray) -> np.ndarray:
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
-def _signed(size: int):
+def _signed(size: int, percent: int):
+    bands_n, rows_n, _ = layout(percent)
+
     def run(batches):
         for batch in batches:
             data, at = B.column(batch["text"])
@@ -72,13 +88,13 @@ def _signed(size: int):
                     h.append((x.sum(dtype=np.uint64), B.mix(x + np.uint64(1)).sum(dtype=np.uint64)))
                     sig.append(minima(x) if len(x) else SHIFTS)
                 s = np.stack(sig)
-                keys = s.reshape(len(s), BANDS, ROWS).astype(np.uint64)
+                keys = s[:, : bands_n * rows_n].reshape(len(s), bands_n, rows_n).astype(np.uint64)
                 with np.errstate(over="ignore"):
-                    k = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(s), BANDS))
-                    for r in range(ROWS):
+                    k = np.broadcast_to(np.arange(bands_n, dtype=np.uint64), (len(s), bands_n))
+                    for r in range(rows_n):
                         k = B.mix(k * np.uint64(B.BASE) + keys[:, :, r])
                 h = np.array(h, np.uint64).reshape(-1, 2).view(np.int64)
-                bands = pa.ListArray.from_arrays(np.arange(0, k.size + 1, BANDS, dtype=np.int32), pa.array(k.ravel().view(np.int64)))
+                bands = pa.ListArray.from_arrays(np.arange(0, k.size + 1, bands_n, dtype=np.int32), pa.array(k.ravel().view(np.int64)))
                 sigs = [x.tobytes() for x in (s & np.uint32(255)).astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), bands, pa.array(sigs, pa.binary())], schema=SIGNED)
 
@@ -102,12 +118,13 @@ def _sets(size: int):
 
 def _likely(percent: int):
     """Keeps pairs whose set sizes and signatures leave the similarity possible."""
+    least = layout(percent)[2]
 
     def run(batches):
         for b in batches:
             n, m = b["n"].to_numpy(), b["m"].to_numpy()
-            x, y = (np.frombuffer(b[c].cast(pa.binary()).buffers()[2] or b"", np.uint8)[b[c].offset * BANDS * ROWS :][: len(n) * BANDS * ROWS].reshape(len(n), -1) if len(n) else np.zeros((0, 1), np.uint8) for c in ("sig", "other"))
-            keep = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((x == y).mean(1) >= FLOOR)
+            x, y = (np.frombuffer(b[c].cast(pa.binary()).buffers()[2] or b"", np.uint8)[b[c].offset * HASHES :][: len(n) * HASHES].reshape(len(n), -1) if len(n) else np.zeros((0, 1), np.uint8) for c in ("sig", "other"))
+            keep = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((x == y).sum(1) >= least)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -151,8 +168,9 @@ def _matrix(t: pa.Table, name: str, kind, width: int) -> np.ndarray:
 
 def _open_pairs(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a block that may be links between components and share no earlier band than this bucket's."""
+    bands_n, _, least = layout(percent)
     n, root, side = t["n"].to_numpy(), t["root"].to_numpy(), t["side"].to_numpy()
-    sig, bands = _matrix(t, "sig", np.uint8, BANDS * ROWS), _matrix(t, "bands", np.int64, BANDS)
+    sig, bands = _matrix(t, "sig", np.uint8, HASHES), _matrix(t, "bands", np.int64, bands_n)
     two = t["x"][0].as_py() != t["y"][0].as_py()
     i, j = (np.repeat(np.flatnonzero(side == 0), (side == 1).sum()), np.tile(np.flatnonzero(side == 1), (side == 0).sum())) if two else np.triu_indices(len(n), 1)
     ok = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
@@ -161,7 +179,7 @@ def _open_pairs(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     for a in range(0, len(i), 8192):
         p, q = i[a : a + 8192], j[a : a + 8192]
         same = bands[p] == bands[q]
-        out.append(((sig[p] == sig[q]).mean(1) >= FLOOR) & (bands[p, same.argmax(1)] == key))
+        out.append(((sig[p] == sig[q]).sum(1) >= least) & (bands[p, same.argmax(1)] == key))
     ok = np.concatenate(out) if out else np.zeros(0, bool)
     return i[ok], j[ok]
 
@@ -213,7 +231,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     """doc_id, n_shingles, component_id, kept of each row: links where 100 * common >= percent * united shingles."""
     prepare(docs.sparkSession)
     texts = lines(docs)
-    base = cut(texts.mapInArrow(_signed(size), "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary"))
+    base = cut(texts.mapInArrow(_signed(size, percent), "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary"))
     whole = base.where("n > 0 and doc_id is not null")
     classes = cut(whole.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("x")).select("h1", "h2", "n", F.col("x.doc_id").alias("rep"), "x.bands", "x.sig"))
     facts = classes.select("rep", "n", "bands", "sig")

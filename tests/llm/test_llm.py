@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -105,6 +106,32 @@ def test_minhash(spark, docs):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s[i]), want[i], want[i] == i) for i in s}
 
 
+def pairs_apart(n, words, edits):
+    """n pairs of texts that differ in words far from each other: their similarity is (words - 4 - 5 * edits) / (words - 4 + 5 * edits)."""
+    for k in range(n):
+        w = [f"p{k}w{i}" for i in range(words)]
+        yield " ".join(w)
+        for e in range(edits):
+            w[10 + e * (words // edits)] = f"e{e}"
+        yield " ".join(w)
+
+
+@pytest.mark.parametrize("percent, words, edits", [(70, 90, 3), (80, 106, 2), (85, 130, 2)])
+def test_minhash_loses_no_link_at_any_percent(spark, percent, words, edits):
+    rows = list(enumerate(pairs_apart(150, words, edits)))
+    s = sets(rows)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, percent).collect()}
+    assert got == components(s, percent) and len(set(got.values())) == 150
+
+
+@pytest.mark.parametrize("percent", [20, 50, 70, 80, 85, 95, 99, 100])
+def test_minhash_layout(percent):
+    bands, rows, least = minhash.layout(percent)
+    p = percent / 100
+    assert bands * rows <= minhash.HASHES and (1 - p**rows) ** bands <= 1e-5
+    assert sum(math.comb(100, i) * p**i * (1 - p) ** (100 - i) for i in range(least)) <= 1e-9
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 90), (90, 95), (95, 100), (7, 7)]
     got = {r.node: r.root for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
