@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from dossier.functions.text import around, squeeze
 
 EDGES = r"(?<![A-Za-z0-9_]){}(?![A-Za-z0-9_])"
-# Headings that begin a methods section, and those that end it.
-METHODS = "materials and methods|experimental section|experimental|methods|methodology"
-AFTER_METHODS = "results and discussion|results|discussion|conclusions?|acknowledge?ments?|references"
+# Headings that begin a methods section, and those that end it; a heading is a line of its own, numbered or not, with a colon or not.
+METHODS = r"materials?\s+and\s+methods?|experimental(?:\s+(?:section|details|methods?|procedures?))?|methods?(?:\s+and\s+materials?)?|methodology|instrumentation|apparatus|electrochemical\s+measurements?|characteri[sz]ation|measurements?"
+AFTER_METHODS = r"results(?:\s+and\s+discussion)?|discussion|conclusions?|acknowledge?ments?|references|bibliography"
+HEADING = r"^\s*(?:\d+(?:\.\d+)*\.?\s*)?(?:{})\s*:?\s*$"
 
 
 def detect(df: DataFrame, text: str, lexicon: list[tuple[str, str, str]], name: str, limit: int | None = None) -> DataFrame:
@@ -61,8 +62,11 @@ def mentions(text: Column, titles: str = "Dr|Prof|Professor", limit: int = 10) -
     return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?:{titles})\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"), F.lit(1))), 1, limit)
 
 
-def methods_section(text: Column, limit: int = 20_000) -> Column:
-    """The longest stretch from a methods heading to the next heading."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?is)(?:^|\n)\s*(?:\d+\.?\s*)?(?:{METHODS})\s*\n(.*?)(?=\n\s*(?:\d+\.?\s*)?(?:{AFTER_METHODS})\s*\n|$)"), F.lit(1))
+def methods_section(text: Column, limit: int = 20_000, least: int = 0) -> Column:
+    """The longest stretch from a methods heading to the next heading that ends it, without its own heading. If it has fewer than `least` characters with the heading, the text itself."""
+    begin = HEADING.format(METHODS)
+    found = F.regexp_extract_all(text, F.lit(rf"(?imdU){begin}(?s:.*?)(?={HEADING.format(AFTER_METHODS)}|\z)"), F.lit(0))
     best = F.aggregate(found, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
-    return F.substring(F.trim(best), 1, limit)
+    stripped = lambda c: F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    body = lambda b: stripped(F.regexp_replace(b, rf"(?imdU)\A{begin}", ""))
+    return F.substring(F.get(F.transform(F.array(best), lambda b: F.when(F.length(stripped(b)) < least, text).otherwise(body(b))), 0), 1, limit)

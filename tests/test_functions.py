@@ -259,3 +259,18 @@ def test_every_model_is_detected(spark):
     found = mining.detect(spark.createDataFrame([(t,)], "t string"), "t", lexicon, "f")
     assert [(x.brand, x.model) for x in found.first().f] == want and len(want) == 41 and ("zorb", "Z290") not in want
     assert len(found.select(mining.merged_detections(F.col("f")).alias("f")).first().f) == 12
+
+
+@pytest.mark.parametrize("heading", ["Instrumentation", "APPARATUS:", "2.1 Electrochemical measurements", "3.2. Characterisation", "Experimental details", "experimental procedures :", "Methods and Materials", "Materials  and Methods"])
+def test_methods_headings(spark, heading):
+    body = "A zorb was used for all of it, in a room of its own, and its readings were noted down twice."
+    section = lambda t: one(spark, mining.methods_section(F.col("t"), least=80), t=t)
+    assert section(f"Intro\nwords\n\n{heading}\n{body}\n4. Results:\nmore words") == body
+    assert section(f"Intro\nwords\n{heading}\nBibliography\n{body}") == f"Intro\nwords\n{heading}\nBibliography\n{body}"  # an empty section
+
+
+def test_methods_fall_back_to_the_text(spark):
+    section = lambda t: one(spark, mining.methods_section(F.col("t"), least=80), t=t)
+    assert section("No heading here.\nA zorb was used.") == "No heading here.\nA zorb was used."
+    assert section("Intro\nMethods\nshort\nResults\nx") == "Intro\nMethods\nshort\nResults\nx" and section("") == ""
+    assert section("our methods\n" + "x" * 30_000) == ("our methods\n" + "x" * 30_000)[:20_000]
