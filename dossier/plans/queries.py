@@ -346,11 +346,11 @@ def round_robin(spark, sf_dir):
     return order.interleaved(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"]).select("event_id", "event_type", F.col("turn").cast("long").alias("turn"))
 
 
-@query("""SELECT o_orderkey, o_totalprice FROM (SELECT *, coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM orders) WHERE spent < 5000000000""")
+@query("""SELECT o_orderkey, o_totalprice FROM (SELECT *, coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM orders) WHERE spent < 100000000000""")
 def budget_cutoff(spark, sf_dir):
     """Rows that are begun before the budget is spent."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    return order.within_budget(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], cents, 5_000_000_000).select("o_orderkey", "o_totalprice")
+    return order.within_budget(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], cents, 100_000_000_000).select("o_orderkey", "o_totalprice")
 
 
 _RANK = "CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END"
