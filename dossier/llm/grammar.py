@@ -1,12 +1,13 @@
 """Token ids in grammar-compressed files: Re-Pair over shards of documents in ascending doc_id order.
 
-In a shard the most frequent id pairs become nonterminals, round after round; a round replaces many pairs at once, chosen by count so that no two can
-overlap. The rules, the length that each nonterminal expands to and where each document's symbols begin are stored beside the symbols, so a document is
-decoded alone. No pair spans two documents.
+In a shard the most frequent id pairs become nonterminals, round after round, until no pair occurs LEAST times without overlap: from there on a rule takes as
+much room as it saves. The rules, the length that each nonterminal expands to and where each document's symbols begin are stored beside the symbols, so a
+document is decoded alone. No pair spans two documents.
 
 A file set is a Parquet table with one row a shard (binary columns), written and read by Spark alone; texts are range-partitioned and sorted by doc_id, and a
-task ends a shard after SHARD ids. Nulls: a null text is an empty one and has the end id only; null doc_ids come first. Repeated rows are written each; an
-empty table gives an empty one; other columns are ignored.
+task ends a shard after SHARD ids. Nulls: a null text is an empty one and has the end id only; null doc_ids come first. Rows of one doc_id follow one another
+by their texts' hashes, then by the texts, and each is written; an empty table gives an empty one; other columns are ignored. A text of any length is one
+document of one shard, which then has more than SHARD ids.
 """
 
 from __future__ import annotations
@@ -22,75 +23,155 @@ from dossier.llm import buffers as B
 from dossier.llm import tokens
 from dossier.llm.common import lines, prepare, shared_path
 
-#: Ids of a shard, rounds, pairs of a round at most, and the count from which a pair is replaced.
-SHARD, ROUNDS, PAIRS, LEAST = 1 << 19, 4, 2048, 24
-
-
-def _chosen(ids: np.ndarray, keys: np.ndarray, pairs: int, least: int) -> np.ndarray:
-    """Frequent pairs of which none can overlap: no id is a left side in one and a right side in another; a pair of equal ids keeps its id alone."""
-    u, n = np.unique(keys, return_counts=True)
-    often = np.flatnonzero(n >= least)
-    often = often[np.lexsort((u[often], -n[often]))][: 4 * pairs]
-    left, right, out = set(), set(), []
-    for k in u[often].tolist():
-        a, b = k >> 32, k & 0xFFFFFFFF
-        if a == b:
-            if a in left or a in right:
-                continue
-        elif a in right or b in left:
-            continue
-        left.add(a)
-        right.add(b)
-        out.append(k)
-        if len(out) == pairs:
-            break
-    return np.array(sorted(out), np.uint64)
-
-
-def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Symbols, where each document's begin, rules [nonterminal, 2], and the first nonterminal."""
+#: Ids of a shard. Occurrences from which a rule pays: it is two symbols and a length, and each occurrence saves one symbol.
+SHARD, LEAST = 1 << 19, 4
+_HASHED, _LAST = 20, np.int32((1 << 31) - 1)
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, how often each stands in keys, and where each key's own is among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)]
+    own = np.empty(len(keys), np.int64)
+    own[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return ordered[first], np.diff(np.r_[first, len(keys)]), own
+
+
+class _Sequence:
+    """Symbols linked to their neighbours in the document, so that a replacement touches its neighbours only.
+
+    `most` holds for each place how often the pair that begins there occurs, at most: a pair's occurrences all arise in one round and only get fewer. Places
+    whose pair has fewer than `least` are out of the game until a neighbour changes."""
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, least: int):
+        n = len(ids)
+        self.seq, self.least = ids.astype(np.uint32), least
+        self.after, self.before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        self.before[starts] = -1
+        self.after[np.r_[starts[1:], n][: len(starts)] - 1] = -1
+        self.live, self.most, self.rank = np.ones(n, bool), np.zeros(n, np.int32), np.full(n + 1, _LAST)
+        self.open = np.zeros(0, np.int64)  # sorted places that are in the game
+        self.born(np.flatnonzero(self.after >= 0))
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        return (self.seq[at].astype(np.int64) << 32) | self.seq[self.after[at]]
+
+    def apart(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which of the sorted places don't overlap an earlier one of the same pair: in a run of one symbol every other place."""
+        twin = np.flatnonzero((keys >> 32) == (keys & 0xFFFFFFFF))
+        if not len(twin):
+            return np.ones(len(at), bool)
+        own = at[twin]
+        new = np.r_[True, (self.after[own[:-1]] != own[1:]) | (keys[twin[1:]] != keys[twin[:-1]])]
+        place = np.arange(len(own)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        out = np.ones(len(at), bool)
+        out[twin[place % 2 == 1]] = False
+        return out
+
+    def born(self, at: np.ndarray) -> None:
+        """Counts the pairs of new places; those that occur too seldom stay out."""
+        keys = self.keys(at)
+        if len(at) > 1 << 12:  # most pairs are rare, and a small table of counts says so before anything is sorted
+            slot = ((keys.view(np.uint64) * np.uint64(B.BASE)) >> np.uint64(64 - _HASHED)).astype(np.int64)
+            often = np.bincount(slot, minlength=1 << _HASHED)[slot] >= self.least
+            at, keys = at[often], keys[often]
+        _, n, own = _counted(keys)
+        self.most[at] = n[own]
+        self.open = np.sort(np.r_[self.open, at[n[own] >= self.least]])
+
+    def round(self, level: int, first: int) -> np.ndarray | None:
+        """Replaces pairs that occur `level` times or more. Where two overlap, the more frequent one has the place; a pair left with fewer places waits.
+        The pairs replaced, or None if no pair occurs so often."""
+        self.open = self.open[self.most[self.open] >= self.least]
+        at = self.open[self.most[self.open] >= level]
+        keys = self.keys(at)
+        fine = self.apart(at, keys)
+        u, n, own = _counted(keys[fine])
+        exact = np.zeros(len(at), np.int32)
+        exact[fine] = n[own]
+        if not fine.all():  # a place that overlaps its own pair's stays in the game as long as the pair does
+            k = np.minimum(np.searchsorted(u, keys[~fine]), len(u) - 1)
+            exact[~fine] = n[k]
+        self.most[at] = exact
+        often = np.flatnonzero(n >= level)
+        if not len(often):
+            return None
+        rank = np.full(len(u), _LAST)
+        rank[often[np.lexsort((u[often], -n[often]))]] = np.arange(len(often))
+        at, own = at[fine], own
+        use = n[own] >= level
+        at, own = at[use], own[use]
+        self.rank[at] = rank[own]
+        wins = (self.rank[at] < self.rank[self.after[at]]) & (self.rank[at] < self.rank[self.before[at]])
+        self.rank[at] = _LAST
+        at, own = at[wins], own[wins]
+        chosen = np.bincount(own, minlength=len(u)) >= level
+        keep = chosen[own]
+        at, own = at[keep], own[keep]
+        gone = self.after[at]
+        after = self.after[gone]
+        self.seq[at] = (first + np.cumsum(chosen) - 1)[own]
+        self.live[gone] = False
+        self.after[at] = after
+        self.before[after[after >= 0]] = at[after >= 0]
+        left = self.before[at]
+        for changed in (at, left[left >= 0], gone):
+            self.most[changed] = 0
+        self.open = self.open[self.most[self.open] > 0]
+        new = np.zeros(len(self.seq), bool)
+        new[at[after >= 0]] = new[left[left >= 0]] = True
+        self.born(np.flatnonzero(new))
+        return u[chosen]
+
+
+def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Symbols, where each document's begin, rules [nonterminal, 2], and the first nonterminal.
+
+    Frequent pairs first: the count asked for halves from round to round down to `least`, where rounds go on until no pair occurs `least` times without
+    overlap. A pair that reaches the count but loses places to a more frequent one is looked at again in the next round."""
     first = base = int(ids.max()) + 1 if len(ids) else 0
-    seq, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)]
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        inner = np.ones(len(keys), bool)
-        edge = starts[(starts > 0) & (starts < len(seq))] - 1
-        inner[edge] = False
-        chosen = _chosen(seq, keys[inner], pairs, least)
-        if not len(chosen):
+    s, rules = _Sequence(ids, starts, least), []
+    level = int(s.most.max()) // 2 if len(ids) else 0
+    while len(s.open):
+        level = max(level, least)
+        pairs = s.round(level, base)
+        if pairs is not None:
+            rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1))
+            base += len(pairs)
+        elif level == least:
             break
-        is_left = np.zeros(base, bool)
-        is_right = np.zeros(base, bool)
-        is_left[(chosen >> np.uint64(32)).astype(np.int64)] = True
-        is_right[(chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & inner)
-        which = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
-        hit = chosen[which] == keys[at]
-        at, which = at[hit], which[hit]
-        if len(at):  # in a run of equal pairs of equal ids every other one
-            new = np.r_[True, np.diff(at) != 1]
-            run = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-            keep = (seq[at] != seq[at + 1]) | (run % 2 == 0)
-            at, which = at[keep], which[keep]
-        seq = seq.copy()
-        seq[at] = base + which
-        gone = np.zeros(len(seq) + 1, bool)
-        gone[at + 1] = True
-        starts = starts - np.cumsum(np.r_[0, gone])[starts]
-        seq = seq[~gone[:-1]]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        base += len(chosen)
-    return seq, starts, np.concatenate(rules), first
+        level //= 2
+    return s.seq[s.live].astype(np.uint32), (np.r_[0, np.cumsum(s.live)][starts]).astype(np.int64), np.concatenate([np.zeros((0, 2), np.int64), *rules]).astype(np.uint32), first
 
 
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids that all nonterminals stand for, one after another, and where each one's begin (one more: the end)."""
-    own: list[np.ndarray] = []
-    for pair in rules:
-        own.append(np.concatenate([own[x - first] if x >= first else np.array([x], np.uint32) for x in pair.tolist()]))
-    return np.concatenate([np.zeros(0, np.uint32), *own]), np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int64)
+    """The ids that all nonterminals stand for, one after another, and where each one's begin (one more: the end). All rules of a depth at once."""
+    pair = rules.astype(np.int64) - first
+    inner, pair = pair >= 0, np.maximum(pair, 0)
+    depth, size = np.zeros(len(rules), np.int64), np.zeros(len(rules), np.int64)
+    todo, known = np.arange(len(rules)), np.zeros(len(rules), bool)
+    steps = []
+    while len(todo):
+        ready = (~inner[todo] | known[pair[todo]]).all(1)
+        now, todo = todo[ready], todo[~ready]
+        size[now] = np.where(inner[now], size[pair[now]], 1).sum(1)
+        known[now] = True
+        steps.append(now)
+    at = np.r_[0, np.cumsum(size)]
+    flat = np.zeros(at[-1], np.uint32)
+    for now in steps:
+        begin = at[now]
+        for side in (0, 1):
+            p, own = pair[now, side], inner[now, side]
+            flat[begin[~own]] = rules[now[~own], side]
+            n = np.where(own, size[p], 1)
+            m, ends = n[own], np.cumsum(n[own])
+            step = np.arange(ends[-1] if len(ends) else 0)
+            flat[np.repeat(begin[own] - (ends - m), m) + step] = flat[np.repeat(at[p[own]] - (ends - m), m) + step]
+            begin = begin + n
+    return flat, at
 
 
 def expand(seq: np.ndarray, first: int, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -105,13 +186,17 @@ def expand(seq: np.ndarray, first: int, flat: np.ndarray, at: np.ndarray) -> np.
 
 
 def narrow(x: np.ndarray) -> bytes:
-    """The width of a number in one byte, then the numbers, little-endian."""
-    width = 2 if not len(x) or x.max() < 1 << 16 else 4 if x.max() < 1 << 32 else 8
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    """The width of a number in one byte, then the numbers, little-endian in as few bytes as the largest takes."""
+    top = int(x.max()) if len(x) else 0
+    width = max(1, (top.bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def widen(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, f"<u{x[0]}", offset=1)
+    own = np.frombuffer(x, np.uint8, offset=1).reshape(-1, x[0])
+    out = np.zeros((len(own), 8), np.uint8)
+    out[:, : x[0]] = own
+    return out.view("<u8").ravel().astype(np.int64)
 
 
 SCHEMA = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("first_rule", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_symbols", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary())])
@@ -152,7 +237,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> None:
     """The documents' ids in ascending doc_id order, as shards under folder."""
     spark = prepare(docs.sparkSession)
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = lines(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    order = ["doc_id", F.xxhash64("text")]
+    rows = lines(docs).repartitionByRange(n, *order).sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id())
     rows.mapInArrow(_shards(path, end_id), COLUMNS).write.parquet(folder)
 
 
@@ -161,10 +247,10 @@ def _decoded(batches):
         for row in batch.to_pylist():
             rules, first = widen(row["rules"]).reshape(-1, 2), row["first_rule"]
             flat, at = expansions(rules, first)
-            seq, starts = widen(row["symbols"]), widen(row["doc_symbols"]).astype(np.int64)
+            seq, starts = widen(row["symbols"]), widen(row["doc_symbols"])
             out, start = [], row["start"]
             size = np.ones(len(seq), np.int64)
-            size[seq >= first] = widen(row["lengths"])[seq[seq >= first].astype(np.int64) - first]
+            size[seq >= first] = widen(row["lengths"])[seq[seq >= first] - first]
             sums = np.r_[0, np.cumsum(size)]
             ids = expand(seq, first, flat, at).astype("<u4")
             for doc, a, b in zip(row["doc_ids"], starts, np.r_[starts[1:], len(seq)], strict=True):
@@ -173,13 +259,17 @@ def _decoded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.int64()] * 4), strict=True)], names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def document(row: dict, doc: int) -> np.ndarray:
-    """The ids of one document of a shard, by random access: no other symbol is expanded."""
-    k = row["doc_ids"].index(doc)
-    starts, seq = widen(row["doc_symbols"]).astype(np.int64), widen(row["symbols"])
-    rules, first = widen(row["rules"]).reshape(-1, 2), row["first_rule"]
+def document(row: dict, k: int) -> np.ndarray:
+    """The ids of the k-th document of a shard, by random access: only the rules that it uses are expanded."""
+    starts, seq, rules, first = widen(row["doc_symbols"]), widen(row["symbols"]), widen(row["rules"]).reshape(-1, 2), row["first_rule"]
     own = seq[starts[k] : starts[k + 1] if k + 1 < len(starts) else len(seq)]
-    return expand(own, first, *expansions(rules, first))
+    while (rule := own >= first).any():
+        n = 1 + rule
+        at = np.cumsum(n) - n
+        pairs = rules[own[rule] - first]
+        own = np.repeat(own, n)
+        own[at[rule]], own[at[rule] + 1] = pairs.T
+    return own
 
 
 def read(spark, folder: str) -> DataFrame:

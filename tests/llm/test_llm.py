@@ -274,16 +274,54 @@ def test_grammar(spark, docs):
         start += len(ids)
 
 
+def left_pairs(seq, at):
+    """How often each pair occurs inside the documents, without overlap."""
+    n = collections.Counter()
+    for a, b in itertools.pairwise([*at.tolist(), len(seq)]):
+        k = a
+        while k + 1 < b:
+            pair = (seq[k], seq[k + 1])
+            n[pair] += 1
+            k += 2 if pair[0] == pair[1] and k + 2 < b and seq[k + 2] == seq[k] else 1
+    return n
+
+
 def test_repair():
     rng = np.random.default_rng(3)
-    ids = np.concatenate([np.tile([5, 6, 7, 5], 200), np.full(101, 9), rng.integers(0, 4, 3000)]).astype(np.uint32)
+    ids = np.concatenate([np.tile([5, 6, 7, 5], 200), np.full(101, 9), rng.integers(0, 4, 3000), np.repeat(8, 7)]).astype(np.uint32)
     starts = np.array([0, 333, 334, 900, 2500])
     seq, at, rules, first = grammar.compress(ids, starts)
     flat, ends = grammar.expansions(rules, first)
-    assert len(seq) < 0.6 * len(ids) and (grammar.expand(seq, first, flat, ends) == ids).all()
-    for k, a in enumerate(at):  # random access
-        own = seq[a : at[k + 1] if k + 1 < len(at) else len(seq)]
-        assert (grammar.expand(own, first, flat, ends) == ids[starts[k] : starts[k + 1] if k + 1 < len(starts) else len(ids)]).all()
+    assert len(seq) < 0.35 * len(ids) and (grammar.expand(seq, first, flat, ends) == ids).all()
+    assert max(left_pairs(seq, at).values()) < grammar.LEAST and max(np.diff(ends)) > 64
+    row = {"doc_symbols": grammar.narrow(at), "symbols": grammar.narrow(seq), "rules": grammar.narrow(rules.ravel()), "first_rule": first}
+    for k in range(len(at)):  # random access
+        assert (grammar.document(row, k) == ids[starts[k] : starts[k + 1] if k + 1 < len(starts) else len(ids)]).all()
+    for nothing in (np.zeros(0, np.uint32), np.array([7], np.uint32)):
+        assert grammar.compress(nothing, np.arange(len(nothing)))[0].tolist() == nothing.tolist()
+
+
+def test_no_frequent_pair_is_left_in_a_shard(larger):
+    """On real texts; and fewer bytes than plain ids take."""
+    e = tokens.encoder(path("byte_bpe_50k.json"))
+    raw = [(r.text + "\n").encode() for r in larger[0].orderBy("doc_id").limit(400).collect()]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])]
+    own = e.encode(data, at)
+    ids, starts = np.concatenate(own), np.cumsum([0, *map(len, own)])[:-1]
+    seq, at, rules, first = grammar.compress(ids, starts)
+    assert max(left_pairs(seq, at).values()) < grammar.LEAST
+    flat, ends = grammar.expansions(rules, first)
+    assert (grammar.expand(seq, first, flat, ends) == ids).all()
+    assert sum(len(grammar.narrow(x)) for x in (seq, rules.ravel(), np.diff(ends))) < 0.75 * 2 * len(ids)
+
+
+def test_grammar_of_one_id_in_many_rows(spark):
+    """Rows of one doc_id are in one order, whatever partitions they come in, and starts go on from row to row."""
+    rows = [(7 if k % 2 else None, f"text {k % 5} of {k}") for k in range(60)]
+    runs = [sorted(map(tuple, grammar.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), path("byte_bpe_50k.json")).collect()), key=lambda r: r[1]) for n in (1, 7)]
+    assert runs[0] == runs[1] and len(runs[0]) == 60
+    assert [r[1] for r in runs[0]] == [0, *itertools.accumulate(r[2] for r in runs[0][:-1])]
+    assert [r[0] for r in runs[0]] == [None] * 30 + [7] * 30
 
 
 def test_sketches(docs):
