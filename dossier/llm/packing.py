@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences after Martello-Toth dominance reduction.
 
 Lengths are at most the capacity, so the instance is a histogram of at most that many classes, whatever the number of documents; only it comes to the driver.
-1. Reduction: sets that provably dominate every other one with the same largest piece are fixed: a full piece; a pair that fills a sequence; the largest piece
-   alone, with the largest that fits, or with the pair that dominates all pairs, where no more could join.
-2. What remains is packed best-fit, largest first, whole classes at a time: sequences of one content are one pattern with a count.
+1. Reduction: of each size in turn, a set that provably dominates every other one with such a piece is fixed as often as it can be made: a full piece; a pair
+   that fills a sequence; a piece that nothing fits with; with the largest that fits, where no two do or no two are larger; with the two that dominate all twos,
+   where no three fit. Sizes are gone through again until nothing is fixed any more.
+2. What remains is packed best-fit, largest first: the fullest sequence that takes a piece gets it. Sequences of one content are one pattern with a count.
 3. Each piece gets its place by its rank within its length class, from one global sort whose key ends in doc_id and piece: no class is one task's work.
 
 Nulls: a null text is an empty one and has the end id only; a null doc_id is packed like any other. Repeated rows are packed each; an empty table gives an
@@ -13,7 +14,7 @@ empty one; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -27,82 +28,91 @@ from dossier.llm.common import cut, lines, positions, prepare
 Pattern = tuple[tuple[int, ...], int]
 
 
-def reduction(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[int, int]]:
-    """Patterns that some best packing has, and the counts that remain."""
+def dominating(left: dict[int, int], sizes: list[int], big: int, capacity: int) -> tuple[str, tuple[int, ...]] | None:
+    """A set with one piece of size `big` that is at least as good as every other set that fits with it, and the rule that says so. sizes: those of left, ascending.
+
+    A set is as good as another if its pieces, one to one, are as large as groups of the other's that they may stand for."""
+    gap = capacity - big
+    many = lambda k: left.get(k, 0) - (k == big)
+    if not gap:
+        return "full", (big,)
+    if many(gap) > 0:  # whatever else fits is no more than this one piece
+        return "exact", (big, gap)
+    small: list[int] = []
+    for k in sizes:
+        small += [k] * min(3 - len(small), many(k))
+        if len(small) == 3 or k > gap:
+            break
+    if not small or small[0] > gap:
+        return "alone", (big,)
+    fitting = [k for k in sizes[: bisect_right(sizes, gap)] if many(k) > 0] if sum(small) > gap or len(small) < 3 else []
+    if not fitting:
+        return None  # three or more may join, and no one set has the best of all of them
+    most = fitting[-1]
+    if len(small) == 1 or small[0] + small[1] > gap:
+        return "one", (big, most)
+    pairs = []
+    for a in fitting:
+        at = bisect_right(fitting, min(a, gap - a)) - 1
+        if at >= 0 and fitting[at] == a and many(a) == 1:
+            at -= 1
+        if at >= 0:
+            pairs.append((a, fitting[at]))
+    if most >= max(a + b for a, b in pairs):
+        return "one of two", (big, most)
+    a, b = max(pairs)
+    return ("two", (big, a, b)) if a == most and all(d <= b for _, d in pairs) else None
+
+
+def reduction(counts: dict[int, int], capacity: int, tally: dict[str, int] | None = None) -> tuple[list[Pattern], dict[int, int]]:
+    """Patterns that some best packing has, and the counts that remain. tally: gets the pieces that each rule has fixed.
+
+    Every size is looked at in turn, from the largest down, and all again as long as something was fixed, since fewer pieces may join then. What dominates
+    still does when equal sets are gone, so a set is fixed as often as it can be made."""
     left, fixed = {k: n for k, n in counts.items() if n > 0}, []
-
-    def fix(items: tuple[int, ...], times: int) -> None:
-        fixed.append((items, times))
-        for x in items:
-            left[x] -= 1 * times
-            if not left[x]:
-                del left[x]
-
-    if left.get(capacity):
-        fix((capacity,), left[capacity])
-    for x in sorted(left, reverse=True):
-        y = capacity - x
-        if x > y and min(left.get(x, 0), left.get(y, 0)):
-            fix((x, y), min(left[x], left[y]))
-        elif x == y and left.get(x, 0) > 1:
-            fix((x, x), left[x] // 2)
-    while left:
-        sizes = sorted(left)
-        big, gap = sizes[-1], capacity - sizes[-1]
-        others = {k: n - (k == big) for k, n in left.items() if n - (k == big) > 0 and k <= gap}
-        small = [k for k in sorted(others) for _ in range(min(3, others[k]))][:3]
-        if not small:
-            fix((big,), left[big] if sizes[0] > gap else 1)
-            continue
-        most = max(others)
-        if len(small) == 1 or small[0] + small[1] > gap:
-            fix((big, most), min(left[big], left[most]) if big != most else 1)
-            continue
-        if len(small) == 2 or sum(small) > gap:
-            pairs = []
-            for a in others:
-                below = [b for b in others if b <= a and a + b <= gap and (a != b or others[a] > 1)]
-                if below:
-                    pairs.append((a, max(below)))
-            if most >= max(a + b for a, b in pairs):
-                fix((big, most), 1)
-                continue
-            a, b = max(pairs)
-            if a == most and all(d <= b for _, d in pairs):
-                fix((big, a, b), 1)
-                continue
-        break
+    sizes, before = sorted(left), None
+    while before != (before := len(fixed)):
+        for big in sizes[::-1]:
+            while left.get(big) and (found := dominating(left, sizes, big, capacity)):
+                rule, items = found
+                times = min(left[x] // items.count(x) for x in items)
+                fixed.append((items, times))
+                if tally is not None:
+                    tally[rule] = tally.get(rule, 0) + times * len(items)
+                for x in set(items):
+                    left[x] -= times * items.count(x)
+                    if not left[x]:
+                        del left[x]
+                        sizes.pop(bisect_left(sizes, x))
     return fixed, left
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
-    """Best-fit decreasing over classes: a class goes to the sequences with the least room that still takes it, all alike at once."""
+    """Best-fit decreasing, whole classes at a time: a piece goes to the sequence with the least room that takes it, which then has the least room again. So of
+    sequences of one room each is filled before the next, and at most one gets fewer copies than it could take."""
     rooms: list[tuple[int, int]] = []  # room, number of the group; sorted
     groups: list[tuple[tuple[int, ...], int]] = []
+
+    def group(items: tuple[int, ...], times: int, room: int) -> None:
+        groups.append((items, times))
+        if room:
+            insort(rooms, (room, len(groups) - 1))
+
     for x in sorted(counts, reverse=True):
         n = counts[x]
         while n:
             k = bisect_left(rooms, (x, -1))
+            room, (items, times) = (rooms[k][0], groups[rooms[k][1]]) if k < len(rooms) else (capacity, ((), n))
+            each = min(room // x, n)
+            used = min(times, n // each)
             if k < len(rooms):
-                room, g = rooms.pop(k)
-                items, times = groups[g]
-                each = min(room // x, max(1, n // times))
-                used = min(times, n // each)
+                _, g = rooms.pop(k)
+                groups[g] = (items, 0)
                 if used < times:
-                    groups.append((items, times - used))
-                    insort(rooms, (room, len(groups) - 1))
-                groups[g] = (items + (x,) * each, used)
-                n -= used * each
-                if room - each * x:
-                    insort(rooms, (room - each * x, g))
-            else:
-                each = min(capacity // x, n)
-                used = n // each
-                groups.append(((x,) * each, used))
-                n -= used * each
-                if capacity - each * x:
-                    insort(rooms, (capacity - each * x, len(groups) - 1))
-    return groups
+                    group(items, times - used, room)
+            group(items + (x,) * each, used, room - each * x)
+            n -= used * each
+    return [(items, times) for items, times in groups if times]
 
 
 class Plan:

@@ -386,14 +386,40 @@ def brute_sequences(sizes, capacity):
 
 
 def test_reduction_loses_nothing():
-    rng = np.random.default_rng(5)
-    for _ in range(60):
-        sizes = rng.integers(3, 21, 9).tolist()
-        fixed, left = packing.reduction(dict(collections.Counter(sizes)), 20)
+    rng, tally = np.random.default_rng(5), collections.Counter()
+    for _ in range(250):
+        sizes = rng.integers(rng.integers(1, 8), 21, 9).tolist()
+        own = {}
+        fixed, left = packing.reduction(dict(collections.Counter(sizes)), 20, own)
+        tally.update(own)
         rest = [x for x, n in left.items() for _ in range(n)]
         assert sorted(rest + [x for items, n in fixed for _ in range(n) for x in items]) == sorted(sizes)
-        assert all(sum(items) <= 20 for items, _ in fixed)
+        assert all(sum(items) <= 20 for items, _ in fixed) and sum(own.values()) == len(sizes) - len(rest)
         assert sum(n for _, n in fixed) + (brute_sequences(rest, 20) if rest else 0) == brute_sequences(sizes, 20)
+        assert not any(packing.dominating(left, sorted(left), x, 20) for x in left)  # nothing is left to fix
+    print("pieces fixed by rule:", dict(tally))
+    assert set(tally) == {"full", "exact", "alone", "one", "one of two", "two"}
+
+
+def plain_best_fit(sizes, capacity):
+    rooms = []
+    for x in sorted(sizes, reverse=True):
+        fits = [(r, i) for i, r in enumerate(rooms) if r >= x]
+        if fits:
+            rooms[min(fits)[1]] -= x
+        else:
+            rooms.append(capacity - x)
+    return sorted(rooms)
+
+
+def test_best_fit_piece_by_piece():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        capacity = int(rng.integers(10, 60))
+        sizes = rng.integers(1, capacity + 1, int(rng.integers(1, 80))).tolist()
+        patterns = packing.best_fit(dict(collections.Counter(sizes)), capacity)
+        assert collections.Counter(x for items, n in patterns for _ in range(n) for x in items) == collections.Counter(sizes)
+        assert sorted(capacity - sum(items) for items, n in patterns for _ in range(n)) == plain_best_fit(sizes, capacity)
 
 
 def test_packing(docs):
