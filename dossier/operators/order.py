@@ -49,9 +49,9 @@ def running_sum(df: DataFrame, order: list[str], value: Column, name: str, by: l
     return both.withColumn(name, F.coalesce(F.sum("__v").over(before), F.lit(0)).cast(kind)).where("__own").drop("__v", "__part", "__own")
 
 
-def within_budget(df: DataFrame, order: list[str], cost: Column, limit: float) -> DataFrame:
-    """Rows before which less than the limit is spent: a ceiling that is looked at before each step."""
-    return running_sum(df, order, cost, "spent_before").where(F.col("spent_before") < limit)
+def within_budget(df: DataFrame, order: list[str], cost: Column, limit: float, by: list[str] | None = None) -> DataFrame:
+    """Rows before which less than the limit is spent (by those of equal `by`): a ceiling that is looked at before each step."""
+    return running_sum(df, order, cost, "spent_before", by).where(F.col("spent_before") < limit)
 
 
 def interleaved(df: DataFrame, lists: str, order: list[str]) -> DataFrame:
