@@ -1,11 +1,13 @@
-"""Language identification by prediction by partial matching: one byte context tree a language, orders 0 to 3, escapes of method C, frozen after learning.
+"""Language identification by prediction by partial matching: a byte context tree for each language, orders 0 to 3, escapes of method C, frozen after learning.
 
-The code length of a text under a language is exact: each symbol is coded in the longest context that the tree keeps, escapes (with the symbols already seen
-there excluded) lead to the next shorter one and in the end to equal chances. As statistics are frozen, a context's 128 code lengths are worked out once, and
-a text's length is a sum of table entries. Bytes are coded in 128 classes: the 126 most frequent ones, all others, and the edge of a text.
+The code length of a text under a language is exact: each byte is coded in the longest context that the tree has; where it was never seen there, an escape leads
+to the next shorter one, where the symbols already seen above are excluded, and in the end to equal chances of the bytes that are left. A tree is three tables:
+counts of a context's bytes, their totals, and how much of the shorter context's counts the longer one's bytes make up. What a context and a byte cost is worked
+out once and remembered by each worker, so a text's length is a sum of remembered numbers.
 
-Learnt from about SAMPLE texts of each language (by a hash of the id; crc32 of the id modulo 4 not 2). A null text or one without a letter is `und`, score 0.
-Repeated rows get the same answer each; without learning rows all is `und`; an empty table gives an empty one; other columns are ignored.
+Learnt from whole texts of at most BYTES bytes in all, as many of each language (the first by a hash of the id; crc32 of the id modulo 4 not 2; the last text of
+a language may go over). A null text or one without a letter is `und`, score 0; a text may be of any length. Between equal code lengths the first language by
+name wins. Repeated rows get the same answer each; without learning rows all is `und`; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,128 +18,155 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import buffers as B
-from dossier.llm.common import lines, prepare, remainder
-
-#: Texts of each language that are learnt from, about; code lengths kept (32 MB), over all contexts, symbols and languages.
-SAMPLE, CELLS = 3000, 1 << 23
-BITS = 7
-WIDTH = 1 << BITS
-
-
-def contexts(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The three symbols before each one, the oldest first; 0 before a text's beginning."""
-    s = s.astype(np.int32)
-    before = [np.r_[np.zeros(k, np.int32), s[:-k]] if len(s) > k else np.zeros(len(s), np.int32) for k in (1, 2, 3)]
-    for k in range(3):
-        edge = at[:-1] + k
-        edge = edge[edge < len(s)]
-        for later in range(k, 3):
-            before[later][edge] = 0
-    return (before[2] << 2 * BITS) | (before[1] << BITS) | before[0]
-
-
-def _count(symbols: np.ndarray):
-    def run(batches):
-        total: dict[int, list] = {}
-        for batch in batches:
-            data, at = B.column(batch["text"])
-            langs = batch["lang"].to_numpy()
-            for lang in np.unique(langs):
-                for i, j in B.pieces(at):
-                    own = np.flatnonzero(langs[i:j] == lang) + i
-                    if len(own):
-                        s = symbols[np.concatenate([data[at[k] : at[k + 1]] for k in own])]
-                        ends = np.r_[0, np.cumsum(at[own + 1] - at[own])]
-                        held = total.setdefault(int(lang), [])
-                        held.append(np.unique((contexts(s, ends).astype(np.int64) << BITS) | s, return_counts=True))
-                        if len(held) > 64:
-                            total[int(lang)] = [_merged(held)]
-        for lang, held in total.items():
-            k, n = _merged(held)
-            for i in range(0, len(k), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[i : i + 50_000]), lang, np.int32)), pa.array(k[i : i + 50_000]), pa.array(n[i : i + 50_000].astype(np.int64))], names=["lang", "gram", "n"])
-
-    return run
+from dossier.llm.common import cut, lines, prepare, remainder
+from dossier.operators.order import within_budget
+
+#: Bytes of the texts that are learnt from, over all languages; contexts with bytes whose costs a worker remembers (it begins anew when they are more).
+BYTES, REMEMBERED = 32 << 20, 1 << 21
+#: Bits of a symbol (a byte and 1; 0 stands before a text), and of the contexts of each order.
+BITS, ORDERS = 9, 3
+_SYMBOL = (1 << BITS) - 1
+
+
+def grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each byte with the three before it in its text, the oldest first."""
+    s = data.astype(np.int64) + 1
+    out = s.copy()
+    for k in range(1, ORDERS + 1):
+        before = np.zeros(len(s), np.int64)
+        before[k:] = s[: max(0, len(s) - k)]
+        for edge in range(k):
+            first = at[:-1] + edge
+            before[first[first < at[1:]]] = 0
+        out |= before << (k * BITS)
+    return out
+
+
+def _count(batches):
+    total: dict[int, list] = {}
+    for batch in batches:
+        data, at = B.column(batch["text"])
+        langs = batch["lang"].to_numpy()
+        for i, j in B.pieces(at):
+            g = grams(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            whose = np.repeat(langs[i:j], np.diff(at[i : j + 1]))
+            for lang in np.unique(langs[i:j]):
+                held = total.setdefault(int(lang), [])
+                held.append(np.unique(g[whose == lang], return_counts=True))
+                if len(held) > 64:
+                    total[int(lang)] = [_merged(held)]
+    for lang, held in total.items():
+        k, n = _merged(held)
+        for i in range(0, len(k), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[i : i + 50_000]), lang, np.int32)), pa.array(k[i : i + 50_000]), pa.array(n[i : i + 50_000].astype(np.int64))], names=["lang", "gram", "n"])
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their n."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
+    return k[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    k, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return k, np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    return _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+
+def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked key stands among the sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+class Tree:
+    """Counts of one language. Of each order: contexts with their bytes and counts (pairs, n); contexts (own), the total of their counts, how many bytes they have
+    seen (kinds), and how much those bytes count in the next shorter context (shared)."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.orders = []
+        for k in range(ORDERS + 1):
+            pairs, count = _summed(gram & ((1 << (k + 1) * BITS) - 1), n)
+            own, total = _summed(pairs >> BITS, count)
+            kinds = np.diff(np.r_[np.searchsorted(pairs >> BITS, own), len(pairs)])
+            shared = np.zeros(len(own), np.int64)
+            if k:
+                above_pairs, above = self.orders[-1][:2]
+                shared = _summed(pairs >> BITS, above[_found(above_pairs, pairs & ((1 << k * BITS) - 1))[0]])[1]
+            self.orders.append((pairs, count, own, total, kinds, shared))
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """What the last byte of each gram costs after the others."""
+        out, done = np.zeros(len(gram)), np.zeros(len(gram), bool)
+        excluded, gone = np.zeros(len(gram), np.int64), np.zeros(len(gram), np.int64)
+        for k in range(ORDERS, -1, -1):
+            pairs, count, own, total, kinds, shared = self.orders[k]
+            at, known = _found(own, (gram & ((1 << (k + 1) * BITS) - 1)) >> BITS)
+            if not len(own):
+                continue
+            t, d = total[at] - excluded, kinds[at] - gone
+            some = known & ~done & (d > 0)
+            whole = np.maximum(t + np.where(kinds[at] < 256, d, 0), 1)  # a context that has seen every byte needs no escape
+            place, seen = _found(pairs, gram & ((1 << (k + 1) * BITS) - 1))
+            hit = some & seen
+            out[hit] += np.log2(whole[hit]) - np.log2(count[place[hit]])
+            done |= hit
+            left = some & ~seen
+            out[left] += np.log2(whole[left]) - np.log2(d[left])
+            excluded, gone = np.where(known, shared[at], 0), np.where(known, kinds[at], 0)
+        out[~done] += np.log2(256 - gone[~done])
+        return out
 
 
-def _bytes(batches):
-    n = np.zeros(256, np.int64)
-    for batch in batches:
-        n += np.bincount(B.column(batch["text"])[0], minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(n)], names=["byte", "n"])
+class Model:
+    """The trees of all languages, and the costs under each that a worker has worked out."""
 
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
+        self.langs = langs
+        self.trees = [Tree(gram[lang == k], n[lang == k]) for k in range(len(langs))]
+        self.forget()
 
-class Model:
-    """langs; symbols: class of each byte; rows: for three symbols the longest context kept; bits: of context and symbol under each language."""
-
-    def __init__(self, langs: list[str], symbols: np.ndarray, lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
-        self.langs, self.symbols = langs, symbols
-        most = max(2 * WIDTH, CELLS // (WIDTH * max(1, len(langs))))
-        kept = []
-        for order, share in ((2, most // 4), (3, most - most // 4 - WIDTH - 1)):
-            c, back = np.unique((gram >> BITS) & ((1 << order * BITS) - 1), return_inverse=True)
-            total = np.bincount(back, n) if len(gram) else np.zeros(0)
-            kept.append(np.sort(c[np.lexsort((c, -total))[:share]]))
-        two, three = kept
-        firsts = np.cumsum([0, 1, WIDTH, len(two), len(three)])
-        of_two = np.tile(np.arange(WIDTH) + firsts[1], WIDTH)
-        of_two[two] = firsts[2] + np.arange(len(two))
-        self.rows = np.tile(of_two, WIDTH).astype(np.int32)
-        self.rows[three] = firsts[3] + np.arange(len(three))
-        parents = np.concatenate([np.zeros(1 + WIDTH, int), two % WIDTH + firsts[1], of_two[three % WIDTH**2]]).astype(int)
-        self.bits = np.zeros((firsts[4] * WIDTH, len(langs)), np.float32)
-        for k in range(len(langs)):
-            g, m = gram[lang == k], n[lang == k].astype(float)
-            counts = np.zeros((firsts[4], WIDTH))
-            np.add.at(counts[0], g & (WIDTH - 1), m)
-            np.add.at(counts, (((g >> BITS) & (WIDTH - 1)) + firsts[1], g & (WIDTH - 1)), m)
-            for known, order, first in ((two, 2, firsts[2]), (three, 3, firsts[3])):
-                c = (g >> BITS) & ((1 << order * BITS) - 1)
-                at = np.searchsorted(known, c)
-                fine = (at < len(known)) & (known[np.minimum(at, max(0, len(known) - 1))] == c) if len(known) else np.zeros(len(c), bool)
-                np.add.at(counts, (at[fine] + first, g[fine] & (WIDTH - 1)), m[fine])
-            p = np.empty_like(counts)
-            for order in range(4):
-                own = slice(firsts[order], firsts[order + 1])
-                c, up = counts[own], np.full((1, WIDTH), 1 / WIDTH) if order == 0 else p[parents[own]]
-                seen = c > 0
-                distinct, total = seen.sum(1, keepdims=True), c.sum(1, keepdims=True)
-                rest = np.where(seen, 0, up)
-                left = rest.sum(1, keepdims=True)
-                whole = np.where((total > 0) & (left > 0), total + distinct, np.maximum(total, 1))
-                escape = np.where(total > 0, distinct / whole, 1.0)
-                p[own] = c / whole + np.where(left > 0, escape * rest / np.maximum(left, 1e-300), 0)
-            self.bits[:, k] = -np.log2(p).ravel()
+    def forget(self) -> None:
+        self.known, self.costs = np.zeros(0, np.int64), np.zeros((0, len(self.langs)), np.float32)
 
     def lengths(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
-        s = self.symbols[data]
-        index = self.rows[contexts(s, at)] * np.int32(WIDTH) + s
-        return np.add.reduceat(self.bits[index], at[:-1], axis=0, dtype=np.float64)
-
-
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+        g = grams(data, at)
+        order = np.argsort(g)
+        ordered = g[order]
+        first = np.r_[True, ordered[1:] != ordered[:-1]][: len(g)]
+        own = np.empty(len(g), np.int32)
+        own[order] = np.cumsum(first) - 1
+        distinct = ordered[first]
+        place, known = _found(self.known, distinct)
+        if not known.all():
+            if len(self.known) + (~known).sum() > REMEMBERED:
+                self.forget()
+                known[:] = False
+            new = distinct[~known]
+            keys, costs = np.r_[self.known, new], np.concatenate([self.costs, np.stack([t.bits(new) for t in self.trees], 1).astype(np.float32)])
+            by = np.argsort(keys)
+            self.known, self.costs = keys[by], costs[by]
+            place, _ = _found(self.known, distinct)
+        return np.add.reduceat(self.costs[place[own]], at[:-1], axis=0, dtype=np.float64)
+
+
+def fit(docs: DataFrame, limit: int = BYTES) -> Model | None:
     spark = docs.sparkSession
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where((remainder(4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    shares = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not shares:
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.sum(F.octet_length("text") + 1).alias("n")).collect()}
+    if not sizes:
         return None
-    langs = sorted(shares)
-    table = spark.createDataFrame([(x, i, min(1.0, sample / shares[x])) for i, x in enumerate(langs)], "lang string, k int, share double")
+    langs, each = sorted(sizes), limit // len(sizes)
+    table = spark.createDataFrame([(x, i, min(1.0, 2 * each / sizes[x])) for i, x in enumerate(langs)], "lang string, k int, share double")
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = lines(known.join(F.broadcast(table), "lang").where(chance < F.col("share")), "k").withColumnRenamed("k", "lang")
-    n = np.zeros(256, np.int64)
-    for r in some.select("text").mapInArrow(_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        n[r.byte] = r.n
-    symbols = np.full(256, WIDTH - 1, np.uint8)
-    symbols[np.argsort(-n, kind="stable")[: WIDTH - 2]] = np.arange(1, WIDTH - 1)
-    got = some.mapInArrow(_count(symbols), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return Model(langs, symbols, got["lang"].to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy())
+    # the share of ids leaves about twice as many bytes as asked for, the running sum then no more than those
+    some = cut(lines(known.join(F.broadcast(table), "lang").where(chance < F.col("share")), F.col("k").alias("lang"), F.xxhash64("doc_id").alias("place")))
+    some = within_budget(some, ["place", "doc_id", "text"], F.octet_length("text"), each, ["lang"]).select("lang", "text")
+    got = some.mapInArrow(_count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # no more rows than bytes learnt from
+    return Model(langs, got["lang"].to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy())
 
 
 def _predict(shared):
@@ -155,10 +184,10 @@ def _predict(shared):
     return run
 
 
-def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identify(docs: DataFrame, limit: int = BYTES) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits of each row."""
     spark = prepare(docs.sparkSession)
-    model = fit(docs, sample)
+    model = fit(docs, limit)
     rows = lines(docs.withColumn("lettered", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))), "lettered")
     if model is None:
         out = rows.select("doc_id", F.lit(False).alias("lettered"), F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"))

@@ -220,15 +220,69 @@ def test_noisy_channel(docs):
     assert toxicity.viterbi(places, model) == "".join(x[0] for x in max(itertools.product(*places), key=cost))
 
 
-def test_code_lengths(docs):
+def plain_tree(texts):
+    """Counts of the bytes after each context of up to three symbols, by dictionaries."""
+    seen = collections.defaultdict(collections.Counter)
+    for t in texts:
+        s = [None, None, None, *t]
+        for k in range(3, len(s)):
+            for order in range(4):
+                seen[order, tuple(s[k - order : k])][s[k]] += 1
+    return seen
+
+
+def plain_bits(seen, text):
+    """Method C with exclusions, byte by byte."""
+    s, bits = [None, None, None, *text], 0.0
+    for k in range(3, len(s)):
+        excluded = set()
+        for order in range(3, -1, -1):
+            here = {b: n for b, n in seen.get((order, tuple(s[k - order : k])), {}).items() if b not in excluded}
+            if not here:
+                continue
+            total, escapes = sum(here.values()), len(here) if len(here) + len(excluded) < 256 else 0
+            if s[k] in here:
+                bits -= math.log2(here[s[k]] / (total + escapes))
+                break
+            bits -= math.log2(escapes / (total + escapes))
+            excluded |= set(here)
+        else:
+            bits += math.log2(256 - len(excluded))
+    return bits
+
+
+def test_code_lengths(spark):
+    """Against a coder over dictionaries, with bytes and contexts that were never learnt, zero bytes, and texts shorter than a context."""
+    learnt = {"xx": ["the cat sat on the mat", "a \0 b", "", "\0\0\0"], "yy": ["der hund, der bellt", "\x00der é", "aaaaaaaa"]}
+    k = itertools.count()
+    rows = [(i, t, lang) for lang, ts in learnt.items() for t in ts for i in itertools.islice((i for i in k if zlib.crc32(str(i).encode()) % 4 != 2), 1)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    trees = [plain_tree([(t + "\n").encode() for t in learnt[x]]) for x in model.langs]
+    texts = [(t + "\n").encode() for t in ["the dog sat", "", "a", "\0", "zzz \u6f22", "der hund", "aaaa\0aaaa", "the cat sat on the mat" * 3]]
+    for _ in range(2):  # worked out, then remembered
+        got = model.lengths(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])])
+        assert np.allclose(got, [[plain_bits(tree, t) for tree in trees] for t in texts], atol=1e-4)
+    kept, language.REMEMBERED = language.REMEMBERED, 5
+    try:
+        assert np.allclose(model.lengths(np.frombuffer(texts[0] + texts[5], np.uint8), np.array([0, 12, 21])), got[[0, 5]])
+    finally:
+        language.REMEMBERED = kept
+
+
+def test_every_context_is_a_distribution(docs):
     model = language.fit(docs)
-    p = np.exp2(-model.bits.astype(float)).reshape(-1, language.WIDTH, len(model.langs))
-    assert np.allclose(p.sum(1), 1, atol=1e-4)  # every context is a distribution
-    text = "The énd.\n".encode()
-    s = [0, 0, 0, *model.symbols[list(text)].tolist()]
-    want = sum(model.bits[model.rows[(s[k] << 14) | (s[k + 1] << 7) | s[k + 2]] * language.WIDTH + s[k + 3]] for k in range(len(text)))
-    both = np.frombuffer(b"x\n" + text, np.uint8)
-    assert np.allclose(model.lengths(both, np.array([0, 2, len(both)]))[1], want)
+    rng = np.random.default_rng(2)
+    for tree in model.trees:
+        own = tree.orders[3][2]
+        for c in [*rng.choice(own, 40).tolist(), 0, *rng.integers(0, 1 << 27, 10).tolist()]:
+            assert np.exp2(-tree.bits((np.int64(c) << 9) | np.arange(1, 257))).sum() == pytest.approx(1)
+
+
+def test_languages_are_learnt_within_the_bytes(docs):
+    few, all_ = language.fit(docs, 40_000), language.fit(docs)
+    longest = max(len(r.text.encode()) for r in docs.collect())
+    assert all(5_000 < t.orders[0][3].sum() <= 10_000 + longest for t in few.trees)
+    assert sum(t.orders[0][3].sum() for t in all_.trees) == sum(len(r.text.encode()) + 1 for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang)
 
 
 def test_hilbert(docs):
