@@ -20,7 +20,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))  # one process, as in tests: its own folder
     return spark
 
 
@@ -36,6 +39,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Takes away a folder of intermediate files."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def lines(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text ended by a newline (null: empty), and more columns: texts then stand apart in an Arrow buffer."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("\n")).alias("text"), *more)

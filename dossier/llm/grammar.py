@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm import buffers as B
 from dossier.llm import tokens
-from dossier.llm.common import lines, prepare, shared_path
+from dossier.llm.common import cut, lines, prepare, remove, shared_path
 
 #: Ids of a shard. Occurrences from which a rule pays: it is two symbols and a length, and each occurrence saves one symbol.
 SHARD, LEAST = 1 << 19, 4
@@ -285,7 +285,11 @@ def read(spark, folder: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
-    """Writes the documents' ids and returns what the files hold."""
-    folder = folder or shared_path(docs.sparkSession, "grammar")
-    write(docs, folder, path, end_id)
-    return read(docs.sparkSession, folder)
+    """Writes the documents' ids and returns what the files hold. Without a folder of the caller's the files go once they are read."""
+    spark, own = docs.sparkSession, folder or shared_path(docs.sparkSession, "grammar")
+    write(docs, own, path, end_id)
+    if folder:
+        return read(spark, folder)
+    out = cut(read(spark, own))
+    remove(spark, own)
+    return out

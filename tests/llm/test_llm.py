@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import pathlib
 import re
 import zlib
 
@@ -299,6 +300,39 @@ def test_hilbert(docs):
     assert all(r.size == len(text[r.doc_id]) + 8 and r.text_crc32 == zlib.crc32(text[r.doc_id]) for r in rows)
 
 
+def test_cells_of_any_number_of_values(spark):
+    """One way for few values and for many: in order, no value in two cells, no cell with many more rows than its share but for one hot value."""
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.sha1(F.col("id").cast("string"))).alias("word"))
+    cuts = hilbert._word_cuts(rows, "word", 5)
+    assert 20 <= len(cuts) < 32 and cuts == sorted(set(cuts))
+    got = collections.Counter(r.c for r in rows.select(hilbert._cell("word", cuts, "string").alias("c")).collect())
+    assert sorted(got.values())[-2] < 2 * n / 32
+    few = spark.createDataFrame([("a",)] * 5 + [("b",)] * 90 + [(None,)] * 3 + [("c",)] * 5, "word string")
+    cuts = hilbert._word_cuts(few, "word", 5)
+    cells = {r.word: r.c for r in few.select("word", hilbert._cell("word", cuts, "string").alias("c")).distinct().collect()}
+    assert cells[None] == cells["a"] == 0 < cells["b"] < cells["c"]
+
+
+def test_shards_prune_files(spark, docs, tmp_path):
+    import pyarrow.parquet as pq
+
+    folder = str(tmp_path / "shards")
+    hilbert.write_shards(docs.withColumn("slot", F.lit("x")), ["lang", "source"], 24, folder)
+    back = spark.read.parquet(folder)
+    want = {(r.doc_id, r.shard, r.slot) for r in hilbert.hilbert_shards(docs, ["lang", "source"], 24).collect()}
+    assert {(r.doc_id, r.shard, r.slot) for r in back.collect()} == want
+    assert sorted(map(tuple, back.select(docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+    ranges = []
+    for f in pathlib.Path(folder).rglob("*.parquet"):
+        own = pq.ParquetFile(f).metadata.row_group(0)
+        stats = {own.column(k).path_in_schema: own.column(k).statistics for k in range(own.num_columns)}
+        ranges.append([(stats[c].min, stats[c].max) for c in ("lang", "source")])
+    asked = docs.select("lang", "source").distinct().collect()
+    read = sum(all(lo <= v <= hi for v, (lo, hi) in zip(q, r, strict=True)) for q in asked for r in ranges)
+    assert read < 0.35 * len(asked) * len(ranges)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder(docs, name):
     from tokenizers import Tokenizer
