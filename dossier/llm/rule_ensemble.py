@@ -1,7 +1,9 @@
 """Quality classifier: tree paths over document statistics as conjunctive rules, lasso logistic weights, compiled into one Spark column.
 
-Learnt from at most SAMPLE labelled documents of each quality whose crc32(id) modulo 4 is not 2. Nulls and empty texts are texts without words; repeated
-rows get the same score each; without labels of both kinds every score is the share of good ones, or 0.5; an empty table gives an empty one.
+Learnt from at most SAMPLE labelled documents of each quality whose crc32(id) modulo 4 is not 2. The lasso sees every path of every tree, but those that hold in
+fewer than SUPPORT of these rows or fail in fewer, and is solved until the optimum's conditions hold. Nulls and empty texts are texts without words; a text of
+any length is read whole; repeated rows and texts of equal statistics get the same score each; without labels of both kinds every score is the share of good
+ones, or 0.5; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from dossier.llm.docstats import features, statistics
 from dossier.llm.quality_rules import SAMPLE, sample
 from dossier.llm.trees import Rule, boosted, holds, lasso_logistic, paths
 
-#: Lasso penalty a row; the share of rows a rule must hold and miss; rules at most.
-PENALTY, SUPPORT, RULES = 0.0005, 0.002, 400
+#: Lasso penalty a row; the share of the learning rows that a rule must hold in, and must not hold in.
+PENALTY, SUPPORT = 0.0005, 0.002
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> tuple[float, list[tuple[Rule, float]]]:
@@ -32,7 +34,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> tuple[float,
     rules = list(dict.fromkeys(r for depth, trees in ((2, 30), (3, 30)) for r in paths(boosted(x, y, free, trees, depth, 0.2))))
     on = holds(rules, x)
     share = on.mean(0)
-    fine = [i for i in np.flatnonzero((share >= SUPPORT) & (share <= 1 - SUPPORT))][:RULES]
+    fine = np.flatnonzero((share >= SUPPORT) & (share <= 1 - SUPPORT))
     b, w = lasso_logistic(on[:, fine], y, penalty)
     return b, [(rules[i], float(v)) for i, v in zip(fine, w, strict=True) if v]
 

@@ -113,17 +113,34 @@ def holds(rules: list[Rule], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
-    """Intercept and sparse weights by accelerated proximal gradient steps; penalty is for each row."""
+def lasso_violation(x: np.ndarray, y: np.ndarray, rows: np.ndarray, b: float, w: np.ndarray, penalty: float) -> float:
+    """How far intercept and weights are from the optimum's conditions: the slope is 0 for the intercept, minus the penalty with a weight's sign, and no more
+    than the penalty where a weight is 0. y: sums of labels, rows: numbers of rows that each row of x stands for."""
+    e = (rows / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - y) / rows.sum()
+    g = x.T @ e
+    return float(max([abs(e.sum()), *np.where(w != 0, np.abs(g + penalty * np.sign(w)), np.maximum(np.abs(g) - penalty, 0))]))
+
+
+def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, close: float = 0.02, steps: int = 50_000) -> tuple[float, np.ndarray]:
+    """Intercept and sparse weights for 0/1 columns by accelerated proximal gradient steps that begin anew when they overshoot, until the optimum's conditions hold
+    to `close` of the penalty. penalty is for each row; rows with equal columns are one row with a weight."""
     n, k = x.shape
-    x = x.astype(float)
-    size = 0.25 * (np.linalg.norm(x, 2) ** 2 / max(1, n) + 1) if k and n else 1.0
+    if not n:
+        return 0.0, np.zeros(k)
+    _, one, own = np.unique(np.packbits(x.astype(bool), axis=1), axis=0, return_index=True, return_inverse=True)
+    rows, sums = np.bincount(own.ravel()).astype(float), np.bincount(own.ravel(), y)
+    x = x[one].astype(float)
+    size = 0.25 * np.linalg.norm(np.c_[x, np.ones(len(x))] * np.sqrt(rows / n)[:, None], 2) ** 2
     w, z, b, c, m = np.zeros(k), np.zeros(k), 0.0, 0.0, 1.0
-    for _ in range(steps):
-        e = (1 / (1 + np.exp(-np.clip(x @ z + c, -40, 40))) - y) / max(1, n)
+    for step in range(steps):
+        e = (rows / (1 + np.exp(-np.clip(x @ z + c, -40, 40))) - sums) / n
         u = z - x.T @ e / size
         w_next, b_next = np.sign(u) * np.maximum(np.abs(u) - penalty / size, 0), c - e.sum() / size
-        m_next = (1 + np.sqrt(1 + 4 * m * m)) / 2
-        z, c = w_next + (m - 1) / m_next * (w_next - w), b_next + (m - 1) / m_next * (b_next - b)
+        back = (z - w_next) @ (w_next - w) + (c - b_next) * (b_next - b) > 0
+        m_next = 1.0 if back else (1 + np.sqrt(1 + 4 * m * m)) / 2
+        go = 0.0 if back else (m - 1) / m_next
+        z, c = w_next + go * (w_next - w), b_next + go * (b_next - b)
         w, b, m = w_next, b_next, m_next
+        if step % 50 == 49 and lasso_violation(x, sums, rows, b, w, penalty) <= close * penalty:
+            break
     return b, w

@@ -179,6 +179,69 @@ def test_rules_compile_to_the_same_score(spark):
     assert np.allclose(got, want) and ((want > 0.5) == y).mean() > 0.95
 
 
+def test_lasso_is_at_its_optimum():
+    rng = np.random.default_rng(4)
+    x = rng.random((400, 12)) < 0.4
+    x[:, 11] = x[:, 10]  # two equal rules
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2.0 * x[:, 0] - 1.5 * x[:, 1] + 0.2)))).astype(float)
+    penalty = 0.01
+    b, w = trees.lasso_logistic(x, y, penalty)
+
+    def loss(b, w):
+        m = x @ w + b
+        return np.mean(np.log1p(np.exp(m)) - y * m) + penalty * np.abs(w).sum()
+
+    slope = x.T @ (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+    assert np.abs(slope[w == 0]).max() <= 1.02 * penalty and np.allclose(slope[w != 0], -penalty * np.sign(w[w != 0]), atol=0.02 * penalty)
+    assert {0, 1} <= set(np.flatnonzero(w)) and (w == 0).sum() >= 4
+    # a search without slopes: one number after another over a grid that gets finer ends no lower
+    bs, ws, wide = 0.0, np.zeros(12), 1.0
+    while wide > 1e-4:
+        before = loss(bs, ws)
+        for k in range(-1, 12):
+            tries = [(bs + d * wide, ws) if k < 0 else (bs, ws + d * wide * (np.arange(12) == k)) for d in (-1, 0, 1)]
+            tries += [] if k < 0 else [(bs, np.where(np.arange(12) == k, 0, ws))]
+            bs, ws = min(tries, key=lambda t: loss(*t))
+        wide = wide if loss(bs, ws) < before - 1e-12 else wide / 2
+    assert loss(b, w) <= loss(bs, ws) + 1e-6
+
+
+def test_paths_by_walking():
+    """Every step of every row on every tree is one of the rules, and the rule holds for just the rows that come there."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((300, 4)), 2)
+    f = trees.boosted(x, (x[:, 0] * x[:, 1] > x[:, 2] / 3).astype(float), np.zeros(4, int), trees=6, depth=3)
+    seen = collections.defaultdict(set)
+    for t in range(6):
+        for r, row in enumerate(x):
+            at, box = 0, {}
+            for _ in range(3):
+                k, cut = int(f.feature[t, at]), float(f.threshold[t, at])
+                at = 2 * at + 1 + int(row[k] > cut)
+                if math.isfinite(cut):
+                    lo, hi = box.get(k, (-math.inf, math.inf))
+                    box[k] = (lo, min(hi, cut)) if row[k] <= cut else (max(lo, cut), hi)
+                    seen[tuple(sorted((c, *v) for c, v in box.items()))].add(r)
+    rules = trees.paths(f)
+    assert set(rules) == set(seen)
+    on = trees.holds(rules, x)
+    assert all(set(np.flatnonzero(on[:, k])) == seen[r] for k, r in enumerate(rules))
+
+
+def test_no_rule_is_left_out():
+    """More paths than any fixed number: all that have support come to the lasso."""
+    rng = np.random.default_rng(11)
+    x = rng.random((3000, 8))
+    y = (np.sin(9 * x).sum(1) + rng.normal(0, 1, 3000) > 0).astype(float)
+    got = {}
+    kept, rule_ensemble.lasso_logistic = rule_ensemble.lasso_logistic, lambda on, y, penalty: (got.update(n=on.shape[1]), (0.0, np.zeros(on.shape[1])))[1]
+    try:
+        rule_ensemble.fit(x, y)
+    finally:
+        rule_ensemble.lasso_logistic = kept
+    assert got["n"] > 400
+
+
 @pytest.fixture(scope="module")
 def larger(spark):
     d = "/root/testdata/sf0.1"
