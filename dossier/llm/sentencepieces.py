@@ -5,7 +5,7 @@ together: for each end and each piece length a substring hash of all of them pro
 arrays. A character without a piece costs ten less than the worst piece and is written as byte pieces. Scores and ties are those of the library's unigram
 decoder (single precision, the earliest begin wins).
 
-Nulls: a null text is an empty one without ids; repeated rows get the same answer each; an empty table gives an empty one; other columns are ignored.
+Nulls: a null text is an empty one without ids; a text of any length is encoded whole; repeated rows get the same answer each; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,8 +133,9 @@ class Encoder:
     def encode(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """Ids of each text; texts begin with the space that is put before them (or are empty) and end in a newline that isn't encoded."""
         space = data == 32
-        begin = np.flatnonzero(space & ~np.r_[False, space[:-1]])
-        begin = np.unique(np.r_[begin, at[:-1]])
+        starts = space & ~np.r_[False, space[:-1]]
+        starts[at[:-1]] = True
+        begin = np.flatnonzero(starts)
         end = np.r_[begin[1:], len(data)]
         end = end - np.isin(end, at[1:])
         keep = end > begin

@@ -7,8 +7,8 @@ built again with more cells until it can. Likeness: common digests over all dige
 Each text is compared with its edited text (its last half replaced by the first half of the next document's) and with the next document, in descending doc_id
 order, after the last the first. Texts are range-partitioned and sorted; only the edges of the parts are joined afterwards.
 
-Nulls: a null text is an empty one; two empty texts are alike (1.0); null doc_ids come last. Rows of equal ids follow one another by a hash of their text; a
-table of one row is its own next; an empty table gives an empty one; other columns are ignored.
+Nulls: a null text is an empty one; two empty texts are alike (1.0); null doc_ids come last. Rows of equal ids follow one another by a hash of their text, then by
+it, and may be in many parts; a text of any length is read whole; a table of one row is its own next; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -189,7 +189,7 @@ def versions(docs: DataFrame) -> DataFrame:
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.desc_nulls_last("doc_id"), F.xxhash64("text")]
-    rows = rows.repartitionByRange(n, F.desc_nulls_last("doc_id")).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id())
     out = cut(rows.mapInArrow(_in_part, f"part int, role string, doc_id long, text string, {COLUMNS}"))
     edges = out.where("role is not null")
     parts = sorted(r.part for r in edges.where("role = 'first'").select("part").collect())

@@ -1,5 +1,5 @@
 """Token ids of whole texts, a batch at a time. A text falls into units that a tokenizer encodes one by one; each distinct unit is encoded once by the
-tokenizers library, and numpy looks up the others by a 64-bit hash. Texts with characters whose units are not told apart here go to the library whole."""
+tokenizers library, and numpy looks up the others by a 64-bit hash and compares their bytes. Texts with characters whose units are not told apart here go to the library whole."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from dossier.llm import buffers as B
 
 
 class Units:
-    """Hash of a unit -> its ids. encode gets the units that are new, as bytes. When the table is full it begins anew."""
+    """Hash of a unit -> its bytes and ids. encode gets the units that are new, as bytes. When the table is full it begins anew. Where two units have one hash, the
+    units of that call are encoded one by one."""
 
     BITS = 21
 
@@ -24,6 +25,7 @@ class Units:
         self.keys = np.zeros(1 << self.BITS, np.uint64)
         self.place = np.zeros(1 << self.BITS, np.int32)
         self.first, self.count, self.ids, self.n, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint16), 0, 0
+        self.begin, self.size, self.bytes, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint8), 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1."""
@@ -46,8 +48,11 @@ class Units:
         got = self.encode(units)
         count = np.array([len(x) for x in got], np.int32)
         flat = np.fromiter((i for x in got for i in x), np.int64, int(count.sum()))
+        raw, size = np.frombuffer(b"".join(units), np.uint8), np.array([len(u) for u in units])
         while self.n + len(h) > len(self.first):
-            self.first, self.count = (np.r_[x, np.zeros_like(x)] for x in (self.first, self.count))
+            self.first, self.count, self.begin, self.size = (np.r_[x, np.zeros_like(x)] for x in (self.first, self.count, self.begin, self.size))
+        while self.filled + len(raw) > len(self.bytes):
+            self.bytes = np.r_[self.bytes, np.zeros_like(self.bytes)]
         if len(flat) and flat.max() > np.iinfo(self.ids.dtype).max:
             self.ids = self.ids.astype(np.uint32)
         while self.used + len(flat) > len(self.ids):
@@ -55,7 +60,9 @@ class Units:
         own = np.arange(self.n, self.n + len(h))
         self.first[own], self.count[own] = self.used + np.cumsum(count) - count, count
         self.ids[self.used : self.used + len(flat)] = flat
-        self.n, self.used = self.n + len(h), self.used + len(flat)
+        self.begin[own], self.size[own] = self.filled + np.cumsum(size) - size, size
+        self.bytes[self.filled : self.filled + len(raw)] = raw
+        self.n, self.used, self.filled = self.n + len(h), self.used + len(flat), self.filled + len(raw)
         slot, mask, left = (h >> np.uint64(64 - self.BITS)).astype(np.int64), (1 << self.BITS) - 1, np.arange(len(h))
         while len(left):
             free = left[self.keys[slot[left]] == 0]
@@ -65,6 +72,22 @@ class Units:
             left = left[~np.isin(left, put)]
             slot[left] = (slot[left] + 1) & mask
 
+    def _same(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, entry: np.ndarray) -> bool:
+        """Whether each entry is that of just these bytes."""
+        size = end - begin
+        if not (self.size[entry] == size).all():
+            return False
+        before = np.cumsum(size) - size
+        step = np.arange(size.sum())
+        return bool((data[np.repeat(begin - before, size) + step] == self.bytes[np.repeat(self.begin[entry] - before, size) + step]).all())
+
+    def _one_by_one(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        units = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        distinct = list(dict.fromkeys(units))
+        ids = dict(zip(distinct, self.encode(distinct), strict=True))
+        return np.array([i for u in units for i in ids[u]], np.uint32), np.array([len(ids[u]) for u in units], np.int64)
+
     def lookup(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units data[b:e], one after another, and how many each unit has."""
         h = B.hashed_runs(data, begin, end) | np.uint64(1)
@@ -80,6 +103,8 @@ class Units:
                 return self.lookup(data, begin, end)
             self._add(keys, [raw[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
             entry[new] = self._find(h[new])
+        if not self._same(data, begin, end, entry):
+            return self._one_by_one(data, begin, end)
         count = self.count[entry].astype(np.int64)
         ends = np.cumsum(count)
         return self.ids[np.repeat(self.first[entry] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)], count

@@ -4,11 +4,11 @@
 2. A text that holds a suspicious run of characters is read again: each run becomes a lattice (a sign stands for a letter or for nothing, a gap stays or goes,
    three equal letters are one or two), the best path replaces the run. Other texts have one path only and stay as they are.
 3. From at most SAMPLE labelled texts of each kind (crc32 of the id modulo 3 not 1): in how many toxic and other texts each word beginning and word occurs. Its
-   weight is the log of a low estimate of the one rate over a high estimate of the other.
+   weight is the log of a low estimate of the one rate over a high estimate of the other; all that speak for toxic texts are kept.
 4. A few monotonic trees turn a text's sum, share and maximum of weights into a score. In learning, a text's own count is taken off first.
 
-Nulls and empty texts are texts without words; repeated rows get the same answer each; without labels of both kinds every score is 0; an empty table gives an
-empty one; other columns are ignored.
+Nulls and empty texts are texts without words; a text of any length is read whole; repeated rows get the same answer each; without labels of both kinds every
+score is 0; an empty table gives an empty one; other columns are ignored, but for those that a caller asks to be carried.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from dossier.llm import buffers as B
 from dossier.llm.common import labelled, lines, prepare, remainder
 from dossier.llm.trees import Forest, boosted
 
-#: Labelled texts of each kind that are learnt from, at most; weighted beginnings kept, at most.
-SAMPLE, STEMS = 4000, 20_000
+#: Labelled texts of each kind that are learnt from, at most.
+SAMPLE = 4000
 #: Bytes of the word beginnings that are weighed, besides whole words.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Letters that a sign may stand for.
@@ -48,7 +48,12 @@ _LOWER = B.LOWER.copy()
 _LOWER[0x80:0x9F] += 0x20  # the second byte of accented capitals
 _CODES = B.CODES[_LOWER]
 
-RUNS = re.compile(r"(?<![a-z])[a-z](?:[ .\-_*]{1,2}[a-z](?![a-z])){2,}|(?<![a-z0-9@$!+])[a-z]*[0-9@$!+][a-z0-9@$!+]*[a-z0-9@$]|(?<![a-z])[a-z]*([a-z])\1\1[a-z]*")
+#: Runs that become lattices: single letters and signs with gaps between, words of letters and signs, three equal letters.
+RUNS = re.compile(r"(?<![a-z0-9@$!+])[a-z0-9@$!+](?:[ .\-_*]{1,3}[a-z0-9@$!+](?![a-z0-9@$!+])){2,}|(?<![a-z0-9@$!+])[a-z]*(?:[0-9@$!+][a-z0-9@$!+]*[a-z0-9@$]|[0-9@$])|(?<![a-z])[a-z]*([a-z])\1\1[a-z]*")
+_ASCII = np.zeros(256, bool)
+_ASCII[65:91] = _ASCII[97:123] = True
+_TOKEN = _ASCII.copy()
+_TOKEN[[ord(c) for c in "0123456789@$!+"]] = True
 
 
 def trigrams(batches):
@@ -118,19 +123,23 @@ def restorer(model: np.ndarray):
 
 
 def suspicious(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which texts hold something that RUNS may match."""
+    """Which texts hold a run that RUNS matches and that has more than one reading (and perhaps a few others)."""
     low, n = _LOWER[data], len(data)
-    letter = _LETTER[data]
-    mark = np.zeros(n, bool)
-    if n > 5:
-        mark[1:] |= _SIGN[data[1:]] & letter[:-1]
-        mark[:-1] |= _SIGN[data[:-1]] & letter[1:]
-        mark[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
-        gap = _GAP[data]
-        step = np.flatnonzero(letter[:-2] & gap[1:-1] & (letter[2:] | gap[2:]) & np.r_[True, ~letter[: n - 3]])
-        mark[step] |= np.isin(step + 2, step) | np.isin(step + 3, step)
-    sums = np.r_[0, np.cumsum(mark)]
-    return sums[at[1:]] > sums[at[:-1]]
+    letters, signs, gaps = (np.r_[0, np.cumsum(m[data])] for m in (_ASCII, _SIGN, _GAP))
+    edge = np.flatnonzero(np.diff(np.r_[False, _TOKEN[data], False].view(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    lettered = letters[end] > letters[begin]
+    odd = begin[lettered & (signs[end] > signs[begin])]
+    if len(begin) > 2:
+        wide = begin[1:] - end[:-1]
+        near = (end[:-1] - begin[:-1] == 1) & (end[1:] - begin[1:] == 1) & (wide <= 3) & (gaps[begin[1:]] - gaps[end[:-1]] == wide)
+        odd = np.r_[odd, begin[:-2][near[:-1] & near[1:] & (lettered[:-2] | lettered[1:-1] | lettered[2:])]]
+    if n > 2:
+        odd = np.r_[odd, np.flatnonzero(_ASCII[data[:-2]] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]))]
+        odd = np.r_[odd, np.flatnonzero((data[:-1] == 0xC4) & (data[1:] == 0xB0)), np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x84) & (data[2:] == 0xAA))]  # their lower case is ASCII
+    out = np.zeros(len(at) - 1, bool)
+    out[np.searchsorted(at, odd, "right") - 1] = True
+    return out
 
 
 def restored(data: np.ndarray, at: np.ndarray, restore) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.nda
     some = labelled(docs, labels, "toxic", remainder(3) != 1, bound).select("label", F.concat("text", F.lit("\n")).alias("text"))
     sizes = dict(some.groupBy("label").count().collect())
     counts = some.mapInArrow(_stem_counts(shared), "key long, t long, c long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    table = counts.where(f"t >= 3 and t * {sizes.get(0, 0)} > 2 * c * {sizes.get(1, 0)}").orderBy(F.desc(F.col("t") - F.col("c")), "key").limit(STEMS).toPandas()
+    table = counts.where(f"t >= 3 and t * {sizes.get(0, 0)} > 2 * c * {sizes.get(1, 0)}").toPandas()  # of the words of at most 2 * bound texts
     stems = Stems(table["key"].to_numpy(np.int64).view(np.uint64), table["t"].to_numpy(), table["c"].to_numpy(), sizes.get(1, 0), sizes.get(0, 0))
     if len(sizes) < 2:
         return model, stems, None
@@ -245,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.nda
     return model, stems, boosted(rows[["a", "b", "c", "d"]].to_numpy(), rows["label"].to_numpy(float), np.array([1, 1, 1, 1]), trees=40, depth=3, rate=0.2)
 
 
-def _score(shared):
+def _score(shared, carried: list[str]):
     def run(batches):
         model, stems, forest = shared.value
         restore = restorer(model)
@@ -253,15 +262,16 @@ def _score(shared):
             data, at = B.column(batch["text"])
             for i, j in B.pieces(at):
                 p = forest.probability(stems.facts(*restored(data[at[i] : at[j]], at[i : j + 1] - at[i], restore)))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(p)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, j - i) for c in carried), pa.array(p)], names=[*carried, "score"])
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, bound: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row."""
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, bound: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the columns to carry of each row."""
     spark = prepare(docs.sparkSession)
     fitted = fit(docs, labels, bound)
-    rows = lines(docs)
-    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(fitted)), "doc_id long, score double") if fitted[2] else rows.select("doc_id", F.lit(0.0).alias("score"))
-    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = lines(docs, *carry)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema)
+    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(fitted), ["doc_id", *carry]), f"{kinds}, score double") if fitted[2] else rows.select("doc_id", *carry, F.lit(0.0).alias("score"))
+    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carry)

@@ -315,6 +315,75 @@ def plain_bits(seen, text):
     return bits
 
 
+@pytest.mark.parametrize("text", ["éf u c", "s h 1 t", "w.0.r.d", "a . b . c . d", "a2@2b", "x3", "cooool", "Ünm1x", "\u212a e e p", "b-@-d", "é1a", "aaa2"])
+def test_what_runs_match_is_suspicious(text):
+    raw = ("zz " + text + "\n").encode()
+    assert toxicity.RUNS.search(text.lower()) and toxicity.suspicious(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+
+
+def test_no_text_with_a_second_reading_is_passed_over():
+    rng = np.random.default_rng(12)
+    signs = list("ab1@2. -_*é\nZ!+7x") + ["  ", "aa", "İ"]
+    texts = ["".join(rng.choice(signs, rng.integers(1, 9))) for _ in range(4000)]
+    raw = [(t + "\n").encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])]
+    odd = toxicity.suspicious(data, at)
+    for t, o in zip(texts, odd, strict=True):
+        for m in toxicity.RUNS.finditer(t.lower()):
+            assert o or not any("a" <= c <= "z" for c in m[0]) or all(len(x) == 1 for x in toxicity.lattice(m[0])), t
+    assert 0.1 < odd.mean() < 0.9
+    clean = "The year 2026 had 365 days. 1 2 3 4! Straße, o'clock @ 10.30\n".encode()
+    assert not toxicity.suspicious(np.frombuffer(clean, np.uint8), np.array([0, len(clean)]))[0]
+
+
+def test_stem_weights_by_counting(docs):
+    """Weights and facts of a few texts against sets of word beginnings."""
+    texts = [r.text.lower() for r in docs.orderBy("doc_id").limit(30).collect()] + 4 * ["tox toxic word", "tox word", "toxins here", "the toxic one"] + ["tox", ""]
+    label = np.array([0] * 30 + [1] * 16 + [0, 0])
+    words = [re.findall(r"[a-z\u0080-\U0010ffff]+", t) for t in texts]
+    stems = lambda w: [w.encode()[:k] for k in toxicity.PREFIXES if len(w.encode()) > k] + [w.encode() + b"$"]
+    t, c = collections.Counter(), collections.Counter()
+    for ws, y in zip(words, label, strict=True):
+        (t if y else c).update({s for w in ws for s in stems(w)})
+
+    def weight(s, own=None):
+        a, b = t[s] - (own == 1), c[s] - (own == 0)
+        if a < 3:
+            return 0.0
+        w = math.log((a - 1.5 * math.sqrt(a)) / 16 / ((b + 1 + 1.5 * math.sqrt(b + 1)) / 32))
+        return w if w > 0.7 else 0.0
+
+    raw = [(x + "\n").encode() for x in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])]
+    keys, first = toxicity.beginnings(data, at)
+    name = {}
+    for k, ws in enumerate(words):
+        assert first[k + 1] - first[k] == len(ws)
+        for row, w in zip(keys[first[k] : first[k + 1]], ws, strict=True):
+            named = [w.encode()[:p] if len(w.encode()) > p else None for p in toxicity.PREFIXES] + [w.encode() + b"$"]
+            for h, s in zip(row.tolist(), named, strict=True):
+                assert (s is None) == (h == 0) and name.setdefault(h, s) == s
+    known = np.array(sorted(h for h, s in name.items() if s and t[s] >= 3), np.uint64)
+    model = toxicity.Stems(known, np.array([t[name[int(h)]] for h in known]), np.array([c[name[int(h)]] for h in known]), 16, 32)
+    for own in (None, label.astype(float)):
+        got = model.facts(data, at, own)
+        for k, ws in enumerate(words):
+            best = [max(weight(s, None if own is None else label[k]) for s in stems(w)) for w in ws]
+            want = [math.log1p(sum(best)), math.log1p(100 * sum(best) / max(1, len(ws))), max(best, default=0), min(20, sum(x > 0 for x in best))]
+            assert got[k] == pytest.approx(want)
+    assert model.facts(data, at)[30, 0] > 0
+
+
+def test_units_with_one_hash(monkeypatch):
+    """Where hashes say nothing, bytes do."""
+    e = tokens.Encoder(path("byte_bpe_50k.json"))
+    want = [e.whole.encode(t, add_special_tokens=False).ids for t in ("one two three", "two one", "six")]
+    monkeypatch.setattr(B, "hashed_runs", lambda data, begin, end, codes=None: (end - begin).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    data, at = np.frombuffer(b"one two three\ntwo one\nsix\n", np.uint8), np.array([0, 14, 22, 26])
+    for _ in range(2):
+        assert [x.tolist() for x in e.encode(data, at)] == want
+
+
 def test_code_lengths(spark):
     """Against a coder over dictionaries, with bytes and contexts that were never learnt, zero bytes, and texts shorter than a context."""
     learnt = {"xx": ["the cat sat on the mat", "a \0 b", "", "\0\0\0"], "yy": ["der hund, der bellt", "\x00der é", "aaaaaaaa"]}
