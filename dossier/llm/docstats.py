@@ -60,17 +60,22 @@ def counts(data: np.ndarray, at: np.ndarray, repeat: int = 3) -> dict[str, np.nd
     }
 
 
-def _run(batches):
-    for batch in batches:
-        data, at = B.column(batch["text"])
-        for i, j in B.pieces(at):
-            found = counts(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], names=["doc_id", *COUNTS])
-
-
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS of each row of docs."""
-    return lines(docs).mapInArrow(_run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+def _run(carried: list[str]):
+    def run(batches):
+        for batch in batches:
+            data, at = B.column(batch["text"])
+            for i, j in B.pieces(at):
+                found = counts(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, j - i) for c in carried), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], names=[*carried, *COUNTS])
+
+    return run
+
+
+def statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry and COUNTS of each row of docs."""
+    rows = lines(docs, *carry)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema)
+    return rows.mapInArrow(_run(["doc_id", *carry]), f"{kinds}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _per(a: str, b: str) -> Column:

@@ -72,10 +72,7 @@ def minima(x: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
-
-
-def _signed(size: int, percent: int):
+def _signed(size: int, percent: int, carried: list[str]):
     bands_n, rows_n, _ = layout(percent)
 
     def run(batches):
@@ -96,7 +93,8 @@ def _signed(size: int, percent: int):
                 h = np.array(h, np.uint64).reshape(-1, 2).view(np.int64)
                 bands = pa.ListArray.from_arrays(np.arange(0, k.size + 1, bands_n, dtype=np.int32), pa.array(k.ravel().view(np.int64)))
                 sigs = [x.tobytes() for x in (s & np.uint32(255)).astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), bands, pa.array(sigs, pa.binary())], schema=SIGNED)
+                own = [batch[c].slice(i, j - i) for c in carried]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), bands, pa.array(sigs, pa.binary())], names=[*carried, "n", "h1", "h2", "bands", "sig"])
 
     return run
 
@@ -227,11 +225,12 @@ def _verified(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row: links where 100 * common >= percent * united shingles."""
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and the columns to carry of each row: links where 100 * common >= percent * united shingles."""
     prepare(docs.sparkSession)
-    texts = lines(docs)
-    base = cut(texts.mapInArrow(_signed(size, percent), "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary"))
+    texts, rows = lines(docs), lines(docs, *carry)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema)
+    base = cut(rows.mapInArrow(_signed(size, percent, ["doc_id", *carry]), f"{kinds}, n long, h1 long, h2 long, bands array<long>, sig binary"))
     whole = base.where("n > 0 and doc_id is not null")
     classes = cut(whole.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("x")).select("h1", "h2", "n", F.col("x.doc_id").alias("rep"), "x.bands", "x.sig"))
     facts = classes.select("rep", "n", "bands", "sig")
@@ -264,7 +263,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
         found = components(links.unionByName(late))
 
     class_roots = classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"))
-    out = base.select("doc_id", "n", "h1", "h2").join(class_roots, ["h1", "h2", "n"], "left")
+    out = base.select("doc_id", *carry, "n", "h1", "h2").join(class_roots, ["h1", "h2", "n"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     own = F.when(F.col("doc_id").isNotNull(), own)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"), *carry)

@@ -1,8 +1,9 @@
 """Quality rules: boosted trees over document statistics, monotonic in the chosen ones, score whole texts as flat numpy arrays.
 
 Learnt from at most SAMPLE labelled documents of each quality (their ids by a hash, crc32 of the id modulo 4 not 2); statistics are those of all words.
-A text fails the base rules with fewer than 50 words or with over half of its words in repeated 3-word windows. Nulls and empty texts fail; repeated rows
-get the same answer each; without labels of both kinds only the base rules decide; an empty table gives an empty one; other columns are ignored.
+A text fails the base rules with fewer than 50 words or with over half of its words in repeated 3-word windows. Nulls and empty texts fail; a text of any length is
+read whole; repeated rows, and texts of equal statistics, get the same answer each; without labels of both kinds only the base rules decide; an empty table gives
+an empty one; other columns are ignored, but for those that a caller asks to be carried.
 """
 
 from __future__ import annotations
@@ -53,12 +54,14 @@ def _score(forest: Forest | None, names: list[str]):
     return run
 
 
-def quality(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and quality_score of each row."""
+def quality(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the counts, base_failed, kept, quality_score and the columns to carry of each row."""
     prepare(docs.sparkSession)
     kinds = features()
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    stats = statistics(docs).select("doc_id", *base, *(c.alias(k) for k, (c, _) in kinds.items()))
-    scored = stats.mapInArrow(_score(fit(docs, labels), list(kinds)), f"doc_id long, {', '.join(f'{c} long' for c in base)}, quality_score double")
+    stats = statistics(docs, carry).select("doc_id", *carry, *base, *(c.alias(f"f_{k}") for k, (c, _) in kinds.items()))
+    names = [f"f_{k}" for k in kinds]
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.drop(*names).schema)
+    scored = stats.mapInArrow(_score(fit(docs, labels), names), f"{shape}, quality_score double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return scored.select("doc_id", *base, failed.alias("base_failed"), (~failed & (F.col("quality_score") >= keep_from)).alias("kept"), "quality_score")
+    return scored.select("doc_id", *base, failed.alias("base_failed"), (~failed & (F.col("quality_score") >= keep_from)).alias("kept"), "quality_score", *carry)

@@ -659,6 +659,25 @@ def test_packing(docs):
     assert max(at.values()) <= 4096 and len(at) <= -(-sum(at.values()) // 4096) + 1
 
 
+def test_quality_by_plain_rules(docs, labels):
+    """base_failed from words alone, kept from the trees walked node by node over plain statistics."""
+    forest = quality_rules.fit(docs, labels)
+    kinds = docstats.features()
+    plain = {r.doc_id: r for r in docstats.statistics(docs).select("doc_id", *(c.alias(k) for k, (c, _) in kinds.items())).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    rows = quality_rules.quality(docs, labels).collect()
+    assert {r.kept for r in rows} == {r.base_failed for r in rows} == {True, False}
+    for r in rows:
+        w = WORD.findall(text[r.doc_id])
+        grams = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        twice = {k + d for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        failed = len(w) < 50 or 100 * len(twice) > 50 * len(w)
+        row = [plain[r.doc_id][k] for k in kinds]
+        margin = forest.base + sum(v[walk(forest, t, row)] for t, v in enumerate(forest.value))
+        p = 1 / (1 + math.exp(-margin))
+        assert r.base_failed == failed and r.quality_score == pytest.approx(p) and r.kept == (not failed and p >= quality_rules.KEEP_FROM)
+
+
 def test_pipeline(spark, sf, docs, labels):
     import corpus_pipeline
 
@@ -667,11 +686,59 @@ def test_pipeline(spark, sf, docs, labels):
     want = want.where(~F.col("doc_id").isin(toxic))
     poor = {r.doc_id for r in quality_rules.quality(want, labels).where("not kept").collect()}
     rows = [(r.doc_id, r.text) for r in want.where(~F.col("doc_id").isin(poor)).collect()]
-    best = components(sets(rows))
+    best = components(sets(rows), 80)
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == {i for i in best if best[i] == i}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "minhash", "packing"]
 
 
+def test_pipeline_on_odd_rows(spark, sf, docs, tmp_path):
+    """Null ids, repeated rows, one id with several texts, a pair at 0.82, extra columns, and empty tables."""
+    import corpus_pipeline
+
+    kept = {x.doc_id for x in corpus_pipeline.run(spark, sf).select("doc_id").collect()}
+    good = next(r.text for r in docs.orderBy("doc_id").collect() if r.doc_id in kept and len(r.text.split()) > 400)
+    words = good.split()
+    for edits in range(1, 99):
+        near = " ".join(f"changed{i}" if i % (len(words) // edits) == 7 and i // (len(words) // edits) < edits else w for i, w in enumerate(words))
+        both = sets([(0, good), (1, near)])
+        likeness = len(both[0] & both[1]) / len(both[0] | both[1])
+        if likeness < 0.845:
+            break
+    assert 0.8 <= likeness < 0.85
+    rows = [(1, good), (1, good), (2, None), (3, ""), (None, good), (None, None), (4, near), (5, good + " x " * 3), (1, "too few words")]
+    rows = [(i, t, "en", "s", 0, "extra", 1.0) for i, t in rows]
+    folder = tmp_path / "in"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, part string, score double").write.parquet(str(folder / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(str(folder / "labels.parquet"))
+    table = spark.read.parquet(str(folder / "documents.parquet"))
+    got = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = stage(spark, table, str(folder))
+        assert table.columns == corpus_pipeline.COLUMNS
+        got[name] = collections.Counter((r.doc_id, r.text) for r in table.collect())
+    assert got["toxicity"] == collections.Counter((i, t) for i, t, *_ in rows)  # no labels: nothing is toxic
+    assert set(got["quality_rules"]) == {(1, good), (None, good), (4, near), (5, good + " x " * 3)} and got["quality_rules"][1, good] == 2
+    assert got["minhash"] == {(1, good): 2, (None, good): 1}  # a row repeated with its id is one document; a null id is in no group
+    out = corpus_pipeline.run(spark, str(folder)).collect()
+    assert collections.Counter(r.doc_id for r in out) == {1: 2, None: 1}
+    spark.read.parquet(str(folder / "documents.parquet")).limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_one_toxic_row_of_an_id(spark, larger):
+    """Only the toxic row of an id goes, and a toxic row without an id goes too."""
+    import corpus_pipeline
+
+    docs, labels = larger
+    scored = {r.doc_id: r.predicted for r in toxicity.score(docs, labels).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    bad, fine = next(i for i in texts if scored[i]), next(i for i in texts if not scored[i])
+    more = spark.createDataFrame([(fine, texts[bad], "en", "s", 0), (None, texts[bad], "en", "s", 0), (None, texts[fine], "en", "s", 0)], DOCS)
+    left = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.without_toxic(spark, docs.unionByName(more), "/root/testdata/sf0.1").where(F.col("doc_id").isNull() | (F.col("doc_id") == fine)).collect())
+    assert left == {(fine, texts[fine]): 1, (None, texts[fine]): 1}
+
+
 def test_long_runs():
     """Runs without a space: a reading of 120,000 characters ends, and paths are the same whichever stretches are probed together."""
     model = np.log(np.random.default_rng(3).dirichlet(np.ones(28), (28, 28)))
