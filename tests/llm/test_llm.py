@@ -63,6 +63,89 @@ def test_odd_rows(odd, none, labels, name):
     assert run(none).collect() == []
 
 
+def test_odd_values(odd, labels):
+    """What the docstrings say of nulls, empty texts and repeated rows."""
+    run = operators(labels)
+    rows = {name: collections.defaultdict(list) for name in run}
+    for name, f in run.items():
+        for r in f(odd).collect():
+            rows[name][r.doc_id].append(r)
+    text = {i: t or "" for i, t, *_ in ODD}
+    for name in ("toxicity", "rules"):
+        own = rows[name]
+        assert own[2][0].score == own[3][0].score == own[5][0].score and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for x in own.values() for r in x)
+        assert len({r.score for i in (1, 4) for r in own[i]}) == 1 and own[None][0].held_out is False
+    placed = sorted((r.shard, r.slot) for x in rows["hilbert"].values() for r in x)
+    assert [s for s, _ in placed] == sorted(k * 24 // 9 for k in range(9)) and {t for _, t in placed} == {0}
+    assert all(r.size == len(text[i].encode()) + 8 and r.text_crc32 == zlib.crc32(text[i].encode()) and r.grown_shard is None for i, x in rows["hilbert"].items() for r in x)
+    assert all((r.lang_pred, r.score) == ("und", 0.0) for i in (2, 3, 5) for r in rows["language"][i]) and rows["language"][7][0].lang_pred in ("en", "de")
+    assert {i: [(r.n_shingles, r.component_id, r.kept) for r in x] for i, x in rows["minhash"].items()} == {
+        1: [(2, 1, True)], 2: [(0, 2, True)], 3: [(0, 3, True)], 4: [(2, 1, False)] * 2, 5: [(0, 5, True)], 6: [(1, 6, True)], 7: [(3, 7, True)], None: [(1, None, True)],
+    }
+    assert all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == (0, 0, 0, 0, 0, True, False) for i in (2, 3, 5) for r in rows["quality"][i])
+    assert (rows["quality"][7][0].n_words, rows["quality"][7][0].n_repeat_words, rows["quality"][7][0].base_failed) == (9000, 9000, True)
+    end = zlib.crc32(np.array([2], "<u4").tobytes())
+    order = sorted((r for x in rows["grammar"].values() for r in x), key=lambda r: r.start)
+    assert [r.doc_id for r in order] == [None, 1, 2, 3, 4, 4, 5, 6, 7] and [r.start for r in order] == [0, *itertools.accumulate(r.n_tokens for r in order[:-1])]
+    assert all((r.n_tokens, r.ids_crc32) == (1, end) for i in (2, 3) for r in rows["grammar"][i])
+    down = [7, 6, 5, 4, 4, 3, 2, 1, None]
+    for k, i in enumerate(down):
+        after = text[down[(k + 1) % len(down)]]
+        for r in rows["sketches"][i]:
+            if i != 4:  # one of the two rows of 4 is followed by the other
+                edited = text[i][: len(text[i]) - len(text[i]) // 2] + after[: len(text[i]) // 2]
+                assert (r.n_chars, r.edited_sha256) == (len(text[i]), hashlib.sha256(edited.encode()).hexdigest())
+    assert rows["sketches"][3][0].near_next == 1.0 and sorted(r.near_next for r in rows["sketches"][4]) == [0.0, 1.0]
+    assert all((r.n_tokens, r.ids_crc32, r.round_trip) == (0, 0, True) for i in (2, 3) for r in rows["pieces"][i]) and all(r.round_trip for x in rows["pieces"].values() for r in x)
+    assert all((r.piece, r.start, r.length) == (0, 0, 1) for i in (2, 3) for r in rows["packing"][i]) and len(rows["packing"][4]) == 2
+    assert [r.length for r in sorted(rows["packing"][7], key=lambda r: r.piece)][:-1] == [4096] * (len(rows["packing"][7]) - 1)
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    rng = np.random.default_rng(21)
+    words = [f"{a}{b}" for a in ("the", "der", "le", "run", "stone", "x") for b in ("ing", "ung", "ment", "s", "")]
+    one = ["\n" if k % 97 == 96 else words[w] + str(rng.integers(0, 300)) for k, w in enumerate(rng.integers(0, len(words), 250_000))]
+    two = list(one)
+    two[1000] = "changed"
+    return spark.createDataFrame([(0, " ".join(one), "en", "s", 0), (1, " ".join(two), "en", "s", 0), (3, "short text of a few words", "en", "s", 0)], DOCS)
+
+
+def test_long_texts(long_docs, labels):
+    """Texts of two million characters, longer than a chunk, a batch and a shard, against plain versions."""
+    from tokenizers import Tokenizer
+
+    run, text = operators(labels), {r.doc_id: r.text for r in long_docs.collect()}
+    got = {name: collections.defaultdict(list) for name in run}
+    for name, f in run.items():
+        for r in f(long_docs).collect():
+            got[name][r.doc_id].append(r)
+    assert all(0 <= got[n][i][0].score <= 1 for n in ("toxicity", "rules") for i in text)
+    assert all(got["hilbert"][i][0].size == len(t.encode()) + 8 and got["hilbert"][i][0].text_crc32 == zlib.crc32(t.encode()) for i, t in text.items())
+    assert {got["language"][i][0].lang_pred for i in text} == {"en"}
+    s = sets(text.items())
+    assert {i: (x[0].n_shingles, x[0].component_id) for i, x in got["minhash"].items()} == {0: (len(s[0]), 0), 1: (len(s[1]), 0), 3: (len(s[3]), 3)}
+    w = WORD.findall(text[0])
+    grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    twice = {k + d for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for d in range(3)}
+    assert (got["quality"][0][0].n_words, got["quality"][0][0].word_chars, got["quality"][0][0].n_repeat_words) == (len(w), sum(map(len, w)), len(twice))
+    start = 0
+    for name, vocabulary, end_id in (("grammar", "byte_bpe_50k.json", 2), ("packing", "word_bpe_49k.json", 1)):
+        whole = Tokenizer.from_file(path(vocabulary))
+        for i, t in text.items():
+            ids = np.array([*whole.encode(t, add_special_tokens=False).ids, end_id], "<u4")
+            if name == "grammar":
+                r = got[name][i][0]
+                assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+                start += len(ids)
+            else:
+                own = sorted(got[name][i], key=lambda r: r.piece)
+                assert [(r.start, r.length, r.ids_crc32) for r in own] == [(a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for a in range(0, len(ids), 4096)]
+    digests = {i: set(sketches.digests([t.encode()])[0].tolist()) for i, t in text.items()}
+    assert got["sketches"][1][0].near_next == pytest.approx(len(digests[0] & digests[1]) / len(digests[0] | digests[1])) and got["sketches"][1][0].near_next > 0.99
+    assert all(x[0].round_trip for x in got["pieces"].values())
+
+
 def sets(rows, size=5):
     out = {}
     for i, t in rows:
