@@ -24,26 +24,16 @@ from dossier.llm import tokens
 from dossier.llm.common import cut, lines, prepare, remove, shared_path
 
 #: Ids of a shard. Occurrences from which a rule pays: it is two symbols and a length, and each occurrence saves one symbol.
-SHARD, LEAST = 1 << 19, 4
-_HASHED, _LAST = 20, np.int32((1 << 31) - 1)
-
-
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, how often each stands in keys, and where each key's own is among them."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    new = np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)]
-    own = np.empty(len(keys), np.int64)
-    own[order] = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    return ordered[first], np.diff(np.r_[first, len(keys)]), own
+SHARD, LEAST = 1 << 18, 4
+_LAST = np.int32((1 << 31) - 1)
 
 
 class _Sequence:
     """Symbols linked to their neighbours in the document, so that a replacement touches its neighbours only.
 
-    `most` holds for each place how often the pair that begins there occurs, at most: a pair's occurrences all arise in one round and only get fewer. Places
-    whose pair has fewer than `least` are out of the game until a neighbour changes."""
+    Each place where a frequent pair begins knows the pair's number. A pair's occurrences all arise in one round and only get fewer, so pairs are sorted and
+    counted once, when they arise; later counts are counts of numbers. `most` holds how often the pair of a place occurs, at most, and 0 where that is fewer
+    than `least`: such a place is out of the game until a neighbour changes."""
 
     def __init__(self, ids: np.ndarray, starts: np.ndarray, least: int):
         n = len(ids)
@@ -52,62 +42,64 @@ class _Sequence:
         self.before[starts] = -1
         self.after[np.r_[starts[1:], n][: len(starts)] - 1] = -1
         self.live, self.most, self.rank = np.ones(n, bool), np.zeros(n, np.int32), np.full(n + 1, _LAST)
-        self.open = np.zeros(0, np.int64)  # sorted places that are in the game
+        self.number, self.pairs, self.mark = np.zeros(n, np.int32), np.zeros(0, np.int64), np.zeros(n, bool)
+        self.open: np.ndarray | None = None  # the places in the game, once they are few
         self.born(np.flatnonzero(self.after >= 0))
 
-    def keys(self, at: np.ndarray) -> np.ndarray:
-        return (self.seq[at].astype(np.int64) << 32) | self.seq[self.after[at]]
-
-    def apart(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    def born(self, at: np.ndarray) -> None:
+        """Numbers and counts the pairs of new places; those that occur too seldom stay out."""
+        a, b = self.seq[at], self.seq[self.after[at]]
+        # half as wide where it can be: sorting is most of the work
+        keys = (a << 16) | b if len(a) and max(a.max(), b.max()) < 1 << 16 else (a.astype(np.int64) << 32) | b
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        n = np.diff(np.r_[first, len(keys)])
+        often = n >= self.least
+        first, n = first[often], n[often]
+        at = at[order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
+        self.most[at] = np.repeat(n, n)
+        self.number[at] = np.repeat(np.arange(len(self.pairs), len(self.pairs) + len(n)), n)
+        place = order[first]
+        self.pairs = np.r_[self.pairs, (a[place].astype(np.int64) << 32) | b[place]]
+        if self.open is not None:
+            self.open = np.sort(np.r_[self.open, at])
+
+    def apart(self, at: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Which of the sorted places don't overlap an earlier one of the same pair: in a run of one symbol every other place."""
-        twin = np.flatnonzero((keys >> 32) == (keys & 0xFFFFFFFF))
-        if not len(twin):
-            return np.ones(len(at), bool)
-        own = at[twin]
-        new = np.r_[True, (self.after[own[:-1]] != own[1:]) | (keys[twin[1:]] != keys[twin[:-1]])]
-        place = np.arange(len(own)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        twin = np.flatnonzero(((self.pairs >> 32) == (self.pairs & 0xFFFFFFFF))[own])
         out = np.ones(len(at), bool)
-        out[twin[place % 2 == 1]] = False
+        if len(twin):
+            place = at[twin]
+            new = np.r_[True, (self.after[place[:-1]] != place[1:]) | (own[twin[1:]] != own[twin[:-1]])]
+            step = np.arange(len(place)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            out[twin[step % 2 == 1]] = False
         return out
 
-    def born(self, at: np.ndarray) -> None:
-        """Counts the pairs of new places; those that occur too seldom stay out."""
-        keys = self.keys(at)
-        if len(at) > 1 << 12:  # most pairs are rare, and a small table of counts says so before anything is sorted
-            slot = ((keys.view(np.uint64) * np.uint64(B.BASE)) >> np.uint64(64 - _HASHED)).astype(np.int64)
-            often = np.bincount(slot, minlength=1 << _HASHED)[slot] >= self.least
-            at, keys = at[often], keys[often]
-        _, n, own = _counted(keys)
-        self.most[at] = n[own]
-        self.open = np.sort(np.r_[self.open, at[n[own] >= self.least]])
-
     def round(self, level: int, first: int) -> np.ndarray | None:
         """Replaces pairs that occur `level` times or more. Where two overlap, the more frequent one has the place; a pair left with fewer places waits.
         The pairs replaced, or None if no pair occurs so often."""
-        self.open = self.open[self.most[self.open] >= self.least]
-        at = self.open[self.most[self.open] >= level]
-        keys = self.keys(at)
-        fine = self.apart(at, keys)
-        u, n, own = _counted(keys[fine])
-        exact = np.zeros(len(at), np.int32)
-        exact[fine] = n[own]
-        if not fine.all():  # a place that overlaps its own pair's stays in the game as long as the pair does
-            k = np.minimum(np.searchsorted(u, keys[~fine]), len(u) - 1)
-            exact[~fine] = n[k]
-        self.most[at] = exact
+        at = np.flatnonzero(self.most >= level) if self.open is None else self.open[self.most[self.open] >= level]
+        if level == self.least and len(at) < len(self.seq) // 16:
+            self.open = at
+        own = self.number[at]
+        fine = self.apart(at, own)
+        n = np.bincount(own[fine], minlength=len(self.pairs))
+        exact = n[own]
+        self.most[at] = np.where(exact >= self.least, exact, 0)
         often = np.flatnonzero(n >= level)
         if not len(often):
             return None
-        rank = np.full(len(u), _LAST)
-        rank[often[np.lexsort((u[often], -n[often]))]] = np.arange(len(often))
-        at, own = at[fine], own
-        use = n[own] >= level
+        rank = np.empty(len(self.pairs), np.int32)
+        rank[often[np.lexsort((self.pairs[often], -n[often]))]] = np.arange(len(often))
+        use = fine & (exact >= level)
         at, own = at[use], own[use]
-        self.rank[at] = rank[own]
-        wins = (self.rank[at] < self.rank[self.after[at]]) & (self.rank[at] < self.rank[self.before[at]])
+        mine = rank[own]
+        self.rank[at] = mine
+        wins = (mine < self.rank[self.after[at]]) & (mine < self.rank[self.before[at]])
         self.rank[at] = _LAST
         at, own = at[wins], own[wins]
-        chosen = np.bincount(own, minlength=len(u)) >= level
+        chosen = np.bincount(own, minlength=len(self.pairs)) >= level
         keep = chosen[own]
         at, own = at[keep], own[keep]
         gone = self.after[at]
@@ -117,13 +109,16 @@ class _Sequence:
         self.after[at] = after
         self.before[after[after >= 0]] = at[after >= 0]
         left = self.before[at]
-        for changed in (at, left[left >= 0], gone):
-            self.most[changed] = 0
-        self.open = self.open[self.most[self.open] > 0]
-        new = np.zeros(len(self.seq), bool)
-        new[at[after >= 0]] = new[left[left >= 0]] = True
-        self.born(np.flatnonzero(new))
-        return u[chosen]
+        left = left[left >= 0]
+        self.most[at] = self.most[left] = self.most[gone] = 0
+        pairs = self.pairs[chosen]
+        self.mark[at] = True
+        alone = left[~self.mark[left]]
+        self.mark[at] = False
+        if self.open is not None:
+            self.open = self.open[self.most[self.open] > 0]
+        self.born(np.r_[at[after >= 0], alone])
+        return pairs
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -134,7 +129,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[n
     first = base = int(ids.max()) + 1 if len(ids) else 0
     s, rules = _Sequence(ids, starts, least), []
     level = int(s.most.max()) // 2 if len(ids) else 0
-    while len(s.open):
+    while level:
         level = max(level, least)
         pairs = s.round(level, base)
         if pairs is not None:
@@ -146,19 +141,25 @@ def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[n
     return s.seq[s.live].astype(np.uint32), (np.r_[0, np.cumsum(s.live)][starts]).astype(np.int64), np.concatenate([np.zeros((0, 2), np.int64), *rules]).astype(np.uint32), first
 
 
-def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids that all nonterminals stand for, one after another, and where each one's begin (one more: the end). All rules of a depth at once."""
+def _lengths(rules: np.ndarray, first: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many ids each nonterminal stands for, and the rules by depth."""
     pair = rules.astype(np.int64) - first
     inner, pair = pair >= 0, np.maximum(pair, 0)
-    depth, size = np.zeros(len(rules), np.int64), np.zeros(len(rules), np.int64)
-    todo, known = np.arange(len(rules)), np.zeros(len(rules), bool)
-    steps = []
+    size, todo, known, steps = np.zeros(len(rules), np.int64), np.arange(len(rules)), np.zeros(len(rules), bool), []
     while len(todo):
         ready = (~inner[todo] | known[pair[todo]]).all(1)
         now, todo = todo[ready], todo[~ready]
         size[now] = np.where(inner[now], size[pair[now]], 1).sum(1)
         known[now] = True
         steps.append(now)
+    return size, steps
+
+
+def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that all nonterminals stand for, one after another, and where each one's begin (one more: the end). All rules of a depth at once."""
+    size, steps = _lengths(rules, first)
+    pair = rules.astype(np.int64) - first
+    inner, pair = pair >= 0, np.maximum(pair, 0)
     at = np.r_[0, np.cumsum(size)]
     flat = np.zeros(at[-1], np.uint32)
     for now in steps:
@@ -211,8 +212,7 @@ def _shards(path: str, end_id: int):
         def out():
             ids, starts = np.concatenate(held), np.cumsum([0, *map(len, held)])[:-1]
             seq, starts, rules, first = compress(ids, starts)
-            _, at = expansions(rules, first)
-            row = [part, shard, start, len(ids), first, list(docs), narrow(starts), narrow(rules.ravel()), narrow(np.diff(at)), narrow(seq)]
+            row = [part, shard, start, len(ids), first, list(docs), narrow(starts), narrow(rules.ravel()), narrow(_lengths(rules, first)[0]), narrow(seq)]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, SCHEMA, strict=True)], schema=SCHEMA)
 
         for batch in batches:

@@ -11,6 +11,12 @@ import numpy as np
 from dossier.llm import buffers as B
 
 
+def _heads(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes from each begin as a number; those beyond the size are 0."""
+    words = np.ndarray(len(data), "<u8", np.r_[data, np.zeros(8, np.uint8)], strides=(1,))
+    return words[begin] & (np.uint64((1 << 64) - 1) >> ((8 - np.clip(size, 0, 8)) * 8).astype(np.uint64)) * (size > 0)
+
+
 class Units:
     """Hash of a unit -> its bytes and ids. encode gets the units that are new, as bytes. When the table is full it begins anew. Where two units have one hash, the
     units of that call are encoded one by one."""
@@ -25,7 +31,7 @@ class Units:
         self.keys = np.zeros(1 << self.BITS, np.uint64)
         self.place = np.zeros(1 << self.BITS, np.int32)
         self.first, self.count, self.ids, self.n, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint16), 0, 0
-        self.begin, self.size, self.bytes, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint8), 0
+        self.begin, self.size, self.head, self.bytes, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 20, np.uint8), 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1."""
@@ -50,7 +56,7 @@ class Units:
         flat = np.fromiter((i for x in got for i in x), np.int64, int(count.sum()))
         raw, size = np.frombuffer(b"".join(units), np.uint8), np.array([len(u) for u in units])
         while self.n + len(h) > len(self.first):
-            self.first, self.count, self.begin, self.size = (np.r_[x, np.zeros_like(x)] for x in (self.first, self.count, self.begin, self.size))
+            self.first, self.count, self.begin, self.size, self.head = (np.r_[x, np.zeros_like(x)] for x in (self.first, self.count, self.begin, self.size, self.head))
         while self.filled + len(raw) > len(self.bytes):
             self.bytes = np.r_[self.bytes, np.zeros_like(self.bytes)]
         if len(flat) and flat.max() > np.iinfo(self.ids.dtype).max:
@@ -60,7 +66,7 @@ class Units:
         own = np.arange(self.n, self.n + len(h))
         self.first[own], self.count[own] = self.used + np.cumsum(count) - count, count
         self.ids[self.used : self.used + len(flat)] = flat
-        self.begin[own], self.size[own] = self.filled + np.cumsum(size) - size, size
+        self.begin[own], self.size[own], self.head[own] = self.filled + np.cumsum(size) - size, size, _heads(raw, np.cumsum(size) - size, size)
         self.bytes[self.filled : self.filled + len(raw)] = raw
         self.n, self.used, self.filled = self.n + len(h), self.used + len(flat), self.filled + len(raw)
         slot, mask, left = (h >> np.uint64(64 - self.BITS)).astype(np.int64), (1 << self.BITS) - 1, np.arange(len(h))
@@ -73,13 +79,15 @@ class Units:
             slot[left] = (slot[left] + 1) & mask
 
     def _same(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, entry: np.ndarray) -> bool:
-        """Whether each entry is that of just these bytes."""
+        """Whether each entry is that of just these bytes: the first eight as one number, then the others one by one."""
         size = end - begin
-        if not (self.size[entry] == size).all():
+        if not ((self.size[entry] == size) & (self.head[entry] == _heads(data, begin, size))).all():
             return False
+        long = np.flatnonzero(size > 8)
+        begin, entry, size = begin[long] + 8, entry[long], size[long] - 8
         before = np.cumsum(size) - size
         step = np.arange(size.sum())
-        return bool((data[np.repeat(begin - before, size) + step] == self.bytes[np.repeat(self.begin[entry] - before, size) + step]).all())
+        return bool((data[np.repeat(begin - before, size) + step] == self.bytes[np.repeat(self.begin[entry] + 8 - before, size) + step]).all())
 
     def _one_by_one(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
