@@ -12,6 +12,38 @@ TITLES = "dr|prof|professor|mr|mrs|ms|miss|sir|dame|assoc|asst"
 SHORT_TITLES = "dr|prof|professor|mr|mrs|ms|shri|smt"
 INSTITUTION_NOISE = "the|of|at|university|univ|college|institute|inst|school|dept|department|laboratory|lab|center|centre"
 SMALL_WORDS = ["and", "of", "for", "in", "the"]
+# Short names of campuses as they stand in names of units, each with its full form; as whole words, in this order, in capitals but for Goa.
+CAMPUSES = [
+    ("IITB", "Indian Institute of Technology Bombay"),
+    ("IITD", "Indian Institute of Technology Delhi"),
+    ("IITM", "Indian Institute of Technology Madras"),
+    ("IITK", "Indian Institute of Technology Kanpur"),
+    (r"IIT\s?KGP", "Indian Institute of Technology Kharagpur"),
+    ("IITR", "Indian Institute of Technology Roorkee"),
+    ("IITG", "Indian Institute of Technology Guwahati"),
+    ("IITH", "Indian Institute of Technology Hyderabad"),
+    (r"IIT\s?BHU", "Indian Institute of Technology BHU"),
+    ("IITI", "Indian Institute of Technology Indore"),
+    ("IITJ", "Indian Institute of Technology Jodhpur"),
+    ("IITGN", "Indian Institute of Technology Gandhinagar"),
+    ("IITRPR", "Indian Institute of Technology Ropar"),
+    ("IITP", "Indian Institute of Technology Patna"),
+    ("IITBBS", "Indian Institute of Technology Bhubaneswar"),
+    ("IITPKD", "Indian Institute of Technology Palakkad"),
+    ("IITTP", "Indian Institute of Technology Tirupati"),
+    ("IITDH", "Indian Institute of Technology Dharwad"),
+    (r"(?i:IIT\s?GOA)", "Indian Institute of Technology Goa"),
+    ("NITK", "National Institute of Technology Karnataka"),
+    ("NITT", "National Institute of Technology Tiruchirappalli"),
+    ("NITW", "National Institute of Technology Warangal"),
+    ("NITC", "National Institute of Technology Calicut"),
+    ("NITR", "National Institute of Technology Rourkela"),
+    ("MNIT", "Malaviya National Institute of Technology Jaipur"),
+    ("VNIT", "Visvesvaraya National Institute of Technology"),
+    ("SVNIT", "Sardar Vallabhbhai National Institute of Technology Surat"),
+    ("MANIT", "Maulana Azad National Institute of Technology"),
+    ("MNNIT", "Motilal Nehru National Institute of Technology"),
+]
 #: Abbreviations of institutions, each with its full form; applied in this order, as whole words.
 ABBREVIATIONS = [
     ("IIIT", "Indian Institute of Information Technology"),
@@ -80,8 +112,12 @@ def institution_key(c: Column | str) -> Column:
     return F.nullif(squeeze(F.regexp_replace(text, rf"\b({INSTITUTION_NOISE})\b", " ")), F.lit(""))
 
 
-def expanded(c: Column | str, abbreviations: list[tuple[str, str]] = ABBREVIATIONS) -> Column:
+def expanded(c: Column | str, abbreviations: list[tuple[str, str]] = ABBREVIATIONS, campuses: list[tuple[str, str]] = CAMPUSES) -> Column:
+    """Names with their short forms written out: campuses first, which are looked for only where a name may hold one."""
     out = col(c)
+    for short, full in campuses:
+        out = F.regexp_replace(out, rf"(?<![A-Za-z0-9_]){short}(?![A-Za-z0-9_])", full)
+    out = F.when(col(c).rlike(r"(?i)NIT|IIT"), out).otherwise(col(c))
     for short, full in abbreviations:
         out = F.regexp_replace(out, rf"(?i)(?<![A-Za-z0-9_]){short}(?![A-Za-z0-9_])", full)
     return out

@@ -50,23 +50,47 @@ def merged_detections(items: Column, limit: int = 12) -> Column:
     return F.slice(F.filter(one, lambda x: x["model"].isNotNull() | ~F.exists(one, lambda y: (y["brand"] == x["brand"]) & y["model"].isNotNull())), 1, limit)
 
 
+# Words that begin a new clause rather than another part of a name, and how titles before names are written.
+CONNECTIVES = ["And", "Or", "The", "A", "An", "At", "In", "Of", "For", "With"]
+NAME_TITLES = r"Professor|Prof\.?|Dr\.?"
+NAME_WORD = r"[A-ZÀ-ɏ][A-Za-zÀ-ɏ'’-]+"
+
+
+def spelled(term: str) -> str:
+    """A pattern for a term as it stands; between letters and digits it may have a space or hyphen."""
+    return re.sub(r"(?<=[A-Za-z])(?:\\ )?(?=\d)", "[ -]?", re.escape(term))
+
+
 def snippets(text: Column, terms: list[str], window: int = 260, limit: int = 30) -> Column:
-    """Distinct sentences that have a term as whole words, cut to the window."""
-    spelled = "|".join(re.sub(r"(?<=[A-Za-z])(?=\d)", "[ -]?", t) for t in terms)
-    parts = F.split(squeeze(text), r"(?<=[.!?])\s+")
-    return F.slice(F.array_distinct(F.transform(F.filter(parts, lambda s: s.rlike("(?i)" + EDGES.format(f"(?:{spelled})"))), lambda s: F.substring(s, 1, window))), 1, limit)
+    """Sentences and lines that have a term of three characters or more as a whole word, distinct but for case, in their order. A longer one is cut to a window around the first term in it, with dots where it goes on."""
+    known = [spelled(t.strip()) for t in terms if len(t.strip()) >= 3]
+    if not known:
+        return F.array().cast("array<string>")
+    term = rf"(?<![A-Za-z0-9])(?:{'|'.join(known)})(?![A-Za-z0-9])"
+
+    def cut(s: Column) -> Column:
+        begin = F.greatest(F.lit(0), F.length(F.regexp_extract(s, rf"(?is)^(.*?){term}", 1)) - window // 2)
+        middle = F.trim(F.substring(s, begin + 1, F.lit(window)))
+        return F.when(F.length(s) <= window, s).otherwise(F.concat(F.when(begin > 0, "…").otherwise(""), middle, F.when(begin + window < F.length(s), "…").otherwise("")))
+
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?;])\s+|\n+"), squeeze)
+    found = F.transform(F.filter(lines, lambda s: s.rlike("(?i)" + term)), cut)
+    keys = F.slice(F.array_distinct(F.transform(found, F.lower)), 1, limit)
+    return F.transform(keys, lambda k: F.get(F.filter(found, lambda s: F.lower(s) == k), F.lit(0)))
 
 
-def mentions(text: Column, titles: str = "Dr|Prof|Professor", limit: int = 10) -> Column:
-    """Names after a title, distinct, in their order."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?:{titles})\.?\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"), F.lit(1))), 1, limit)
+def mentions(text: Column, titles: str = NAME_TITLES, limit: int = 10) -> Column:
+    """Names after a title, distinct, in their order: a first name, an initial if there is one, a surname and perhaps a second one. A capitalised connective ends a name."""
+    more = rf"\s+(?!(?:{'|'.join(CONNECTIVES)})\b){NAME_WORD}"
+    found = F.regexp_extract_all(text, F.lit(rf"(?U)\b(?:{titles})\s+({NAME_WORD}(?:\s+[A-Z]\.?)?{more}(?:{more})?)"), F.lit(1))
+    return F.slice(F.array_distinct(F.transform(found, squeeze)), 1, limit)
 
 
-def methods_section(text: Column, limit: int = 20_000, least: int = 0) -> Column:
-    """The longest stretch from a methods heading to the next heading that ends it, without its own heading. If it has fewer than `least` characters with the heading, the text itself."""
+def methods_section(text: Column, limit: int = 12_000, least: int = 80, heading: bool = True) -> Column:
+    """The longest stretch from a methods heading to the next heading that ends it, with its own heading or without. If it has fewer than `least` characters with the heading, the text itself."""
     begin = HEADING.format(METHODS)
     found = F.regexp_extract_all(text, F.lit(rf"(?imdU){begin}(?s:.*?)(?={HEADING.format(AFTER_METHODS)}|\z)"), F.lit(0))
     best = F.aggregate(found, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
     stripped = lambda c: F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
-    body = lambda b: stripped(F.regexp_replace(b, rf"(?imdU)\A{begin}", ""))
+    body = lambda b: b if heading else stripped(F.regexp_replace(b, rf"(?imdU)\A{begin}", ""))
     return F.substring(F.get(F.transform(F.array(best), lambda b: F.when(F.length(stripped(b)) < least, text).otherwise(body(b))), 0), 1, limit)

@@ -328,7 +328,7 @@ def snippets(spark, sf_dir):
 def mentions(spark, sf_dir):
     """Names after a title in page texts, and methods sections; a page without one of 80 characters counts whole."""
     rows = html.page_text(table(spark, sf_dir, "pages"))
-    return rows.select("page_id", mining.mentions(F.col("text")).alias("names"), F.length(mining.methods_section(F.col("text"), least=80)).alias("methods_chars"))
+    return rows.select("page_id", mining.mentions(F.col("text")).alias("names"), F.length(mining.methods_section(F.col("text"), heading=False)).alias("methods_chars"))
 
 
 @query()

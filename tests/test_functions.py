@@ -119,7 +119,7 @@ def test_mining(spark):
     found = mining.detect(df, "t", [("zorb", "Zorb", "Cellar[0-9A-Z]*"), ("none", "zzz", "z+")], "f").first().f
     assert [(x.brand, x.model) for x in found] == [("zorb", "Cellar4S")]
     assert one(spark, mining.mentions(F.col("t")), t="Dr. Ann Example met Prof Bo Other and Dr. Ann Example") == ["Ann Example", "Bo Other"]
-    assert one(spark, mining.methods_section(F.col("t")), t="Intro\nMethods\nshort\nResults\nx\nMaterials and Methods\nmuch longer text\nReferences\n") == "much longer text"
+    assert one(spark, mining.methods_section(F.col("t"), least=0, heading=False), t="Intro\nMethods\nshort\nResults\nx\nMaterials and Methods\nmuch longer text\nReferences\n") == "much longer text"
     assert one(spark, mining.snippets(F.col("t"), ["QX200"]), t="We used QX-200 here. Other QX2001. The QX 200.") == ["We used QX-200 here.", "The QX 200."]
 
 
@@ -144,9 +144,9 @@ def test_affiliation(spark):
 
 
 def test_pages(spark):
-    page = "<html><script>x</script><div><h3>Dr. Ann Example</h3><p>Assistant Professor</p><p>ann.example@x.org</p></div><a href='/faculty'>People</a></html>"
+    page = "<html><script>x</script><div><h3>Dr. Ann Example</h3></div><a href='/faculty'>People</a></html>"
     pages = spark.createDataFrame([(1, "http://x.org/a/", page), (2, None, None), (3, "http://x.org", "<a href='http://[bad'>q</a>")], "page_id long, url string, html string")
-    assert [tuple(r) for r in html.page_people(pages).collect()] == [(1, "Dr. Ann Example", "Assistant Professor", "ann.example@x.org")]
+    assert html.page_people(pages).collect() == []  # one card is no listing
     links = {r.page_id: r for r in html.page_links(pages).collect()}
     assert links[1].link == "http://x.org/faculty" and links[3].link is None
     assert {r.page_id: r.text for r in html.page_text(pages).collect()}[2] == ""
@@ -264,13 +264,13 @@ def test_every_model_is_detected(spark):
 @pytest.mark.parametrize("heading", ["Instrumentation", "APPARATUS:", "2.1 Electrochemical measurements", "3.2. Characterisation", "Experimental details", "experimental procedures :", "Methods and Materials", "Materials  and Methods"])
 def test_methods_headings(spark, heading):
     body = "A zorb was used for all of it, in a room of its own, and its readings were noted down twice."
-    section = lambda t: one(spark, mining.methods_section(F.col("t"), least=80), t=t)
+    section = lambda t: one(spark, mining.methods_section(F.col("t"), heading=False), t=t)
     assert section(f"Intro\nwords\n\n{heading}\n{body}\n4. Results:\nmore words") == body
     assert section(f"Intro\nwords\n{heading}\nBibliography\n{body}") == f"Intro\nwords\n{heading}\nBibliography\n{body}"  # an empty section
 
 
 def test_methods_fall_back_to_the_text(spark):
-    section = lambda t: one(spark, mining.methods_section(F.col("t"), least=80), t=t)
+    section = lambda t: one(spark, mining.methods_section(F.col("t"), heading=False), t=t)
     assert section("No heading here.\nA zorb was used.") == "No heading here.\nA zorb was used."
     assert section("Intro\nMethods\nshort\nResults\nx") == "Intro\nMethods\nshort\nResults\nx" and section("") == ""
-    assert section("our methods\n" + "x" * 30_000) == ("our methods\n" + "x" * 30_000)[:20_000]
+    assert section("our methods\n" + "x" * 30_000) == ("our methods\n" + "x" * 30_000)[:12_000]
