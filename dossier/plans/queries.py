@@ -264,7 +264,23 @@ def lexicon_detect(spark, sf_dir):
     return rows.select("doc_id", where.any_in("found", ["heon"], "brand").alias("heon"), where.any_in("found", ["sten"], "brand").alias("sten"))
 
 
-@query()
+#: Signs doubled, so that neighbours of one sign between them are both found; letters with accents inside a pattern are signs to it too.
+_DOUBLED = r"regexp_replace(text, '([^A-Za-z0-9_])', '\1\1', 'g')"
+_MODELS = " UNION ALL ".join(
+    rf"""SELECT doc_id, text, {k} AS k, '{brand}' AS brand, regexp_extract(two, '(?i)(?:^|[^A-Za-z0-9_])({hit})(?:$|[^A-Za-z0-9_])', 1) AS hit,
+  list_transform(regexp_extract_all(two, '(?:^|[^A-Za-z0-9_])({model})(?:$|[^A-Za-z0-9_])', 1), lambda x: regexp_replace(x, '([^A-Za-z0-9_])[^A-Za-z0-9_]', '\1', 'g')) AS found FROM d"""
+    for k, (brand, hit, model) in enumerate([("heon", "heon|heons", "the[a-z]+on"), ("eux", "eux|deux", "rééeux[a-z]*"), ("sten", "lichen|sten", "enlich[a-z]*"), ("cion", "cióón", "cióón[a-z]+")])
+)
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text, {_DOUBLED} AS two FROM documents), e AS ({_MODELS}),
+h AS (SELECT * EXCLUDE (hit, two), replace(hit, 'óó', 'ó') AS hit FROM (SELECT *, NULL AS two FROM e) WHERE hit <> ''),
+m AS (SELECT doc_id, k, unnest(found) AS m, generate_subscripts(found, 1) AS i FROM h), u AS (SELECT doc_id, k, m, min(i) AS i FROM m WHERE length(m) >= 3 GROUP BY ALL),
+o AS (SELECT *, coalesce(starts_with(lead(lower(m)) OVER (PARTITION BY doc_id, k ORDER BY lower(m), i), lower(m)), false) AS vague FROM u),
+s AS (SELECT doc_id, k, m AS shown, m AS model FROM o WHERE NOT vague UNION ALL SELECT doc_id, k, hit, NULL FROM h WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = h.doc_id AND u.k = h.k)),
+p AS (SELECT h.doc_id, h.brand, s.model, h.text, strpos(h.text, shown) AS place, length(shown) AS n FROM s JOIN h ON h.doc_id = s.doc_id AND h.k = s.k)
+SELECT doc_id, brand, model, CASE WHEN place > 61 THEN '…' ELSE '' END || trim(regexp_replace(substring(text, greatest(1, place - 60), least(length(text), place + n - 1 + 60) - greatest(1, place - 60) + 1), '\s+', ' ', 'g'))
+  || CASE WHEN place + n - 1 + 60 < length(text) THEN '…' ELSE '' END AS evidence FROM p""")
 def lexicon_models(spark, sf_dir):
     """Each detection with its model and the text around it."""
     rows = mining.detect(table(spark, sf_dir, "documents"), "text", LEXICON, "found").select("doc_id", F.explode_outer("found").alias("x")).where("x is not null")  # an inner explode would infer a filter that works all patterns out again
@@ -331,7 +347,7 @@ def mentions(spark, sf_dir):
     return rows.select("page_id", mining.mentions(F.col("text")).alias("names"), F.length(mining.methods_section(F.col("text"), heading=False)).alias("methods_chars"))
 
 
-@query()
+@query(r"""SELECT doc_id, left(array_to_string(list_filter(string_split(regexp_replace(text, '([.!?])[ \t\r\n\f]+', '\1' || chr(1), 'g'), chr(1)), lambda s: length(trim(s)) > 20)[1:2], ' '), 900) AS summary FROM documents""")
 def summaries(spark, sf_dir):
     """The first two sentences of some length."""
     return table(spark, sf_dir, "documents").select("doc_id", text.summary(F.col("text")).alias("summary"))
@@ -411,7 +427,13 @@ def split_sheets(spark, sf_dir):
 # Pages
 
 
-@query()
+_BARE = r"regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'g')"
+_PARTED = rf"regexp_replace(regexp_replace({_BARE}, '</?(?:p|div|li|ul|ol|tr|td|th|table|h1|h2|h3|h4|h5|h6|br|section|article|nav|header|footer|title|dt|dd)(?: [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+_READ = f"replace(replace(replace(replace(replace({_PARTED}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query(rf"""WITH t AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split({_READ}, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages)
+SELECT page_id, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS digest FROM t""")
 def html_text(spark, sf_dir):
     """Visible text of pages."""
     rows = html.page_text(table(spark, sf_dir, "pages"))
