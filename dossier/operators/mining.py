@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +25,17 @@ def detect(df: DataFrame, text: str, lexicon: list[tuple[str, str, str]], name:
     texts that name their brand, and a model is compared with its neighbour in the order only."""
     hits, models, entries = {}, {}, []
     for k, (brand, brand_pattern, model_pattern) in enumerate(lexicon):
-        hits[f"__hit{k}"] = F.coalesce(F.regexp_extract(text, "(?i)" + EDGES.format(f"(?:{brand_pattern})"), 0), F.lit(""))  # a null text names nothing
+        hit = F.regexp_extract(text, "(?iu)" + EDGES.format(f"(?:{brand_pattern})"), 0)
+        words = brand_pattern.split("|")
+        if all(re.fullmatch(r"[\w ]+", w) for w in words):  # plain words: a look for them costs less than the pattern
+            hit = F.when(reduce(or_, (F.contains("__low", F.lit(w.lower())) for w in words)), hit)
+        hits[f"__hit{k}"] = F.coalesce(hit, F.lit(""))  # a null text names nothing
         every = F.filter(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("(" + EDGES.format(f"(?:{model_pattern})") + ")"), F.lit(1))), lambda m: F.length(m) >= 3)
         models[f"__models{k}"] = F.when(F.col(f"__hit{k}") != "", F.array_sort(F.transform(every, lambda m, i: F.struct(F.lower(m).alias("low"), i.alias("at"), m.alias("m")))))
         entries.append(_entries(text, brand, f"__hit{k}", f"__models{k}"))
-    found = df.withColumns(hits).withColumns(models)
+    found = df.withColumn("__low", F.lower(text)).withColumns(hits).withColumns(models)
     every = F.flatten(F.array(*entries))
-    return found.withColumn(name, every if limit is None else F.slice(every, 1, limit)).drop(*hits, *models)
+    return found.withColumn(name, every if limit is None else F.slice(every, 1, limit)).drop("__low", *hits, *models)
 
 
 def _entries(text: str, brand: str, hit: str, models: str) -> Column:

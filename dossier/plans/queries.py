@@ -274,7 +274,7 @@ _MODELS = " UNION ALL ".join(
 
 
 @query(rf"""WITH d AS (SELECT doc_id, text, {_DOUBLED} AS two FROM documents), e AS ({_MODELS}),
-h AS (SELECT * EXCLUDE (hit, two), replace(hit, 'óó', 'ó') AS hit FROM (SELECT *, NULL AS two FROM e) WHERE hit <> ''),
+h AS (SELECT * EXCLUDE (hit, two), regexp_replace(hit, '([^A-Za-z0-9_])[^A-Za-z0-9_]', '\1', 'g') AS hit FROM (SELECT *, NULL AS two FROM e) WHERE hit <> ''),
 m AS (SELECT doc_id, k, unnest(found) AS m, generate_subscripts(found, 1) AS i FROM h), u AS (SELECT doc_id, k, m, min(i) AS i FROM m WHERE length(m) >= 3 GROUP BY ALL),
 o AS (SELECT *, coalesce(starts_with(lead(lower(m)) OVER (PARTITION BY doc_id, k ORDER BY lower(m), i), lower(m)), false) AS vague FROM u),
 s AS (SELECT doc_id, k, m AS shown, m AS model FROM o WHERE NOT vague UNION ALL SELECT doc_id, k, hit, NULL FROM h WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = h.doc_id AND u.k = h.k)),
@@ -429,7 +429,7 @@ def split_sheets(spark, sf_dir):
 
 _BARE = r"regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'g')"
 _PARTED = rf"regexp_replace(regexp_replace({_BARE}, '</?(?:p|div|li|ul|ol|tr|td|th|table|h1|h2|h3|h4|h5|h6|br|section|article|nav|header|footer|title|dt|dd)(?: [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
-_READ = f"replace(replace(replace(replace(replace({_PARTED}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_READ = f"replace(replace(replace(replace(replace(replace(replace({_PARTED}, '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
 @query(rf"""WITH t AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split({_READ}, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages)
@@ -448,7 +448,10 @@ def html_links(spark, sf_dir):
     return pages.select("page_id").join(links, "page_id", "left").select("page_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT regexp_extract(url, '^[a-z]+://[^/?#]*') AS host, unnest(regexp_extract_all(html, '<a href="(/[^"]*)">', 1)) AS href FROM pages),
+l AS (SELECT host || href AS link, lower(host || href || ' ' || substring(href, 2)) AS own, href FROM a)
+SELECT link, count(*) AS n, max(10 * regexp_matches(own, 'faculty|people|staff|directory|our-team|academics|professors')::INT + 5 * contains(own, 'faculty')::INT + 8 * regexp_matches(own, 'chem|material|metallurg|physic|energy|nano|bio|environment|civil|mechanical|electrical')::INT
+  + 6 * regexp_matches(lower(link), '/(faculty|people|staff)/?$')::INT - greatest(0, length(href) - length(replace(href, '/', '')) - 4)) AS score FROM l GROUP BY link""")
 def html_link_scores(spark, sf_dir):
     """For each linked address its best score as a page of people."""
     return html.page_links(table(spark, sf_dir, "pages")).groupBy("link").agg(F.max(html.link_score(F.col("link"), F.col("link_text"))).alias("score"), F.count("*").alias("n"))

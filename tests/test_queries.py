@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+import dossier.plans.built  # noqa: F401
 import dossier.plans.pages  # noqa: F401
 import dossier.plans.people  # noqa: F401
 from dossier.plans.queries import ORACLE_SQL, QUERIES
