@@ -23,6 +23,8 @@ from dossier.operators.order import within_budget
 
 #: Bytes of the texts that are learnt from, over all languages; contexts with bytes whose costs a worker remembers (it begins anew when they are more).
 BYTES, REMEMBERED = 32 << 20, 1 << 21
+#: Learnt bytes of one task.
+TASK = 4 << 20
 #: Bits of a symbol (a byte and 1; 0 stands before a text), and of the contexts of each order.
 BITS, ORDERS = 9, 3
 _SYMBOL = (1 << BITS) - 1
@@ -165,6 +167,7 @@ def fit(docs: DataFrame, limit: int = BYTES) -> Model | None:
     # the share of ids leaves about twice as many bytes as asked for, the running sum then no more than those
     some = cut(lines(known.join(F.broadcast(table), "lang").where(chance < F.col("share")), F.col("k").alias("lang"), F.xxhash64("doc_id").alias("place")))
     some = within_budget(some, ["place", "doc_id", "text"], F.octet_length("text"), each, ["lang"]).select("lang", "text")
+    some = some.coalesce(max(1, limit // TASK))  # a bounded number of bytes: few tasks count them, so few counts of one gram are added up
     got = some.mapInArrow(_count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # no more rows than bytes learnt from
     return Model(langs, got["lang"].to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy())
 
