@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: a worker holds a batch, not a partition.
-BATCH_ROWS, BATCH_BYTES = "4096", str(8 << 20)
+BATCH_ROWS, BATCH_BYTES = "4096", str(4 << 20)
 #: Ids up to so many are broadcast (16 MB at most); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -3,7 +3,6 @@ tokenizers library, and numpy looks up the others by a 64-bit hash and compares
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 import numpy as np
@@ -31,7 +30,7 @@ class Units:
         self.keys = np.zeros(1 << self.BITS, np.uint64)
         self.place = np.zeros(1 << self.BITS, np.int32)
         self.first, self.count, self.ids, self.n, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint16), 0, 0
-        self.begin, self.size, self.head, self.bytes, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 20, np.uint8), 0
+        self.begin, self.size, self.head, self.bytes, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint64), np.zeros(1 << 20, np.uint8), 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1."""
@@ -177,13 +176,11 @@ class Encoder:
     """Ids of whole texts by a vocabulary file of the tokenizers library, byte-level with or without lower case and word ends."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are text
-        with open(path) as f:
-            kind = json.load(f)["pre_tokenizer"]
-        self.cut = spaced_units if kind["type"] == "ByteLevel" else lowered_units
+        self.cut = spaced_units if isinstance(self.whole.pre_tokenizer, pre_tokenizers.ByteLevel) else lowered_units
         model = self.whole.model
         self.units = Units(lambda units: [[t.id for t in model.tokenize("".join(map(BYTE_CHARS.__getitem__, u)))] for u in units])
 
