@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -33,12 +36,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_small(df: DataFrame) -> DataFrame:
+    """cut for what is small beside the texts, such as ids and links: as few files as the advised partition size asks for, not one for each core. Many small files
+    cost more than what is in them, and each one starts a process where files get their rights by a command."""
+    spark, key = df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    had = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return cut(df)
+    finally:
+        spark.conf.set(key, had)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     prepare(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+def frugal(run):
+    """A function over Arrow batches that gives its worker's freed memory back to the system at its end: workers live on from stage to stage."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Takes away a folder of intermediate files."""
     jvm, sc = spark._jvm, spark.sparkContext

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import buffers as B
-from dossier.llm.common import lines
+from dossier.llm.common import frugal, lines
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_letters", "n_digits", "n_shouts", "n_stops", "n_short", "n_long"]
 
@@ -75,7 +75,7 @@ def statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns to carry and COUNTS of each row of docs."""
     rows = lines(docs, *carry)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema)
-    return rows.mapInArrow(_run(["doc_id", *carry]), f"{kinds}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(frugal(_run(["doc_id", *carry])), f"{kinds}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _per(a: str, b: str) -> Column:

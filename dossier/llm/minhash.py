@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import buffers as B
-from dossier.llm.common import cut, lines, only_ids, prepare
+from dossier.llm.common import cut, cut_small, frugal, lines, only_ids, prepare
 
 #: Hash functions; chances, at most, that a pair at the asked similarity shares no band, and that its signatures agree too seldom to be a candidate.
 HASHES, NO_BAND, UNLIKELY = 100, 1e-5, 1e-9
@@ -130,7 +130,7 @@ def _likely(percent: int):
 
 def components(links: DataFrame) -> DataFrame:
     """node, root: of each node of links (a, b), the smallest node of its component. Large-star and small-star in turn until nothing changes."""
-    edges, before = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()), None
+    edges, before = cut_small(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
@@ -141,7 +141,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut_small(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, carry: tu
     prepare(docs.sparkSession)
     texts, rows = lines(docs), lines(docs, *carry)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema)
-    base = cut(rows.mapInArrow(_signed(size, percent, ["doc_id", *carry]), f"{kinds}, n long, h1 long, h2 long, bands array<long>, sig binary"))
+    base = cut(rows.mapInArrow(frugal(_signed(size, percent, ["doc_id", *carry])), f"{kinds}, n long, h1 long, h2 long, bands array<long>, sig binary"))
     whole = base.where("n > 0 and doc_id is not null")
     classes = cut(whole.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("x")).select("h1", "h2", "n", F.col("x.doc_id").alias("rep"), "x.bands", "x.sig"))
     facts = classes.select("rep", "n", "bands", "sig")
@@ -242,8 +242,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, carry: tu
     pairs = members.where("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     pairs = pairs.join(facts.select(F.col("rep").alias("a"), "n", "sig"), "a").join(facts.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("sig").alias("other")), "b")
     pairs = cut(pairs.mapInArrow(_likely(percent), "a long, b long"))
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = cut(only_ids(texts, ids).mapInArrow(_sets(size), "doc_id long, grams array<long>"))
+    ids = cut_small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = cut(only_ids(texts, ids).mapInArrow(frugal(_sets(size)), "doc_id long, grams array<long>"))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = cut(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
@@ -256,9 +256,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, carry: tu
     still = still.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "root", "n", "bands", "sig")
     block = ["key", "x", "y"]
     active = cut(still.repartition(*block).sortWithinPartitions(*block).mapInArrow(_active(percent), ACTIVE))
-    ids = cut(active.select(F.col("rep").alias("doc_id")).distinct())
-    sets = only_ids(texts, ids).mapInArrow(_sets(size), "doc_id long, grams array<long>").withColumnRenamed("doc_id", "rep")
-    late = cut(active.join(sets, "rep").select(*active.columns, "grams").repartition(*block).sortWithinPartitions(*block).mapInArrow(_verified(percent), "a long, b long"))
+    ids = cut_small(active.select(F.col("rep").alias("doc_id")).distinct())
+    sets = only_ids(texts, ids).mapInArrow(frugal(_sets(size)), "doc_id long, grams array<long>").withColumnRenamed("doc_id", "rep")
+    late = cut(active.join(sets, "rep").select(*active.columns, "grams").repartition(*block).sortWithinPartitions(*block).mapInArrow(frugal(_verified(percent)), "a long, b long"))
     if late.take(1):
         found = components(links.unionByName(late))
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm import buffers as B
 from dossier.llm import tokens
-from dossier.llm.common import cut, lines, positions, prepare
+from dossier.llm.common import cut, frugal, lines, positions, prepare
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -159,7 +159,7 @@ def _pieces(path: str, end_id: int, capacity: int):
 def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids with the end id, cut where they are longer than the capacity."""
     prepare(docs.sparkSession)
-    return lines(docs).mapInArrow(_pieces(path, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return lines(docs).mapInArrow(frugal(_pieces(path, end_id, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _placed(plan):

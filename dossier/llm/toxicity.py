@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import buffers as B
-from dossier.llm.common import labelled, lines, prepare, remainder
+from dossier.llm.common import frugal, labelled, lines, prepare, remainder
 from dossier.llm.trees import Forest, boosted
 
 #: Labelled texts of each kind that are learnt from, at most.
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.nda
     shared = sc.broadcast(model)
     some = labelled(docs, labels, "toxic", remainder(3) != 1, bound).select("label", F.concat("text", F.lit("\n")).alias("text"))
     sizes = dict(some.groupBy("label").count().collect())
-    counts = some.mapInArrow(_stem_counts(shared), "key long, t long, c long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = some.mapInArrow(frugal(_stem_counts(shared)), "key long, t long, c long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     table = counts.where(f"t >= 3 and t * {sizes.get(0, 0)} > 2 * c * {sizes.get(1, 0)}").toPandas()  # of the words of at most 2 * bound texts
     stems = Stems(table["key"].to_numpy(np.int64).view(np.uint64), table["t"].to_numpy(), table["c"].to_numpy(), sizes.get(1, 0), sizes.get(0, 0))
     if len(sizes) < 2:
@@ -273,5 +273,5 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, bound: int
     fitted = fit(docs, labels, bound)
     rows = lines(docs, *carry)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema)
-    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(fitted), ["doc_id", *carry]), f"{kinds}, score double") if fitted[2] else rows.select("doc_id", *carry, F.lit(0.0).alias("score"))
+    scored = rows.mapInArrow(frugal(_score(spark.sparkContext.broadcast(fitted), ["doc_id", *carry])), f"{kinds}, score double") if fitted[2] else rows.select("doc_id", *carry, F.lit(0.0).alias("score"))
     return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carry)
