@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import minhash, packing, quality_rules, queries, toxicity
-from dossier.llm.common import BROADCAST_IDS, cut, remove, shared_path
+from dossier.llm.common import BROADCAST_IDS, cut_small, remove, shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies: shared shingles of so many words, in percent of all that either text has.
@@ -27,7 +27,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _drop(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     """docs (keyed) without the rows whose doc_id and text key the verdict names. These are cut first, so their number is known: few are broadcast, many joined by a shuffle."""
-    named = cut(verdict.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct())
+    named = cut_small(verdict.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct())
     named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
     return docs.join(named, docs.doc_id.cast("long").eqNullSafe(F.col("id")) & (docs.text_key == F.col("key")), "left_anti").select(*COLUMNS)
 
