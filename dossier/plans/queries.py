@@ -190,17 +190,17 @@ def unique_short_key_match(spark, sf_dir):
 # Keys and spellings
 
 
-@query(r"""SELECT doc_id, array_to_string(list_sort(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(strip_accents(left(string_split(text, chr(10))[1], 60))), ',', ' '),
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(strip_accents(string_split(text, chr(10))[1])), ',', ' '),
   '^(dr|prof|professor|mr|mrs|ms|miss|sir|dame|assoc|asst)\.?\s+', ''), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda t: t <> '')), ' ') AS name_key FROM documents""")
 def name_key(spark, sf_dir):
     """Names in any order and spelling of accents have one key."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.name_key(F.substring(F.split("text", "\n")[0], 1, 60)).alias("name_key"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.name_key(F.split("text", "\n")[0]).alias("name_key"))
 
 
-@query(r"""SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(left(string_split(text, chr(10))[1], 60))), '[^a-z0-9\s]', ' ', 'g'),
+@query(r"""SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(string_split(text, chr(10))[1])), '[^a-z0-9\s]', ' ', 'g'),
   '\b(the|of|at|university|univ|college|institute|inst|school|dept|department|laboratory|lab|center|centre)\b', ' ', 'g'), '\s+', ' ', 'g')), '') AS institution_key FROM documents""")
 def institution_key(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.institution_key(F.substring(F.split("text", "\n")[0], 1, 60)).alias("institution_key"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.institution_key(F.split("text", "\n")[0]).alias("institution_key"))
 
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(lower(strip_accents(url)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
@@ -208,11 +208,14 @@ def slug(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.slug("url").alias("slug"))
 
 
-@query("""SELECT c_custkey, c_mktsegment AS department, substring(upper(c_mktsegment), 1, 1) || substring(lower(c_mktsegment), 2) || ' and Sons' AS canonical FROM customer""")
+@query("""WITH w AS (SELECT c_custkey, c_mktsegment AS d, substring(upper(c_mktsegment), 1, 1) || substring(lower(c_mktsegment), 2) AS t FROM customer)
+SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN t || ' and Sons' WHEN 1 THEN 'School OF ' || t WHEN 2 THEN t WHEN 3 THEN 'MEMS and ' || t || ' of THE World' WHEN 4 THEN '(none)' ELSE t || ' Studies' END AS canonical FROM w""")
 def canonical_department(spark, sf_dir):
-    """One spelling of department names."""
-    own = F.concat(F.lit("Dept. of "), F.col("c_mktsegment"), F.lit(" & sons (x)"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("department"), text.canonical_department(own).alias("canonical"))
+    """One spelling of department names: prefixes, brackets, ampersands, acronyms, small words, capitals, none at all."""
+    d, k = F.col("c_mktsegment"), F.col("c_custkey") % 6
+    spelled = F.when(k == 0, F.concat(F.lit("Dept. of "), d, F.lit(" & sons (x)"))).when(k == 1, F.concat(F.lit("Department of school OF "), F.lower(d))).when(k == 2, F.concat(F.lit("  centre for "), d, F.lit(" (old)  ")))
+    spelled = spelled.when(k == 3, F.concat(F.lit("MEMS&"), d, F.lit(" Of THE world"))).when(k == 4, F.lit("  (x) ")).otherwise(F.concat(d, F.lit("   studies")))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.canonical_department(spelled).alias("canonical"))
 
 
 @query("""SELECT p_partkey, substring(sha256(least(p_name, p_brand) || '|' || greatest(p_name, p_brand) || '::' || p_type), 1, 32) AS content_hash FROM part""")

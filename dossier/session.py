@@ -16,12 +16,18 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder that spark.checkpoint.dir names: steps that read it several times don't repeat what is above it."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))  # one process, as in tests: its own folder
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder: steps that read it several times don't repeat what is above it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

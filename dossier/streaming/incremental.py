@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from dossier.operators.store import upsert
-
 
 def changed(rows: DataFrame, known: DataFrame, key: str, digest: str) -> DataFrame:
     """Rows whose key is new or whose digest differs from the known one."""
@@ -22,16 +20,29 @@ def within(df: DataFrame, at: str, as_of, hours: int) -> DataFrame:
     return df.where(F.col(at) > F.lit(as_of) - F.expr(f"interval {hours} hours"))
 
 
-def upsert_stream(source: DataFrame, key: str, seq: str, folder: str, checkpoint: str) -> None:
-    """Streams rows into a table of one row a key, the latest by seq, as versions under folder; each batch reads the last version and writes the next, so a repeated batch gives the same."""
+def current(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The rows of a table that upsert_stream keeps: of each bucket its newest version (older than `before`), with the column bucket. As many numbers as buckets come to the driver."""
+    files = spark.read.parquet(folder)
+    files = files if before is None else files.where(F.col("version") < before)
+    newest = [(r.version, r.bucket) for r in files.groupBy("bucket").agg(F.max("version").alias("version")).collect()]
+    kept = spark.createDataFrame(newest or [(-1, -1)], "version int, bucket int")
+    return files.join(F.broadcast(kept), ["version", "bucket"], "left_semi").drop("version")
+
+
+def upsert_stream(source: DataFrame, key: str, seq: str, folder: str, checkpoint: str, buckets: int = 64) -> None:
+    """Streams rows into a table of one row a key, the latest by seq; of rows with one seq the larger one within a batch, the later batch's otherwise.
+
+    Keys fall into buckets by their hash. Batch N writes folder/version=N with the buckets that it touches and no others, from their versions before N, so a
+    batch costs what it touches, and a repeated batch gives the same. Choose buckets so that one is a task's work; `current` reads the table."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        latest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), seq).alias("row")).select("row.*")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+        new = rows.select("*", bucket, F.lit(1).alias("__new"))
         if number:
-            old = rows.sparkSession.read.parquet(f"{folder}/version={number - 1}")
-            newer = latest.join(old.select(key, F.col(seq).alias("__old")), key, "left").where(F.col("__old").isNull() | (F.col(seq) >= F.col("__old"))).drop("__old")
-            latest = upsert(old, newer, key)
-        latest.write.mode("overwrite").parquet(f"{folder}/version={number}")
+            touched = [r.bucket for r in rows.select(bucket).distinct().collect()]
+            new = new.unionByName(current(rows.sparkSession, folder, number).where(F.col("bucket").isin(touched)).select(*rows.columns, "bucket", F.lit(0).alias("__new")))
+        latest = new.groupBy("bucket", key).agg(F.max(F.struct(F.col(seq).alias("s"), "__new", F.struct(*rows.columns).alias("row"))).alias("x")).select("bucket", "x.row.*")
+        latest.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/version={number}")
 
     source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -39,16 +50,24 @@ def upsert_stream(source: DataFrame, key: str, seq: str, folder: str, checkpoint
 STATE = "attempts int, replied boolean, last_at timestamp"
 
 
-def thread_states(events: DataFrame, thread: str, at: str, kind: str, most: int = 3) -> DataFrame:
-    """Streams messages of threads into thread, attempts, status: open until a reply comes or the attempts are used up."""
+def thread_states(events: DataFrame, thread: str, at: str, kind: str, most: int = 3, forget_after: str | None = None) -> DataFrame:
+    """Streams messages of threads into thread, attempts, status: open until a reply comes or the attempts are used up.
+
+    forget_after (an interval such as "30 days"): a thread without a message for so long, by the time of the messages, is forgotten; without it states stay."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         attempts, replied, last = state.get if state.exists else (0, False, None)
         for pdf in batches:
             attempts += int((pdf[kind] == "sent").sum())
             replied = replied or bool((pdf[kind] == "reply").any())
             last = max([x for x in (last, pdf[at].max()) if x is not None])
         state.update((attempts, replied, last))
+        if forget_after:
+            state.setTimeoutTimestamp(int((pd.Timestamp(last) + pd.Timedelta(forget_after)).timestamp() * 1000))
         yield pd.DataFrame({thread: [key[0]], "attempts": [attempts], "status": ["replied" if replied else "exhausted" if attempts >= most else "open"]})
 
-    return events.groupBy(thread).applyInPandasWithState(step, f"{thread} long, attempts int, status string", STATE, "update", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark(at, forget_after) if forget_after else events
+    return rows.groupBy(thread).applyInPandasWithState(step, f"{thread} long, attempts int, status string", STATE, "update", GroupStateTimeout.EventTimeTimeout if forget_after else GroupStateTimeout.NoTimeout)

@@ -5,6 +5,7 @@ import dossier.plans.built  # noqa: F401
 import dossier.plans.pages  # noqa: F401
 import dossier.plans.people  # noqa: F401
 import dossier.plans.runs  # noqa: F401
+import dossier.plans.streams  # noqa: F401
 from dossier.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()

@@ -26,3 +26,26 @@ def test_thread_states(spark, tmp_path):
     q = incremental.thread_states(source, "t", "at", "kind").writeStream.outputMode("update").format("memory").queryName("threads").option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.t: r.status for r in spark.sql("select * from threads").collect()} == {1: "replied", 2: "exhausted", 3: "open"}
+
+
+def test_upsert_stream_writes_touched_buckets_only(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in ([(k, 1, f"v{k}") for k in range(40)], [(7, 2, "new"), (8, 0, "old"), (9, 1, "later"), (9, 1, "earlier")]):
+        spark.createDataFrame(part, "k int, seq int, v string").coalesce(1).write.mode("append").parquet(folder)
+        incremental.upsert_stream(spark.readStream.schema("k int, seq int, v string").parquet(folder), "k", "seq", out, str(tmp_path / "ckpt"), 16)
+    table = {r.k: r.v for r in incremental.current(spark, out).collect()}
+    assert table == {k: f"v{k}" for k in range(40)} | {7: "new", 9: "later"}
+    touched = [p.name for p in (tmp_path / "out" / "version=1").iterdir() if p.name.startswith("bucket=")]
+    assert 1 <= len(touched) <= 3
+
+
+def test_threads_are_forgotten(spark, tmp_path):
+    folder = tmp_path / "in"
+    events = [[(1, "sent", "2024-01-01"), (2, "sent", "2024-01-01")], [(2, "sent", "2024-03-01")], [(3, "sent", "2024-03-02")], [(1, "sent", "2024-03-03"), (2, "sent", "2024-03-03")]]
+    got = {}
+    for rows in events:
+        spark.createDataFrame(rows, "t long, kind string, at string").select("t", "kind", F.to_timestamp("at").alias("at")).coalesce(1).write.mode("append").parquet(str(folder))
+        source = spark.readStream.schema("t long, kind string, at timestamp").parquet(str(folder))
+        states = incremental.thread_states(source, "t", "at", "kind", forget_after="10 days")
+        states.writeStream.outputMode("update").foreachBatch(lambda df, n: got.update({r.t: r.attempts for r in df.collect()})).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination()
+    assert got == {1: 1, 2: 3, 3: 1}  # the first thread's one attempt of January is forgotten in March
