@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.operators.mining import mentions
+
+#: Characters of a summary.
+SUMMARY = 800
+
 # The names under which imported columns may come.
 ALIASES = {
     "name": ["name", "full name", "faculty name"],
@@ -35,9 +43,39 @@ def by_alias(df: DataFrame, needed: tuple[str, ...] = ("name", "institution"), a
     return df.select(*out).dropna(subset=list(needed))
 
 
+def _entries(xml: str | None, limit: int) -> list[tuple]:
+    """title, link, summary, date of the items of a feed, whatever their namespace; a feed that is no XML has none."""
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return []
+    bare = lambda e: e.tag.rsplit("}", 1)[-1].lower() if isinstance(e.tag, str) else ""
+    text = lambda e: " ".join(" ".join(e.itertext()).split()) if e is not None else None
+    out = []
+    for item in [e for e in root.iter() if bare(e) in ("item", "entry")][:limit]:
+        parts: dict[str, ElementTree.Element] = {}
+        for e in item.iter():
+            parts.setdefault(bare(e), e)
+        first = lambda *names, parts=parts: next((parts[n] for n in names if n in parts), None)
+        if title := text(first("title")):
+            link = first("link")
+            href = (link.get("href") or text(link)) if link is not None else None
+            out.append((title, href or None, (text(first("description", "summary", "content")) or "")[:SUMMARY] or None, text(first("pubdate", "published", "updated"))))
+    return out
+
+
 def feed_items(feeds: DataFrame, key: str, xml: str, limit: int = 30) -> DataFrame:
-    """key, position, title, link, published of RSS items."""
-    column = lambda tag: F.xpath(F.col(xml), F.lit(f"//item/{tag}/text()"))
-    items = feeds.select(key, F.posexplode(F.slice(F.arrays_zip(column("title").alias("title"), column("link").alias("link"), column("pubDate").alias("published")), 1, limit)).alias("position", "x"))
-    when = F.coalesce(F.try_to_timestamp(F.substring("x.published", 6, 40), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("x.published"))
-    return items.select(key, "position", "x.title", "x.link", when.alias("published"))
+    """key, position, title, link, summary, published, names (after titles) of the items of RSS and Atom feeds; items without a title go."""
+    kind = "array<struct<title:string,link:string,summary:string,date:string>>"
+
+    def run(batches):
+        for b in batches:
+            items = [[dict(zip(("title", "link", "summary", "date"), e, strict=True)) for e in _entries(x, limit)] for x in b["x"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["k"], pa.array(items, pa.list_(pa.struct([(n, pa.string()) for n in ("title", "link", "summary", "date")])))], names=["k", "items"])
+
+    rows = feeds.select(F.col(key).alias("k"), F.col(xml).alias("x"))
+    items = rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, items {kind}").select(F.col("k").alias(key), F.posexplode("items").alias("position", "x"))
+    mailed = F.try_to_timestamp(F.regexp_replace("x.date", r"^[A-Za-z]{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    named = F.try_to_timestamp(F.regexp_replace(F.regexp_replace("x.date", r"^[A-Za-z]{3},\s*", ""), r"\s(GMT|UT|UTC|Z)$", " +0000"), F.lit("d MMM yyyy HH:mm:ss Z"))
+    names = mentions(F.concat_ws(". ", "x.title", F.coalesce("x.summary", F.lit(""))))
+    return items.select(key, "position", "x.title", "x.link", "x.summary", F.coalesce(mailed, named, F.try_to_timestamp("x.date")).alias("published"), names.alias("names"))
