@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.text import csv_cell
+from dossier.operators.lists import models_by_brand
 
 
 def facet_counts(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -55,3 +56,23 @@ def write_csv(df: DataFrame, columns: dict[str, Column], folder: str, guard: boo
 
 def write_sheets(df: DataFrame, keys: Column, folder: str) -> None:
     sheets(df, keys).write.partitionBy("sheet").parquet(folder)
+
+
+def lead_columns(own_vendor: str = "own", own_label: str = "Own") -> dict[str, Column]:
+    """The columns of a lead export under their headers, in their order, from columns name, title, email, phone, website, institution, affiliation (struct of status, directory_listed, previous, source,
+    verified_at), department, country, status, instruments (array of struct brand, model, vendor), products, topics, summary, publications (titles), profile_url, orcid, source, source_url, discovered_at,
+    created_at, reviewed_by, reviewed_at, tags. Entry N of the brands and of the models belong together; a brand without a model has an empty place."""
+    c = F.col
+    joined = lambda items: F.array_join(items, "; ")
+    when = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    status = F.when(c("affiliation").isNull(), "unverified").when(~F.coalesce(c("affiliation.directory_listed"), F.lit(True)) & (c("affiliation.status") == "current"), "current (not in directory)").otherwise(c("affiliation.status"))
+    brands = models_by_brand(c("instruments"))
+    has = lambda vendor: F.when(F.exists("instruments", lambda i: F.coalesce(i["vendor"] == vendor, F.lit(False))), "yes").otherwise("no")
+    return {
+        "Name": c("name"), "Title": c("title"), "Email": c("email"), "Phone": c("phone"), "Lab website": c("website"), "Institution": c("institution"), "Affiliation status": status, "Previous institution": c("affiliation.previous"),
+        "Affiliation source": c("affiliation.source"), "Affiliation checked": when("affiliation.verified_at"), "Department": c("department"), "Country": c("country"), "Status": c("status"),
+        "Instrument brand": joined(F.transform(brands, lambda b: b["brand"])), "Instrument model": joined(F.transform(brands, lambda b: F.array_join(b["models"], " / "))), f"{own_label} brand user": has(own_vendor),
+        "Competitor user": has("competitor"), "Recommended products": joined("products"), "Research topics": joined("topics"), "Research summary": c("summary"), "Recent publications": joined(F.array_distinct("publications")),
+        "Profile URL": c("profile_url"), "ORCID": c("orcid"), "Source": c("source"), "Source URL": c("source_url"), "Discovered": when("discovered_at"), "Added": when("created_at"), "Reviewed by": c("reviewed_by"),
+        "Reviewed at": when("reviewed_at"), "Tags": joined("tags"),
+    }

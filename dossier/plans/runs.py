@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.operators import lists, runs
+from dossier.operators import lists, reports, runs
 from dossier.plans.built import _name
 from dossier.plans.queries import DEPARTMENTS, DOMAINS, ROLES, TITLES, query, table
 
@@ -190,3 +190,29 @@ def missing_fields(spark, sf_dir):
     k = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").select(k, F.when(k % 2 != 0, "e").alias("e"), F.when(k % 3 != 0, "t").otherwise(" ").alias("t"), F.when(k % 5 >= 2, "p").when(k % 5 == 1, "").alias("p"))
     return rows.select("c_custkey", F.array_join(lists.missing_fields({"email": "e", "title": "t", "phone": "p"}), ",").alias("missing"))
+
+
+_I = "SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS b FROM orders GROUP BY 1"
+
+
+@query(f"""WITH i AS ({_I}), l AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS seg, coalesce(b, []) AS b FROM customer LEFT JOIN i ON o_custkey = c_custkey)
+SELECT name || ',"Head, ""of"" ' || seg || '",' || CASE WHEN k % 2 = 0 THEN '''=x@y' ELSE '' END || ',,,Inst ' || k % 7 || ',' || CASE k % 4 WHEN 0 THEN 'unverified' WHEN 1 THEN 'current (not in directory)' WHEN 2 THEN 'current' ELSE 'moved' END || ','
+  || CASE WHEN k % 4 = 3 THEN 'Old' ELSE '' END || ',' || CASE WHEN k % 4 = 0 THEN '' ELSE 'registry' END || ',' || CASE WHEN k % 4 = 0 THEN '' ELSE '2024-01-02T03:04:05.000Z' END || ',,IN,new,' || array_to_string(b, '; ') || ','
+  || trim(array_to_string(list_transform(b, lambda x: CASE WHEN x = 'F' THEN 'm1 / m2' ELSE '' END), '; ')) || ',' || CASE WHEN list_contains(b, 'O') THEN 'yes' ELSE 'no' END || ',' || CASE WHEN list_contains(b, 'F') THEN 'yes' ELSE 'no' END || ',p1; p2,' || seg || ',a b,t1; t2,,'
+  || CASE WHEN k % 3 = 0 THEN '0000' ELSE '' END || ',papers,,,2024-01-02T03:04:05.000Z,,,t' || k % 5 AS line FROM l""")
+def lead_export(spark, sf_dir):
+    """The export of leads, all thirty columns: aligned brands and models, affiliation in words, dates, quotes, no formulas."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    at = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    item = lambda b, model, vendor: F.struct(b.alias("brand"), model.cast("string").alias("model"), vendor.cast("string").alias("vendor"))
+    both = lambda b: F.when(b == "F", F.array(*(item(b, F.lit(m), F.lit("competitor")) for m in ("m1", "m2", "m1")))).otherwise(F.array(item(b, none, F.when(b == "O", "own"))))
+    seen = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.flatten(F.transform(F.array_sort(F.collect_set("o_orderstatus")), both)).alias("instruments"))
+    status = F.struct(F.when(k % 4 == 3, "moved").otherwise("current").alias("status"), (k % 4 == 2).alias("directory_listed"), F.when(k % 4 == 3, "Old").alias("previous"), F.lit("registry").alias("source"), at.alias("verified_at"))
+    rows = table(spark, sf_dir, "customer").join(seen, "c_custkey", "left")
+    rows = rows.select(
+        F.col("c_name").alias("name"), F.concat(F.lit('Head, "of" '), "c_mktsegment").alias("title"), F.when(k % 2 == 0, "=x@y").alias("email"), *(none.alias(c) for c in ("phone", "website", "department", "profile_url", "source_url", "reviewed_by")),
+        F.concat(F.lit("Inst "), k % 7).alias("institution"), F.when(k % 4 != 0, status).alias("affiliation"), F.lit("IN").alias("country"), F.lit("new").alias("status"), F.coalesce("instruments", F.array().cast("array<struct<brand:string,model:string,vendor:string>>")).alias("instruments"),
+        F.array(F.lit("p1"), F.lit("p2")).alias("products"), F.array("c_mktsegment").alias("topics"), F.lit("a\r\n b").alias("summary"), F.array(F.lit("t1"), F.lit("t2"), F.lit("t1")).alias("publications"), F.when(k % 3 == 0, "0000").alias("orcid"), F.lit("papers").alias("source"),
+        F.lit(None).cast("timestamp").alias("discovered_at"), at.alias("created_at"), F.lit(None).cast("timestamp").alias("reviewed_at"), F.array(F.concat(F.lit("t"), k % 5)).alias("tags"),
+    )
+    return reports.flat_export(rows, reports.lead_columns())
