@@ -224,12 +224,14 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.content_hash(F.array("p_name", "p_brand"), F.array("p_type")).alias("content_hash"))
 
 
-@query("""SELECT o_orderkey, o_orderdate IS NULL OR o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY AS stale, o_orderstatus = 'O' AND o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY AS fresh FROM orders""")
+@query("""SELECT o_orderkey, o_orderdate IS NULL OR o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY AS stale, o_orderstatus <> 'P' AND (o_custkey % 5 <> 0) AND o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY AS fresh FROM orders""")
 def freshness(spark, sf_dir):
     """Stale after 30 days; fresh while the digest is the same and the days aren't over."""
     rows = table(spark, sf_dir, "orders")
     now = F.lit(rows.agg(F.max("o_orderdate")).first()[0])
-    return rows.select("o_orderkey", affiliation.stale(F.col("o_orderdate"), now).alias("stale"), affiliation.fresh(F.col("o_orderstatus"), F.lit("O"), F.col("o_orderdate"), now).alias("fresh"))
+    seen = F.array(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") == "P", "old").otherwise("x"))
+    old, new = text.content_hash(seen), text.content_hash(F.array(F.lit("x"), F.when(F.col("o_custkey") % 5 != 0, F.col("o_orderkey").cast("string")).otherwise("other")))
+    return rows.select("o_orderkey", affiliation.stale(F.col("o_orderdate"), now).alias("stale"), affiliation.fresh(old, new, F.col("o_orderdate"), now).alias("fresh"))
 
 
 # Fuzzy search
@@ -301,13 +303,13 @@ def keyword_score(spark, sf_dir):
 
 @query("""WITH s AS (SELECT c_custkey, CAST(least(100, greatest(0, 100 - (2000 - year(max(o_orderdate))) * 20)) AS INTEGER) AS rec, sum(o_totalprice) AS money, count(o_orderkey) AS n, any_value(c_mktsegment) AS seg, any_value(c_acctbal) AS bal FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey),
 t AS (SELECT *, coalesce(rec, 50) AS recency, least(100, 40 + CASE WHEN seg = 'BUILDING' THEN 25 ELSE 0 END + CASE WHEN money > 250000 THEN 30 WHEN money > 0 THEN 15 ELSE 0 END) AS strength, least(100, CASE WHEN bal >= 0 THEN 45 ELSE 10 END + CASE WHEN n > 0 THEN 15 ELSE 0 END) AS engagement FROM s)
-SELECT c_custkey, CAST(floor(0.15 * recency + 0.15 * strength + 0.15 * engagement + 0.5) AS INTEGER) AS score FROM t""")
+SELECT c_custkey, CAST(floor(0.55 * (c_custkey % 101) + 0.15 * recency + 0.15 * strength + 0.15 * engagement + 0.5) AS INTEGER) AS score FROM t""")
 def relevance_blend(spark, sf_dir):
     """Recency, strength and engagement in one rounded score, its band aside."""
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.year("o_orderdate")).alias("year"), F.sum("o_totalprice").alias("money"), F.count("*").alias("n"))
     rows = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left")
     some, none = F.when(F.col("c_acctbal") >= 0, F.lit("x")), F.lit(None).cast("string")
-    score = scoring.blend(relevance=F.lit(0), recency=scoring.recency(F.col("year"), 2000), strength=scoring.strength(F.col("c_mktsegment"), ["building"], F.col("money")), engagement=scoring.engagement(some, none, none, F.coalesce("n", F.lit(0)), F.lit(0)))
+    score = scoring.blend(relevance=(F.col("c_custkey") % 101).cast("int"), recency=scoring.recency(F.col("year"), 2000), strength=scoring.strength(F.col("c_mktsegment"), ["building"], F.col("money")), engagement=scoring.engagement(some, none, none, F.coalesce("n", F.lit(0)), F.lit(0)))
     return rows.select("c_custkey", score.alias("score"))
 
 
