@@ -35,12 +35,12 @@ def test_methods_section_falls_back_to_the_text(spark):
 
 def test_snippets(spark):
     find = lambda t, *terms, **kw: one(spark, mining.snippets(F.col("t"), list(terms), **kw), t=t)
-    assert find("Gamry here. gamry  here. Not gamryx; a Gamry-1; on\nGamry line", "Gamry") == ["Gamry here.", "a Gamry-1;", "Gamry line"]
-    long = "a" * 200 + " " + "b" * 199 + " Gamry " + "c" * 300 + "."
-    got = find(long, "Gamry")
-    assert len(got) == 1 and "Gamry" in got[0] and got[0].startswith("…") and got[0].endswith("…") and len(got[0]) == 262
-    assert find("Gamry " + "c" * 300, "Gamry") == ["Gamry " + "c" * 254 + "…"]
-    assert find("a CHI660E, b CHI 660E. c CHI-660E! d CHI660EX", "CHI660E") == ["a CHI660E, b CHI 660E.", "c CHI-660E!"]
+    assert find("Zorby here. zorby  here. Not zorbyx; a Zorby-1; on\nZorby line", "Zorby") == ["Zorby here.", "a Zorby-1;", "Zorby line"]
+    long = "a" * 200 + " " + "b" * 199 + " Zorby " + "c" * 300 + "."
+    got = find(long, "Zorby")
+    assert len(got) == 1 and "Zorby" in got[0] and got[0].startswith("…") and got[0].endswith("…") and len(got[0]) == 262
+    assert find("Zorby " + "c" * 300, "Zorby") == ["Zorby " + "c" * 254 + "…"]
+    assert find("a QXI660E, b QXI 660E. c QXI-660E! d QXI660EX", "QXI660E") == ["a QXI660E, b QXI 660E.", "c QXI-660E!"]
     assert find("an A+B (x) here. ax", "A+B (x)", "ax", "x") == ["an A+B (x) here."]  # patterns are plain text, short terms say nothing
     assert find("one two. " * 3 + "".join(f"three {k}. " for k in range(40)), "three", limit=5) == [f"three {k}." for k in range(5)]
     assert find("anything", "xy") == []
