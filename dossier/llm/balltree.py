@@ -94,7 +94,7 @@ def best(tree: Tree, vec: np.ndarray, void: np.ndarray, q: np.ndarray, own: np.n
         parts = [found]
         for x in np.unique(leaf).tolist():
             who, rows = asked[leaf == x], tree.order[tree.bounds[x] : tree.bounds[x + 1]]
-            score = exact[who] @ tree.points[rows].T
+            score = V.scores(exact[who], tree.points[rows])
             i, j = np.nonzero((score >= least[who][:, None]).astype(bool) & ((vec[rows][None] != own[who][:, None]) | void[rows][None]))
             parts.append((who[i], rows[j], score[i, j]))
         owner, row, score = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -209,7 +209,7 @@ def _searched(s: V.Shape, k: int):
                 b = rows.slice(x, V.BLOCK)
                 least = V.leasts(b["least"])
                 who, row, score = best(tree, vec, void, V.matrix(b["e"], s), b["query_id"].to_numpy(), least, k)
-                yield pa.RecordBatch.from_arrays([b["qkey"].take(pa.array(who)), pa.array(vec[row], pa.int64(), mask=void[row]), pa.array(V.longs(score))], names=["qkey", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([b["qkey"].take(pa.array(who)), pa.array(vec[row], pa.int64(), mask=void[row]), pa.array(score.astype(np.int64))], names=["qkey", "vec_id", "score"])
 
     return run
 

@@ -48,7 +48,7 @@ def kept(best: list[np.ndarray], slots: np.ndarray, n: int, rows: tuple[np.ndarr
     floor = np.full(len(a) * n, -np.inf)
     for i in range(0, len(x), CHUNK):
         part = slice(i, i + CHUNK)
-        score = a @ x[part].T
+        score = V.scores(a, x[part])
         fits = ((labels[part][None] == label[:, None]) == same) & ((vec[part][None] != own[:, None]) | void[part][None])
         slot = np.full(score.shape, -1, np.int64)
         for j in range(n):
@@ -86,7 +86,7 @@ def _scored(s: V.Shape, n: int, same: bool, k: int):
                 limits = limits if s.doubles or same else limits.astype(object)
                 none = [np.zeros(0, np.int64), a[:0, 0], np.zeros(0, np.int64), np.zeros(0, bool)]
                 best = kept(none, limits, n, held, a, b["vec_id"].to_numpy(), b["label"].to_numpy(), same, k)
-                yield pa.RecordBatch.from_arrays([b["akey"].take(pa.array(best[0] // n)), pa.array((best[0] % n).astype(np.int32)), pa.array(best[2], pa.int64(), mask=best[3]), pa.array(V.longs(best[1]))], names=["akey", "slot", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([b["akey"].take(pa.array(best[0] // n)), pa.array((best[0] % n).astype(np.int32)), pa.array(best[2], pa.int64(), mask=best[3]), pa.array(best[1].astype(np.int64))], names=["akey", "slot", "vec_id", "score"])
 
     return run
 

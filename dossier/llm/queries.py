@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import balltree, grammar, hilbert, language, minhash, negatives, packing, quality_rules, rule_ensemble, sentencepieces, sketches, toxicity
+from dossier.llm import balltree, grammar, hilbert, language, minhash, negatives, packing, periods, quality_rules, rule_ensemble, sentencepieces, sketches, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,34 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 1, 4096)
 
 
+#: Words, as the contracts have them.
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def repeated_tail(docs: DataFrame) -> DataFrame:
+    """docs, the texts of one id in ten with a tail that repeats its first words: h = crc32 of the id in decimals, g = h / 10; where h % 10 = 0, from word a = g % n on word i becomes word a + (i - a) % p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    own = docs.withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORDS), 0)))
+    n, g = F.size("words"), F.floor(h / 10)
+    own = own.withColumn("a", F.when(n > 0, g % n).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    tail = F.slice("words", F.col("a") + 1, F.col("p"))
+    whole = F.slice(F.flatten(F.array_repeat(tail, F.ceil((n - F.col("a")) / F.col("p")).cast("int"))), 1, n - F.col("a"))
+    return own.withColumn("text", F.when(n > 0, F.array_join(F.concat(F.slice("words", 1, F.col("a")), whole), " ")).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periods.periodic(repeated_tail(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("x"), (-r["start"]).alias("start"), (-r["period"]).alias("period"), r["length"].alias("length"))))
+    rows = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    rows = F.when(F.size("runs") > 0, F.concat(rows, F.lit("\n"))).otherwise("")
+    out = out.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.period")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(rows.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -70,7 +98,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_hilbert_shards, op3_language, op4_minhash, op5_quality_rules, op6_grammar_files, op7_rule_ensemble, op8_sketches, op9_sentencepieces, op10_packing, op12_ball_tree, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_hilbert_shards, op3_language, op4_minhash, op5_quality_rules, op6_grammar_files, op7_rule_ensemble, op8_sketches, op9_sentencepieces, op10_packing, op11_periodic_runs, op12_ball_tree, op13_hard_negatives)}
 
 #: The vectors that take part, in whole numbers.
 _WHOLE = """v AS (SELECT vec_id, {label} AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings

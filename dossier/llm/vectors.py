@@ -58,8 +58,10 @@ def matrix(col: pa.Array | pa.ChunkedArray, s: Shape) -> np.ndarray:
     return out if s.doubles else np.frompyfunc(int, 1, 1)(out).reshape(out.shape)
 
 
-def longs(scores: np.ndarray) -> np.ndarray:
-    return scores.astype(np.int64) if scores.dtype != object else np.array([max(-LONG - 1, min(LONG, x)) for x in scores.ravel()], np.int64).reshape(scores.shape)
+def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of each row of a with each row of b, within the range of a long."""
+    out = a @ b.T
+    return np.minimum(np.maximum(out, -LONG - 1), LONG) if out.dtype == object else out
 
 
 def ids(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
