@@ -46,6 +46,11 @@ TOPIC_SHARE = 0.4
 #: Domains that are kept, those that need a term on corrosion, departments that are known and not kept.
 KEPT = ["chemistry", "biology", "biotechnology", "chemical_engineering", "biochemical_engineering", "materials", "energy", "electrical"]
 GATED = ["civil", "mechanical"]
+#: How the domains are called in reasons.
+DOMAIN_LABELS = {
+    "chemistry": "Chemistry", "biology": "Biology", "biotechnology": "Biotechnology", "chemical_engineering": "Chemical Engineering", "biochemical_engineering": "Biochemical Engineering", "materials": "Materials / Metallurgy",
+    "energy": "Energy", "electrical": "Electrical Engineering", "civil": "Civil Engineering (corrosion)", "mechanical": "Mechanical Engineering (corrosion)", "other": "Other",
+}
 NOT_KEPT = [
     r"\bphysics\b", r"\b(computer|computing|informatics|information technology|data science|artificial intelligence)\b", r"\b(communication|instrumentation|control)\b", r"\b(mathematic|statistic)",
     r"\b(humanities|social|economics|management|business|liberal arts|linguistics|philosophy|design school|industrial design|education)\b",
@@ -113,6 +118,12 @@ def role(title: Column) -> Column:
     return F.struct(category.otherwise("unknown").alias("category"), matched.otherwise(None).alias("matched"))
 
 
+def excluded_match(title: Column) -> Column:
+    """The words of a title that exclude somebody: those of students first."""
+    t = squeeze(F.coalesce(title, F.lit("")))
+    return F.coalesce(*(F.nullif(F.regexp_extract(t, pattern(p), 0), F.lit("")) for p in [*STUDENTS, *ADJUNCTS]))
+
+
 def department_domain(department: Column) -> Column:
     return first_of(F.trim(F.coalesce(department, F.lit(""))), DEPARTMENTS, "other")
 
@@ -167,8 +178,15 @@ def with_domain(df: DataFrame, department: Column, topics: Column, text: Column,
     return df.withColumns(found).withColumn("__domain", voted).withColumn("__gate", opens).withColumn(name, out).drop(*found, "__domain", "__gate")
 
 
-def stronger_role(roles: Column) -> Column:
-    """Folds an array of struct(seq, source, category) in order of seq. A page's faculty title stands against an exclusion from elsewhere; else the higher rank, the earlier one among equals."""
+def domain_reason(domain: Column, department: Column) -> Column:
+    """Why a domain isn't kept."""
+    label = F.element_at(F.create_map(*(F.lit(x) for kv in DOMAIN_LABELS.items() for x in kv)), domain)
+    gated = F.concat(F.lit("domain: "), label, F.lit(" without corrosion-related work"))
+    return F.when(domain.isin(GATED), gated).when(F.coalesce(department, F.lit("")) != "", F.concat(F.lit("domain: "), department)).otherwise("domain: outside the kept departments")
+
+
+def strongest_role(roles: Column) -> Column:
+    """The element that an array of struct(seq, source, category, more) comes to, in order of seq. A page's faculty title stands against an exclusion from elsewhere; else the higher rank, the earlier one among equals."""
     page = lambda r: r["source"].isin("faculty_page", "registry")
     faculty = lambda r: r["category"].isin("professor", "scientist", "officer", "fellow")
     rank = lambda r: F.element_at(F.create_map(*(F.lit(x) for kv in ROLE_RANK.items() for x in kv)), r["category"])
@@ -179,7 +197,11 @@ def stronger_role(roles: Column) -> Column:
         return F.when(keep, a).when(take | (rank(b) > rank(a)), b).otherwise(a)
 
     ordered = F.array_sort(roles)
-    return F.aggregate(F.slice(ordered, 2, 1 << 20), F.try_element_at(ordered, F.lit(1)), step)["category"]
+    return F.aggregate(F.slice(ordered, 2, 1 << 20), F.try_element_at(ordered, F.lit(1)), step)
+
+
+def stronger_role(roles: Column) -> Column:
+    return strongest_role(roles)["category"]
 
 
 def seniority(works: Column, h: Column, first: Column, last: Column, years_here: Column, name: Column, as_of_year: int) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dossier.session import cut
+
 #: Characters of a gram.
 GRAM = 4
 
@@ -21,8 +23,8 @@ def grams(key: Column, size: Column | int) -> Column:
 
 def holders(keys: DataFrame, key: str, texts: DataFrame, text: str) -> DataFrame:
     """key, text: each distinct key with each distinct text that holds it, equal ones too. Null and empty keys are in nothing. One small job counts the lengths below a gram."""
-    own = keys.select(F.col(key).alias("key")).where("key <> ''").distinct()
-    held = texts.select(F.col(text).alias("text")).where("text <> ''").distinct()
+    own = cut(keys.select(F.col(key).alias("key")).where("key <> ''").distinct())
+    held = cut(texts.select(F.col(text).alias("text")).where("text <> ''").distinct())
     sizes = sorted(r[0] for r in own.select(F.least(F.length("key"), F.lit(GRAM)).alias("n")).distinct().collect())
     if not sizes:
         return own.crossJoin(held.limit(0))
@@ -49,10 +51,10 @@ def first_place(asked: DataFrame, key: str, known: DataFrame, known_key: str, pl
 
 def named_in(texts: DataFrame, text: str, names: DataFrame, name: str, least: int = 6) -> DataFrame:
     """text, name: which names of so many letters stand anywhere in which texts, whatever the case."""
-    small = names.select(name, F.lower(name).alias("__name")).where(F.length("__name") >= least)
-    lower = texts.select(text, F.lower(text).alias("__text")).distinct()
-    found = holders(small, "__name", lower, "__text")
-    return found.join(small.distinct(), F.col("key") == F.col("__name")).join(lower, F.col("text") == F.col("__text")).select(lower[text], small[name])
+    small = names.select(F.col(name).alias("__own"), F.lower(name).alias("__name")).where(F.length("__name") >= least).distinct()
+    lower = texts.select(F.col(text).alias("__whole"), F.lower(text).alias("__small")).distinct()
+    found = holders(small, "__name", lower, "__small").select(F.col("key").alias("__name"), F.col("text").alias("__small"))
+    return found.join(small, "__name").join(lower, "__small").select(F.col("__whole").alias(text), F.col("__own").alias(name))
 
 
 def longest_held(pairs: DataFrame, text: str, key: str) -> DataFrame:

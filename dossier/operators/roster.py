@@ -11,6 +11,8 @@ from dossier.operators.mining import merged_detections
 
 #: Years after the first paper from which an open entry as a student is taken for a stale one.
 STALE_STUDENT = 12
+# Paths and labels of listings that hold no current faculty, and words of a student's title.
+NON_FACULTY_PAGE = r"(?i)(visiting|adjunct|retired|former|emerit|alumni|student|scholar|phd|postdoc|off-staff|staff-directory|technical-staff|non-teaching|office|/staff/?$)"
 STUDENT = r"(?i)student|scholar|ph\.?\s?d|doctoral|m\.?\s?tech|m\.?\s?sc|candidate|graduate"
 
 
@@ -33,6 +35,20 @@ def stale_student(source: Column, matched: Column, first_year: Column, as_of_yea
     return (source == "orcid") & F.coalesce(matched, F.lit("")).rlike(STUDENT) & (as_of_year - first_year >= STALE_STUDENT)
 
 
+def non_faculty(path: Column) -> Column:
+    """Whether a listing's path speaks of guests, staff, students or people who left."""
+    return F.coalesce(path.rlike(NON_FACULTY_PAGE), F.lit(False))
+
+
+def page_role(title: Column, url: Column, label: Column) -> Column:
+    """struct(category, matched) of somebody on a page: by the title; without one a professor where the address or the label of its link says faculty and neither speaks of others."""
+    words = F.concat_ws(" ", url, F.coalesce(label, F.lit("")))
+    path = F.concat_ws(" ", F.regexp_replace(url, r"^[a-zA-Z]+://[^/]*|[?#].*$", ""), F.coalesce(label, F.lit("")))
+    listed = words.rlike("(?i)faculty|professor") & ~non_faculty(path)
+    by_list = F.struct(F.when(listed, "professor").otherwise("unknown").alias("category"), F.when(listed, "listed on a faculty page").alias("matched"))
+    return F.when(F.coalesce(title, F.lit("")) != "", rules.role(title)).otherwise(by_list)
+
+
 def pinned_by(drafts: DataFrame, entries: DataFrame, keys: list[tuple[str, list[Column], list[Column]]], entry_id: str, name: str = "pinned") -> DataFrame:
     """drafts with whether an entry of the list shares any of the keys: equi-joins in turn, so no pair is compared that shares none."""
     return cascade(drafts, entries, keys, entry_id, "__entry", "__via").withColumn(name, F.col("__entry").isNotNull()).drop("__entry", "__via")

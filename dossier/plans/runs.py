@@ -22,13 +22,13 @@ def _sql(values: dict[str, str], key: str) -> str:
 
 
 def _seen(spark, sf_dir) -> DataFrame:
-    """Sightings of four sources: suppliers as authors, even customers as self-kept records, every third part as a registry's profile, every seventh order as a line of a staff page that shortens the first name."""
+    """Sightings of four sources: suppliers as authors, even customers as self-kept records (some still students in them), every third part as a registry's profile, every seventh order as a line of a staff page that shortens the first name."""
     k, place = F.col("k"), (F.col("k") % 5).cast("string").alias("place")
     full = F.concat(F.lit("Ann "), _name("k"))
     years = F.when(k % 3 != 0, F.sequence(F.lit(AS_OF - 6), F.lit(AS_OF)))
     a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k")).select(place, k.alias("seq"), F.lit("openalex").alias("source"), full.alias("name"), F.when(k % 2 == 0, k.cast("string")).alias("orcid"), F.concat(F.lit("a"), k).alias("author_id"), F.lit(40).alias("works"), F.lit(10).alias("h_index"), F.lit(1990).alias("first_year"), F.lit(AS_OF).alias("last_year"), years.alias("years_here"))
     o = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").withColumn("k", F.col("c_custkey").cast("long"))
-    o = o.select(place, (k + (1 << 40)).alias("seq"), F.lit("orcid").alias("source"), full.alias("name"), k.cast("string").alias("orcid"), F.when(F.col("c_mktsegment") == "BUILDING", "Professor").alias("title"), F.when(F.col("c_nationkey") % 3 == 0, "Dept of Chemistry").when(F.col("c_nationkey") % 3 == 1, "Civil Engg").alias("department"))
+    o = o.select(place, (k + (1 << 40)).alias("seq"), F.lit("orcid").alias("source"), full.alias("name"), k.cast("string").alias("orcid"), F.when(F.col("c_mktsegment") == "BUILDING", "Professor").when(F.col("c_mktsegment") == "HOUSEHOLD", "PhD Student").alias("title"), F.when(F.col("c_nationkey") % 3 == 0, "Dept of Chemistry").when(F.col("c_nationkey") % 3 == 1, "Civil Engg").alias("department"))
     r = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").withColumn("k", F.col("p_partkey").cast("long"))
     r = r.select(place, (k + (2 << 40)).alias("seq"), F.lit("registry").alias("source"), full.alias("name"), _of(TITLES, "p_type").alias("title"), _of(DEPARTMENTS, "p_type").alias("department"))
     p = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").withColumn("k", F.col("o_orderkey").cast("long"))
@@ -42,36 +42,47 @@ def _members(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0").select(k.alias("member_id"), (k % 5).cast("string").alias("place"), F.concat(F.lit("Ann "), _name("s_suppkey")).alias("name"), none.alias("orcid"), none.alias("author_id"), none.alias("email"))
 
 
+def _persons(spark, sf_dir) -> DataFrame:
+    """Own records of every fourth customer: a keyword on corrosion, an address and a site."""
+    k = F.col("c_custkey").cast("string")
+    site = F.array(F.struct(F.lit("home").alias("name"), F.lit("https://x").alias("url")))
+    return table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(k.alias("orcid"), F.array(F.lit("pitting corrosion")).alias("keywords"), F.array(F.concat(F.lit("p"), k, F.lit("@x"))).alias("emails"), site.alias("urls"))
+
+
 _KEPT = "('chemistry', 'materials', 'energy', 'biochemical_engineering')"
 _RANK = "CASE {} WHEN 'excluded' THEN 6 WHEN 'professor' THEN 5 WHEN 'scientist' THEN 4 WHEN 'officer' THEN 3 WHEN 'fellow' THEN 3 ELSE 0 END"
-_ALL = f"""WITH o AS (SELECT c_custkey AS k, CASE WHEN c_mktsegment = 'BUILDING' THEN 'professor' ELSE 'unknown' END AS role, CASE c_nationkey % 3 WHEN 0 THEN 'chemistry' WHEN 1 THEN 'civil' END AS domain FROM customer WHERE c_custkey % 2 = 0),
+_ALL = f"""WITH o AS (SELECT c_custkey AS k, CASE c_mktsegment WHEN 'BUILDING' THEN 'professor' WHEN 'HOUSEHOLD' THEN 'excluded' ELSE 'unknown' END AS role, CASE c_nationkey % 3 WHEN 0 THEN 'chemistry' WHEN 1 THEN 'civil' END AS domain FROM customer WHERE c_custkey % 2 = 0),
+h AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 4 = 0),
 r AS (SELECT p_partkey AS k, coalesce({_sql(ROLES, "p_type")}, 'unknown') AS role, {_sql(DOMAINS, "p_type")} AS domain FROM part WHERE p_partkey % 3 = 0),
 p AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 7 = 0),
 k AS (SELECT s_suppkey AS k FROM supplier UNION SELECT k FROM o UNION SELECT k FROM r UNION SELECT k FROM p),
 j AS (SELECT k.k, s.s_suppkey IS NOT NULL AND k.k % 3 <> 0 AS senior, s.s_suppkey IS NOT NULL AND k.k % 4 = 0 AS known, coalesce(o.domain, r.domain, CASE WHEN p.k IS NOT NULL THEN 'chemistry' END, 'other') AS domain,
-  greatest({_RANK.format("o.role")}, {_RANK.format("r.role")}, CASE WHEN p.k IS NOT NULL THEN 5 ELSE 0 END) AS rank
-  FROM k LEFT JOIN supplier s ON s.s_suppkey = k.k LEFT JOIN o ON o.k = k.k LEFT JOIN r ON r.k = k.k LEFT JOIN p ON p.k = k.k),
-d AS (SELECT k, CASE WHEN rank = 6 THEN 'excludedRole' WHEN rank = 0 AND NOT senior THEN 'droppedUnconfirmed' WHEN domain NOT IN {_KEPT} THEN 'excludedDomain' WHEN known THEN 'updated' ELSE 'created' END AS outcome, domain FROM j)"""
+  CASE WHEN o.role = 'excluded' AND p.k IS NULL AND coalesce({_RANK.format("r.role")}, 0) NOT IN (3, 4, 5) THEN CASE WHEN s.s_suppkey IS NOT NULL AND k.k % 3 <> 0 THEN 2 ELSE 6 END
+    ELSE greatest(CASE WHEN o.role = 'excluded' THEN 0 ELSE {_RANK.format("o.role")} END, CASE WHEN r.role = 'excluded' AND p.k IS NOT NULL THEN {_RANK.format("r.role")} ELSE {_RANK.format("r.role")} END, CASE WHEN p.k IS NOT NULL THEN 5 ELSE 0 END) END AS rank,
+  o.k IS NOT NULL AND h.k IS NOT NULL AS told
+  FROM k LEFT JOIN supplier s ON s.s_suppkey = k.k LEFT JOIN o ON o.k = k.k LEFT JOIN r ON r.k = k.k LEFT JOIN p ON p.k = k.k LEFT JOIN h ON h.k = k.k),
+d AS (SELECT k, CASE WHEN rank = 6 THEN 'excludedRole' WHEN rank = 0 AND NOT senior THEN 'droppedUnconfirmed' WHEN domain NOT IN {_KEPT} AND NOT (told AND domain IN ('civil', 'mechanical')) THEN 'excludedDomain' WHEN known THEN 'updated' ELSE 'created' END AS outcome, domain FROM j)"""
 
 
 @query(_ALL + " SELECT CAST(k % 5 AS VARCHAR) AS place, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS \"{o}\"" for o in runs.OUTCOMES) + " FROM d GROUP BY 1")
 def roster_build(spark, sf_dir):
     """A roster from four sources: sightings to drafts, drafts to decisions, decisions to outcomes, counted for each institution."""
-    return runs.outcome_counts(runs.build(_seen(spark, sf_dir), _members(spark, sf_dir), AS_OF, SOURCES), "place")
+    return runs.outcome_counts(runs.build(_seen(spark, sf_dir), _members(spark, sf_dir), AS_OF, SOURCES, persons=_persons(spark, sf_dir)), "place")
 
 
 @query(_ALL + """ SELECT d.k AS draft, outcome, d.domain, array_to_string(list_filter([CASE WHEN p.k IS NOT NULL THEN 'faculty_page' END, CASE WHEN s_suppkey IS NOT NULL THEN 'openalex' END, CASE WHEN o.k IS NOT NULL THEN 'orcid' END, CASE WHEN r.k IS NOT NULL THEN 'registry' END], lambda x: x IS NOT NULL), ',') AS sources
 FROM d LEFT JOIN supplier ON s_suppkey = d.k LEFT JOIN o ON o.k = d.k LEFT JOIN r ON r.k = d.k LEFT JOIN p ON p.k = d.k""")
 def roster_drafts(spark, sf_dir):
     """Each person of a build with the sources that saw them, their domain and what became of them."""
-    rows = runs.build(_seen(spark, sf_dir), _members(spark, sf_dir), AS_OF, SOURCES)
+    rows = runs.build(_seen(spark, sf_dir), _members(spark, sf_dir), AS_OF, SOURCES, persons=_persons(spark, sf_dir))
     return rows.select((F.col("draft") % (1 << 40)).alias("draft"), "outcome", F.col("domain.domain").alias("domain"), F.array_join("sources", ",").alias("sources"))
 
 
-@query(f"""WITH c AS (SELECT c_custkey, c_nationkey, CASE c_custkey % 3 WHEN 2 THEN NULL ELSE n_name END AS place, c_mktsegment, {_sql(DOMAINS, "(['ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD', 'LARGE'])[c_custkey % 6 + 1]")} AS domain FROM customer JOIN nation ON n_nationkey = c_nationkey)
-SELECT coalesce(place, '(unknown)') AS place, count(*) AS n, count(*) FILTER (place IS NOT NULL AND c_mktsegment = 'MACHINERY') AS excluded_role, count(*) FILTER (place IS NOT NULL AND c_mktsegment <> 'MACHINERY' AND domain IN {_KEPT}) AS created FROM c GROUP BY 1""")
+@query(f"""WITH c AS (SELECT c_custkey, c_nationkey, CASE c_custkey % 3 WHEN 2 THEN NULL ELSE n_name END AS place, c_mktsegment, {_sql(DOMAINS, "(['ECONOMY', 'SMALL', 'MEDIUM', 'PROMO', 'STANDARD', 'LARGE'])[c_custkey % 6 + 1]")} AS domain FROM customer JOIN nation ON n_nationkey = c_nationkey),
+o AS (SELECT place, CASE WHEN place IS NULL THEN NULL WHEN c_mktsegment = 'MACHINERY' THEN 'excludedRole' WHEN domain NOT IN {_KEPT} AND (s_suppkey IS NULL OR s_suppkey % 11 <> 0) THEN 'excludedDomain' WHEN s_suppkey % 4 = 0 THEN 'updated' ELSE 'created' END AS outcome FROM c LEFT JOIN supplier ON s_suppkey = c_custkey)
+SELECT coalesce(place, '(unknown)') AS place, count(*) AS n, """ + ", ".join(f"count(*) FILTER (outcome = '{x}') AS \"{x}\"" for x in runs.OUTCOMES) + " FROM o GROUP BY 1")
 def roster_import(spark, sf_dir):
-    """A list of staff under a build's decisions: institutions by short and full names, rows of unknown ones told apart, people without a title taken for staff."""
+    """A list of staff under a build's decisions: institutions by short and full names, rows of unknown ones told apart, people without a title taken for staff, known members found by their e-mail, some people kept whatever their department."""
     nations = table(spark, sf_dir, "nation")
     places = nations.select(F.col("n_name").alias("place"), F.concat(F.lit("Indian Institute of Technology "), _name("n_nationkey")).alias("institution"))
     k = F.col("c_custkey")
@@ -80,10 +91,13 @@ def roster_import(spark, sf_dir):
     kinds = F.element_at(F.array(*map(F.lit, DEPARTMENTS)), (k % 6 + 1).cast("int"))
     rows = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("kind", kinds)
     rows = rows.select(k.cast("long").alias("row_id"), F.concat(F.lit("Ann "), _name("c_custkey")).alias("name"), name.alias("institution"), F.when(F.col("c_mktsegment") == "MACHINERY", "PhD student").alias("title"), _of(DEPARTMENTS, "kind").alias("department"), F.concat(F.lit("a@x"), k).alias("email"), *(none.alias(c) for c in ("orcid", "profile_url", "keywords", "phone", "website", "bio")))
-    members = _members(spark, sf_dir).limit(0)
-    outcomes, unknown = runs.imported(rows, places, members)
-    counted = outcomes.groupBy("place").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "excludedRole").alias("excluded_role"), F.count_if(F.col("outcome") == "created").alias("created"))
-    return counted.unionByName(unknown.agg(F.count("*").alias("n")).select(F.lit("(unknown)").alias("place"), "n", F.lit(0).cast("long").alias("excluded_role"), F.lit(0).cast("long").alias("created")))
+    s, own = F.col("s_suppkey"), F.concat(F.lit("Ann "), _name("s_suppkey"))
+    supplier = table(spark, sf_dir, "supplier")
+    members = supplier.where(s % 4 == 0).select(s.cast("long").alias("member_id"), F.lit("elsewhere").alias("place"), own.alias("name"), none.alias("orcid"), none.alias("author_id"), F.concat(F.lit("A@x"), s).alias("email"))
+    pinned = supplier.where((s % 11 == 0) | (s % 13 == 0)).select(none.alias("orcid"), none.alias("author_id"), own.alias("name"), F.when(s % 11 != 0, "Institute of Nowhere").alias("institution"))
+    outcomes, unknown = runs.imported(rows, places, members, pinned)
+    counted = outcomes.groupBy("place").agg(F.count("*").alias("n"), *(F.count_if(F.col("outcome") == o).alias(o) for o in runs.OUTCOMES))
+    return counted.unionByName(unknown.agg(F.count("*").alias("n")).select(F.lit("(unknown)").alias("place"), "n", *(F.lit(0).cast("long").alias(o) for o in runs.OUTCOMES)))
 
 
 @query("""WITH l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'old' || c_custkey END AS email, [c_mktsegment] AS topics, c_custkey % 4 AS h FROM customer WHERE c_custkey % 2 = 0),

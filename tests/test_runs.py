@@ -1,8 +1,11 @@
 """Whole runs on small records whose outcomes are known by hand."""
 
+import contextlib
+import io
+
 from pyspark.sql import functions as F
 
-from dossier.operators import lists, runs
+from dossier.operators import lists, roster, runs
 
 SOURCES = ["openalex", "orcid", "registry", "faculty_page"]
 
@@ -71,3 +74,86 @@ def test_small_facts(spark):
     kinds = spark.createDataFrame([("i1", "a"), ("i2", "b"), ("i3", "a")], "institution_id string, kind string")
     off = spark.createDataFrame([("i3",)], "institution_id string")
     assert [r.institution_id for r in lists.active_institutions(kinds, ["a"], off).collect()] == ["i1"] and lists.active_institutions(kinds, [], off).count() == 2
+
+
+def record(spark, rows):
+    """Sightings with a publication record: source, name, orcid, title, department, works, h_index, first_year."""
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "seq long, source string, name string, orcid string, title string, department string, works int, h_index int, first_year int")
+    return runs.sightings(df.withColumns({"place": F.lit("p"), "last_year": F.lit(2024), "years_here": F.array(*map(F.lit, range(2015, 2025)))}))
+
+
+def test_a_student_with_a_long_record_is_kept(spark):
+    rows = [
+        ("openalex", "Ann Lee", "o1", None, "Chemistry", 60, 30, 1990), ("orcid", "Ann Lee", "o1", "PhD student", None, None, None, None),  # nobody closed the entry
+        ("openalex", "Bo Chen", "o2", None, "Chemistry", 60, 30, 2015), ("orcid", "Bo Chen", "o2", "PhD student", None, None, None, None),  # too short a record
+        ("openalex", "Cy Zorn", "o3", None, "Chemistry", 60, 30, 1990), ("orcid", "Cy Zorn", "o3", "Visiting Professor", None, None, None, None),  # no student
+        ("openalex", "Di Hart", "o4", None, "Chemistry", 60, 30, 1990), ("registry", "Di Hart", None, "PhD scholar", None, None, None, None),  # not a self-kept record
+        ("openalex", "Ed Kim", "o5", None, "Chemistry", 60, 5, 1990), ("orcid", "Ed Kim", "o5", "PhD student", None, None, None, None),  # not senior
+    ]
+    none = spark.createDataFrame([], "member_id long, orcid string, author_id string, place string, name string, email string")
+    out = {r["name"]: (r.outcome, r.decision.role, r.reason) for r in runs.build(record(spark, rows), none, 2024, SOURCES).collect()}
+    assert out == {"Ann Lee": ("created", "inferred", None), "Bo Chen": ("excludedRole", "excluded", "role: PhD student"), "Cy Zorn": ("excludedRole", "excluded", "role: Visiting Professor"), "Di Hart": ("excludedRole", "excluded", "role: PhD scholar"), "Ed Kim": ("excludedRole", "excluded", "role: PhD student")}
+    assert {r.outcome for r in runs.build(record(spark, rows[:2]), none, 2024, SOURCES, infer=False).collect()} == {"excludedRole"}
+
+
+def test_two_numbers_are_two_people(spark):
+    rows = [("openalex", "Ann Lee"), ("orcid", "Ann Lee", "o1"), ("orcid", "Ann Lee", "o2"), ("orcid", "Lee Ann", "o2"), ("orcid", "Ann Lee", "o1"), ("openalex", "Anna Center"), ("registry", "Anna Center"), ("faculty_page", "Read more")]
+    assert {r.seq: r.draft for r in runs.drafted(seen(spark, rows), SOURCES).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 0, 5: 5}
+
+
+def test_own_keywords_open_a_gate(spark):
+    rows = [("orcid", n, o, "Professor", d) for n, o, d in (("Ann Lee", "o1", "Civil Engineering"), ("Bo Chen", "o2", "Civil Engineering"), ("Cy Zorn", "o3", "History"), ("Di Hart", None, "Mechanical Engineering"))]
+    persons = spark.createDataFrame([("o1", ["pitting corrosion"], ["a@x", "b@x"], [("h", "https://a")]), ("o3", ["potentiostat"], [], [])], "orcid string, keywords array<string>, emails array<string>, urls array<struct<name:string,url:string>>")
+    none = spark.createDataFrame([], "member_id long, orcid string, author_id string, place string, name string, email string")
+    got = {r["name"]: (r.outcome, r.domain.gate, r.email, r.website, r.reason) for r in runs.build(seen(spark, rows), none, 2024, SOURCES, persons=persons).collect()}
+    assert got == {
+        "Ann Lee": ("created", "corrosion", "a@x", "https://a", None), "Bo Chen": ("excludedDomain", None, None, None, "domain: Civil Engineering (corrosion) without corrosion-related work"),
+        "Cy Zorn": ("created", "electrochemistry", None, None, None), "Di Hart": ("excludedDomain", None, None, None, "domain: Mechanical Engineering (corrosion) without corrosion-related work"),
+    }
+
+
+IMPORT = "row_id long, name string, institution string, department string, title string, email string, orcid string, profile_url string, keywords string, phone string, website string, bio string"
+
+
+def test_imports(spark):
+    none = [None] * 7
+    rows = spark.createDataFrame(
+        [
+            (1, "Ann Lee", "IIT Zorbia", "History", None, *none), (2, "Bo Chen", "Dept of Chemistry, Indian Institute of Technology Zorbia", "Chemistry", None, *none), (3, "Cy Zorn", "Nowhere", "Chemistry", None, *none), (4, " ", "IIT Zorbia", None, None, *none),
+            (5, "Di Hart", "IIT Zorbia", "History", "PhD student", *none), (6, "Ed Kim", "IIT Zorbia", "History", None, *none), (7, "Ann Lee", "University of Quux", "History", None, *none),
+        ],
+        IMPORT,
+    )
+    places = spark.createDataFrame([("p1", "Indian Institute of Technology Zorbia"), ("p2", "University of Quux"), ("p0", "Technology Zorbia Campus Institute")], "place string, institution string")
+    members = spark.createDataFrame([], "member_id long, orcid string, author_id string, place string, name string, email string")
+    pinned = spark.createDataFrame([(None, None, "Lee, Ann", "IIT Zorbia"), (None, None, "Di Hart", None), (None, None, "Ed Kim", "Somewhere Else")], "orcid string, author_id string, name string, institution string")
+    outcomes, unknown = runs.imported(rows, places, members, pinned)
+    assert {r.draft: (r.place, r.outcome) for r in outcomes.collect()} == {1: ("p1", "created"), 2: ("p1", "created"), 5: ("p1", "excludedRole"), 6: ("p1", "excludedDomain"), 7: ("p2", "excludedDomain")}
+    assert [r.row_id for r in unknown.collect()] == [3]
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        outcomes.explain("formatted")
+    assert "NestedLoop" not in out.getvalue()
+
+
+def test_reasons_of_exclusions(spark):
+    members = spark.createDataFrame([(1, "eligible", [], None, [], None), (2, "promoted", ["review-role"], None, [], "old")], "member_id long, status string, tags array<string>, department string, sources array<struct<type:string,title:string>>, exclusion_reason string")
+    out = spark.createDataFrame([(9, 1, "excludedRole", None, "role: b"), (3, 1, "excludedDomain", "X", "domain: X"), (4, 2, "excludedRole", None, "role: c")], "seq long, member long, outcome string, department string, reason string")
+    assert {r.member_id: (r.status, r.tags, r.exclusion_reason) for r in runs.excluded_if_known(out, members).collect()} == {1: ("excluded", [], "domain: X"), 2: ("promoted", ["review-role"], "old")}
+
+
+def test_pages_without_faculty(spark):
+    rows = [("Professor", "https://x/people", None, "professor"), (None, "https://x/faculty/list", None, "professor"), (None, "https://x/people", "Faculty", "professor"), (None, "https://x/visiting-faculty", None, "unknown"), (None, "https://x/faculty", "Retired faculty", "unknown"), (None, "https://x/people", None, "unknown"), ("PhD student", "https://x/faculty", None, "excluded"), (None, "https://x/faculty/staff/?p=1", None, "professor"), (None, "https://x/faculty/office", None, "unknown")]
+    df = spark.createDataFrame(rows, "title string, url string, label string, want string")
+    assert [r.c for r in df.select(roster.page_role(F.col("title"), F.col("url"), F.col("label"))["category"].alias("c")).collect()] == [r[3] for r in rows]
+
+
+def test_registry_and_employments_by_keys(spark):
+    cards = spark.createDataFrame(
+        [("p", "Ann", "IIT Zorbia", None, "Professor", None), ("p", "Bo", "Elsewhere", "now at iit zorbia, India", None, "2001 - 2030"), ("p", "Cy", "IIT Zorbia", None, "Professor", "(1986 - 2022)"), ("p", "Di", "Elsewhere", None, "Professor", None), ("p", "Ed", "IIT Zorbia", None, "PhD student", None), ("p", "Faculty", "IIT Zorbia", None, None, None), ("q", "Flo", "IIT Zorbia", None, None, None), ("p", "Gil", "Indian Institute of Technology", None, None, None), ("p", "Hal", "Technology", None, None, None)],
+        "place string, name string, institute string, card_text string, designation string, years string",
+    )
+    names = spark.createDataFrame([("p", "Indian Institute of Technology Zorbia", "ror1"), ("p", "IIT Zorbia", "ror1"), ("q", "University of Quux", "ror2")], "place string, name string, ror string")
+    got = {r["name"] for r in runs.registry_rows(cards, names.select("place", "name"), 2024).collect()}
+    assert {"Ann", "Bo"} <= got and not got & {"Cy", "Di", "Ed", "Faculty", "Flo", "Hal"}
+    jobs = spark.createDataFrame([("o1", "IIT Zorbia", None, None, None, 2020, True), ("o1", "IIT Zorbia", None, "Dean", "Chem", 2010, True), ("o1", "IIT Zorbia", None, "Head", None, 2023, False), ("o2", "Some Lab", "ROR2", "Fellow", None, None, True), ("o3", "Nowhere", None, "Dean", None, 2000, True)], "orcid string, organization string, org_id string, role string, department string, start_year int, current boolean")
+    assert sorted((r.place, r.orcid, r.role) for r in runs.employed_here(jobs, names).collect()) == [("p", "o1", "Dean"), ("q", "o2", "Fellow")]
