@@ -639,10 +639,36 @@ def test_sketches(docs):
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r.near_edited == pytest.approx(like(own, new)) and r.near_next == pytest.approx(like(own, nxt))
+        assert (r.only_own, r.only_edited) == (len(own - new), len(new - own))
         assert prints.setdefault(t, r.fingerprint) == r.fingerprint
+        # the returned strings are enough: each gives back its own digests, two of them their likeness
+        assert set(sketches.read(r.fingerprint)[1].tolist()) == own
+        assert sketches.alike(r.fingerprint, r.edited_fingerprint) == r.near_edited
+        assert sketches.alike(r.fingerprint, got[rows[(k + 1) % len(rows)][0]].fingerprint) == r.near_next
     assert len(set(prints.values())) == len(prints)
 
 
+def test_cells_grow_with_the_difference():
+    r = np.random.default_rng(6)
+    keys = r.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2)
+    at = lambda n: np.array([0, n])
+    a = np.sort(keys[:2000])
+    s, *own = sketches.fingerprints(a, at(2000))
+    assert set(own[0].tolist()) == set(a.tolist())
+    last = 0
+    for d in (0, 1, 4, 20, 100, 500, 2000):
+        b = np.sort(keys[d : 2000 + d])
+        t, *other = sketches.fingerprints(b, at(2000))
+        like, plus, minus, cells = sketches.likeness(s, t, tuple(own), tuple(other))
+        assert (plus[0], minus[0]) == (d, d) and like[0] == pytest.approx((2000 - d) / (2000 + d))
+        assert last <= cells[0] <= max(6, 16 * d) or (cells[0] == 0 and d > 1000)
+        last = cells[0] or last
+    half = s.folded(np.array([0]), s.power - 1)
+    whole = sketches.Sketches(s.power - 1)
+    whole.add(a, np.zeros(2000, np.int64), np.ones(2000, np.int32))
+    assert all((getattr(half, c) == getattr(whole, c)).all() for c in ("count", "keys", "check"))
+
+
 def test_sentencepieces(docs):
     sentencepiece = pytest.importorskip("sentencepiece")
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
