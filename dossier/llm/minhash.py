@@ -2,8 +2,11 @@
 
 The set of a document: its distinct shingles of `size` words (A-Z lower-cased, words between ASCII spaces); fewer words make one shingle, no word none.
 Documents of equal sets are one class at once (an aggregate, so a class of a third of all rows is one row a task). Classes that share a band bucket are
-first compared with the bucket's smallest one, and joined to components; buckets that still hold several components are compared in blocks of bounded
-size, so that no bucket is one task's work, no pair inside a component is ever made, and no link between components is left out.
+first compared with the bucket's smallest one, and joined to components. Buckets of up to BLOCK members that still hold several components are compared inside, pair by
+pair. The members of larger ones meet by a prefix filter instead, which leaves out no link: of two sets with so much in common each has one of the other's rarest
+n - ceil(percent n) + 1 shingles among its own, whatever order stands for rarity. The order is that of counts over all members in a table of bounded size. So members that
+share an opening and little else, however many, have no key in common. Members of a shingle's bucket are compared with the smallest one again, and only what then holds
+several components is compared in blocks of bounded size, so that no bucket is one task's work, no pair inside a component is ever made, and no link is left out.
 
 Nulls: a null or empty text has no shingles and is linked with nothing; a null doc_id stays alone with a null component. Repeated rows get the same
 answer each; an empty table gives an empty one; other columns are ignored.
@@ -25,8 +28,8 @@ from dossier.llm.common import cut, cut_small, frugal, lines, only_ids, prepare
 
 #: Hash functions; chances, at most, that a pair at the asked similarity shares no band, and that its signatures agree too seldom to be a candidate.
 HASHES, NO_BAND, UNLIKELY = 100, 1e-5, 1e-9
-#: Members of a bucket that one block holds.
-BLOCK = 256
+#: Members of a bucket that one block holds; counters of shingles that say which are rare.
+BLOCK, COUNTERS = 256, 1 << 17
 _random = np.random.default_rng(7)
 SLOPES = (_random.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 SHIFTS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -114,6 +117,44 @@ def _sets(size: int):
     return run
 
 
+def _slots(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(40)).astype(np.int64) % COUNTERS
+
+
+def _counted(size: int):
+    """How many sets of a task hold a shingle of each counter."""
+
+    def run(batches):
+        count = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            data, at = B.column(batch["text"])
+            for i, j in B.pieces(at):
+                for x in shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size):
+                    np.add.at(count, _slots(x), 1)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], names=["slot", "n"])
+
+    return run
+
+
+def rarest(x: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
+    """Of a set the shingles one of which each set with so much in common has as well: the first n - ceil(percent n / 100) + 1 by count, then by value."""
+    n = len(x) - -(-percent * len(x) // 100) + 1
+    return x[np.lexsort((x, count[_slots(x)]))[:n]] if len(x) else x
+
+
+def _prefixes(size: int, percent: int, count: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            data, at = B.column(batch["text"])
+            for i, j in B.pieces(at):
+                own = [rarest(x, count, percent).view(np.int64) for x in shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], size)]
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own)))], schema=SETS)
+
+    return run
+
+
 def _likely(percent: int):
     """Keeps pairs whose set sizes and signatures leave the similarity possible."""
     least = layout(percent)[2]
@@ -165,10 +206,11 @@ def _matrix(t: pa.Table, name: str, kind, width: int) -> np.ndarray:
 
 
 def _open_pairs(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block that may be links between components and share no earlier band than this bucket's."""
+    """Pairs of a block that may be links between components and share no earlier band than this bucket's (where members have their bands)."""
     bands_n, _, least = layout(percent)
     n, root, side = t["n"].to_numpy(), t["root"].to_numpy(), t["side"].to_numpy()
-    sig, bands = _matrix(t, "sig", np.uint8, HASHES), _matrix(t, "bands", np.int64, bands_n)
+    banded = len(t["bands"][0]) > 0
+    sig, bands = _matrix(t, "sig", np.uint8, HASHES), _matrix(t, "bands", np.int64, bands_n) if banded else None
     two = t["x"][0].as_py() != t["y"][0].as_py()
     i, j = (np.repeat(np.flatnonzero(side == 0), (side == 1).sum()), np.tile(np.flatnonzero(side == 1), (side == 0).sum())) if two else np.triu_indices(len(n), 1)
     ok = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
@@ -176,8 +218,8 @@ def _open_pairs(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     key, out = t["key"][0].as_py(), []
     for a in range(0, len(i), 8192):
         p, q = i[a : a + 8192], j[a : a + 8192]
-        same = bands[p] == bands[q]
-        out.append(((sig[p] == sig[q]).sum(1) >= least) & (bands[p, same.argmax(1)] == key))
+        own = bands[p, (bands[p] == bands[q]).argmax(1)] == key if banded else True
+        out.append(((sig[p] == sig[q]).sum(1) >= least) & own)
     ok = np.concatenate(out) if out else np.zeros(0, bool)
     return i[ok], j[ok]
 
@@ -225,6 +267,55 @@ def _verified(percent: int):
     return run
 
 
+def _confirmed(pairs: DataFrame, facts: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links: sizes and signatures first, then full sets."""
+    pairs = pairs.join(facts.select(F.col("rep").alias("a"), "n", "sig"), "a").join(facts.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("sig").alias("other")), "b")
+    pairs = cut(pairs.mapInArrow(_likely(percent), "a long, b long"))
+    ids = cut_small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = cut(only_ids(texts, ids).mapInArrow(frugal(_sets(size)), "doc_id long, grams array<long>"))
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return cut(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
+
+
+def _in_blocks(still: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components of the same bucket: key, rep, members, root, n, bands, sig of all its members, which are compared block by block."""
+    still = still.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    still = still.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    still = still.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "root", "n", "bands", "sig")
+    block = ["key", "x", "y"]
+    active = cut(still.repartition(*block).sortWithinPartitions(*block).mapInArrow(_active(percent), ACTIVE))
+    ids = cut_small(active.select(F.col("rep").alias("doc_id")).distinct())
+    sets = only_ids(texts, ids).mapInArrow(frugal(_sets(size)), "doc_id long, grams array<long>").withColumnRenamed("doc_id", "rep")
+    return cut(active.join(sets, "rep").select(*active.columns, "grams").repartition(*block).sortWithinPartitions(*block).mapInArrow(frugal(_verified(percent)), "a long, b long"))
+
+
+def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets (key, rep, members) that hold several components, with root."""
+    known = members.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", "members", F.coalesce("root", "rep").alias("root"))
+    mixed = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    return known.join(mixed, "key")
+
+
+def _by_prefixes(crowd: DataFrame, links: DataFrame, facts: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """links and all others among the classes of crowd (rep): buckets of rare shingles, compared with their smallest member, what still holds several components in blocks."""
+    few = only_ids(texts, cut_small(crowd.select(F.col("rep").alias("doc_id")).distinct()))
+    count = np.zeros(COUNTERS, np.int64)
+    for r in few.mapInArrow(frugal(_counted(size)), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # COUNTERS rows at most
+        count[r.slot] = r.n
+    keys = cut(few.mapInArrow(frugal(_prefixes(size, percent, count)), "doc_id long, grams array<long>").select(F.explode("grams").alias("key"), F.col("doc_id").alias("rep")))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("members")).where("members > 1")
+    members = cut(keys.join(shared, "key"))
+    found = components(links)
+    root = lambda c: F.coalesce(F.col(f"root_{c}"), F.col(c))
+    pairs = members.where("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    links = cut(links.unionByName(_confirmed(pairs.where(root("a") != root("b")).select("a", "b"), facts, texts, size, percent)))
+    still = _rooted(members, components(links)).join(facts.drop("bands"), "rep").withColumn("bands", F.array().cast("array<long>"))
+    return links.unionByName(_in_blocks(still, texts, size, percent))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and the columns to carry of each row: links where 100 * common >= percent * united shingles."""
     prepare(docs.sparkSession)
@@ -239,28 +330,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, carry: tu
     shared = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("members")).where("members > 1")
     members = cut(keys.join(shared, "key"))
 
-    pairs = members.where("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
-    pairs = pairs.join(facts.select(F.col("rep").alias("a"), "n", "sig"), "a").join(facts.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("sig").alias("other")), "b")
-    pairs = cut(pairs.mapInArrow(_likely(percent), "a long, b long"))
-    ids = cut_small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = cut(only_ids(texts, ids).mapInArrow(frugal(_sets(size)), "doc_id long, grams array<long>"))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = cut(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
+    links = _confirmed(members.where("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), facts, texts, size, percent)
     found = components(links)
 
-    known = members.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", "members", F.coalesce("root", "rep").alias("root"))
-    mixed = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    still = known.join(mixed, "key").join(facts, "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    still = still.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    still = still.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "root", "n", "bands", "sig")
-    block = ["key", "x", "y"]
-    active = cut(still.repartition(*block).sortWithinPartitions(*block).mapInArrow(_active(percent), ACTIVE))
-    ids = cut_small(active.select(F.col("rep").alias("doc_id")).distinct())
-    sets = only_ids(texts, ids).mapInArrow(frugal(_sets(size)), "doc_id long, grams array<long>").withColumnRenamed("doc_id", "rep")
-    late = cut(active.join(sets, "rep").select(*active.columns, "grams").repartition(*block).sortWithinPartitions(*block).mapInArrow(frugal(_verified(percent)), "a long, b long"))
+    still = cut(_rooted(members, found))
+    late = _in_blocks(still.where(F.col("members") <= BLOCK).join(facts, "rep"), texts, size, percent)
+    crowd = still.where(F.col("members") > BLOCK)
     if late.take(1):
-        found = components(links.unionByName(late))
+        links = cut(links.unionByName(late))
+        found = components(links)
+    if crowd.take(1):
+        found = components(_by_prefixes(crowd, links, facts, texts, size, percent))
 
     class_roots = classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"))
     out = base.select("doc_id", *carry, "n", "h1", "h2").join(class_roots, ["h1", "h2", "n"], "left")

@@ -208,6 +208,38 @@ def test_minhash_loses_no_link_at_any_percent(spark, percent, words, edits):
     assert got == components(s, percent) and len(set(got.values())) == 150
 
 
+@pytest.mark.parametrize("block", [2, 8])
+def test_minhash_in_crowded_buckets(spark, monkeypatch, block):
+    """Buckets of more members than a block go by rare shingles: the same answer as pair by pair."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = list(enumerate([*variants(60, 90, 1, 1), *variants(60, 90, 2, 3), *variants(20, 400, 3, 9), *pairs_apart(10, 130, 2)]))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components(sets(rows))
+
+
+def test_a_crowd_without_links_isn_t_compared_in_pairs(spark, monkeypatch):
+    """Two thousand classes that share three quarters of their words and lie in the same buckets, and two links among them: no block is filled by them."""
+    rng, opening = np.random.default_rng(4), " ".join(f"o{k}" for k in range(150))
+    rows = [(k, f"{opening} " + " ".join(f"x{k}y{i}" for i in range(30 + int(rng.integers(0, 8))))) for k in range(2000)]
+    rows += [(5000, rows[700][1] + " end"), (5001, rows[800][1] + " last")]
+    made = []
+    inner = minhash._in_blocks
+    monkeypatch.setattr(minhash, "_in_blocks", lambda still, *a: made.append(still.count()) or inner(still, *a))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k for k in range(2000)} | {5000: 700, 5001: 800}
+    assert len(made) == 2 and made[0] < 200 and made[1] == 0
+
+
+def test_rare_shingles_lose_no_pair():
+    rng, count = np.random.default_rng(9), np.random.default_rng(1).integers(0, 9, minhash.COUNTERS)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 60)), dtype=np.uint64))
+        y = np.unique(np.r_[x[rng.random(len(x)) > 0.1], rng.integers(0, 1 << 63, int(rng.integers(0, 8)), dtype=np.uint64)])
+        both = len(np.intersect1d(x, y))
+        if len(y) and 100 * both >= 85 * (len(x) + len(y) - both):
+            assert len(np.intersect1d(minhash.rarest(x, count, 85), minhash.rarest(y, count, 85)))
+
+
 @pytest.mark.parametrize("percent", [20, 50, 70, 80, 85, 95, 99, 100])
 def test_minhash_layout(percent):
     bands, rows, least = minhash.layout(percent)
