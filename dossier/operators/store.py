@@ -37,18 +37,55 @@ def set_fields(df: DataFrame, values: dict[str, Column | None]) -> DataFrame:
     return df
 
 
+def _merged(old: Column, new: Column | None, kind: T.StructType, patch: T.StructType | None, off, prefix: str) -> Column:
+    """One struct after another, field by field. Fields that the patch doesn't have stay as they are, but for what is unset."""
+    out = []
+    for f in kind:
+        path, own, inner = f"{prefix}{f.name}", old[f.name], None
+        theirs = patch[f.name] if patch is not None and f.name in patch.names else None
+        if isinstance(f.dataType, T.StructType):
+            inner = theirs.dataType if theirs is not None else None
+            if theirs is not None and not isinstance(inner, T.StructType):
+                raise ValueError(f"{path} is a struct")
+            value = _merged(own, new[f.name] if theirs is not None else None, f.dataType, inner, off, f"{path}.")
+        else:
+            value = F.coalesce(new[f.name].cast(f.dataType), own) if theirs is not None else own
+        out.append(F.when(~off(path), value).alias(f.name))
+    if patch is not None and (more := [n for n in patch.names if n not in kind.names]):
+        raise ValueError(f"{prefix}{more[0]} is no field of the table")
+    some = old.isNotNull() | (new.isNotNull() if new is not None else F.lit(False))
+    return F.when(some, F.struct(*out))
+
+
 def merge_patch(df: DataFrame, patch: DataFrame, key: str, unset: str | None = None) -> DataFrame:
-    """Rows of df with what the patch row of their key says: a null there leaves the value alone, a name in the list column `unset` empties it."""
+    """Rows of df with what the patch row of their key says, down to the fields of structs; the patch has one row a key.
+
+    A field has three ways to be in a patch: one that isn't there, in the patch's schema or by a null, leaves the value alone; a value takes its place (lists as a whole); and a path in the list
+    column `unset` (such as "place.city", or a whole struct) empties it, whatever else the patch says of it. A field that df doesn't have is an error."""
     fields = [c for c in patch.columns if c not in (key, unset)]
     p = patch.select(key, *(F.col(c).alias(f"__{c}") for c in fields), *([F.col(unset).alias("__unset")] if unset else []))
     off = (lambda c: F.coalesce(F.array_contains("__unset", c), F.lit(False))) if unset else (lambda c: F.lit(False))
-    new = {c: F.when(~off(c), F.coalesce(f"__{c}", c)) for c in fields}
-    return df.join(p, key, "left").select(*(new[c].alias(c) if c in new else F.col(c) for c in df.columns))
-
-
-def upsert(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """rows replace those of their key, other rows stay, new ones come. One shuffle by key."""
-    old, new = df.select(F.struct(*df.columns).alias("old"), F.col(key)), rows.select(F.struct(*df.columns).alias("new"), F.col(key))
+    if more := [c for c in fields if c not in df.columns]:
+        raise ValueError(f"{more[0]} is no field of the table")
+    out = []
+    for c in df.columns:
+        kind, theirs = df.schema[c].dataType, patch.schema[c].dataType if c in fields else None
+        new = F.col(f"__{c}") if c in fields else None
+        if c == key:
+            out.append(F.col(c))
+        elif isinstance(kind, T.StructType) and (unset or theirs is not None):
+            out.append(F.when(~off(c), _merged(F.col(c), new, kind, theirs, off, f"{c}.")).alias(c))
+        else:
+            out.append(F.when(~off(c), F.coalesce(new, F.col(c)) if new is not None else F.col(c)).alias(c) if unset or new is not None else F.col(c))
+    return df.join(p, key, "left").select(*out)
+
+
+def upsert(df: DataFrame, rows: DataFrame, key: str, seq: str | None = None) -> DataFrame:
+    """rows replace those of their key, other rows stay, new ones come. One shuffle by key. Of rows that have the same key the last by seq counts, the largest as a whole without it; their
+    columns have to be comparable then."""
+    whole = F.struct(*df.columns)
+    new = rows.groupBy(key).agg(F.max(F.struct(F.col(seq).alias("__seq"), whole.alias("new")) if seq else F.struct(whole.alias("new"))).alias("__x")).select(key, "__x.new")
+    old = df.select(F.struct(*df.columns).alias("old"), F.col(key))
     both = old.join(new, key, "full_outer")
     return both.select(F.when(F.col("new").isNotNull(), F.col("new")).otherwise(F.col("old")).alias("row")).select("row.*")
 

@@ -3,6 +3,7 @@ import pytest
 
 import dossier.plans.built  # noqa: F401
 import dossier.plans.found  # noqa: F401
+import dossier.plans.leads  # noqa: F401
 import dossier.plans.pages  # noqa: F401
 import dossier.plans.people  # noqa: F401
 import dossier.plans.runs  # noqa: F401
