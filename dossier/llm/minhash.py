@@ -2,11 +2,14 @@
 
 The set of a document: its distinct shingles of `size` words (A-Z lower-cased, words between ASCII spaces); fewer words make one shingle, no word none.
 Documents of equal sets are one class at once (an aggregate, so a class of a third of all rows is one row a task). Classes that share a band bucket are
-first compared with the bucket's smallest one, and joined to components. Buckets of up to BLOCK members that still hold several components are compared inside, pair by
-pair. The members of larger ones meet by a prefix filter instead, which leaves out no link: of two sets with so much in common each has one of the other's rarest
-n - ceil(percent n) + 1 shingles among its own, whatever order stands for rarity. The order is that of counts over all members in a table of bounded size. So members that
-share an opening and little else, however many, have no key in common. Members of a shingle's bucket are compared with the smallest one again, and only what then holds
-several components is compared in blocks of bounded size, so that no bucket is one task's work, no pair inside a component is ever made, and no link is left out.
+first compared with the bucket's smallest one, and joined to components. In buckets that still hold several components the members outside the largest one
+are compared with all others, block by block, if they are no more than a block.
+
+The members of other buckets meet by a prefix filter instead, which leaves out no link: of two sets with so much in common each has one of the other's
+rarest n - ceil(percent n) + 1 shingles among its own, whatever order stands for rarity. The order is that of counts over all members in a table of bounded
+size. So members that share an opening and little else, however many, have no key in common. Members of a shingle's bucket are compared with the smallest
+one again, and only what then holds several components is compared in blocks. No bucket is one task's work, no pair inside a component is ever made, and no
+link is left out.
 
 Nulls: a null or empty text has no shingles and is linked with nothing; a null doc_id stays alone with a null component. Repeated rows get the same
 answer each; an empty table gives an empty one; other columns are ignored.
@@ -279,9 +282,11 @@ def _confirmed(pairs: DataFrame, facts: DataFrame, texts: DataFrame, size: int,
 
 
 def _in_blocks(still: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between components of the same bucket: key, rep, members, root, n, bands, sig of all its members, which are compared block by block."""
-    still = still.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    still = still.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """Links between components of the same bucket: rows of _rooted with n, bands, sig. Members outside the largest component of a bucket, in blocks, meet one another and the blocks of that component."""
+    outside, inside = (F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int") for c in ("others", "most"))
+    at = F.xxhash64("rep")
+    still = still.withColumn("own", F.when(F.col("largest"), outside + F.pmod(at, inside)).otherwise(F.pmod(at, outside)).cast("int"))
+    still = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("largest"), outside).otherwise(outside + inside) - 1)))
     still = still.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "root", "n", "bands", "sig")
     block = ["key", "x", "y"]
     active = cut(still.repartition(*block).sortWithinPartitions(*block).mapInArrow(_active(percent), ACTIVE))
@@ -291,14 +296,25 @@ def _in_blocks(still: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
 
 def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets (key, rep, members) that hold several components, with root."""
-    known = members.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", "members", F.coalesce("root", "rep").alias("root"))
-    mixed = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    return known.join(mixed, "key")
+    """Members of buckets (key, rep) that hold several components, with root; whether that is the bucket's largest component, how many members that has (most), and how many are in others."""
+    known = members.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    each = known.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = each.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).where(F.col("all") > F.col("top.n"))
+    return known.join(mixed, "key").select("key", "rep", "root", (F.col("root") == F.col("top.root")).alias("largest"), F.col("top.n").alias("most"), (F.col("all") - F.col("top.n")).alias("others"))
+
 
+def _with_links(found: DataFrame, more: DataFrame) -> DataFrame:
+    """found (node, root) after more links: only the roots that they join are looked at again."""
+    edges = more
+    for c in ("a", "b"):
+        edges = edges.join(found.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}")), c, "left").withColumn(f"r_{c}", F.coalesce(f"r_{c}", c))
+    top = components(edges.select(F.col("r_a").alias("a"), F.col("r_b").alias("b")))
+    moved = found.join(top.select(F.col("node").alias("root"), F.col("root").alias("__r")), "root", "left").select("node", F.coalesce("__r", "root").alias("root"))
+    return cut_small(moved.unionByName(top))
 
-def _by_prefixes(crowd: DataFrame, links: DataFrame, facts: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """links and all others among the classes of crowd (rep): buckets of rare shingles, compared with their smallest member, what still holds several components in blocks."""
+
+def _by_prefixes(crowd: DataFrame, found: DataFrame, facts: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """found after all links among the classes of crowd (rep): buckets of rare shingles, compared with their smallest member, what still holds several components in blocks."""
     few = only_ids(texts, cut_small(crowd.select(F.col("rep").alias("doc_id")).distinct()))
     count = np.zeros(COUNTERS, np.int64)
     for r in few.mapInArrow(frugal(_counted(size)), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # COUNTERS rows at most
@@ -306,14 +322,15 @@ def _by_prefixes(crowd: DataFrame, links: DataFrame, facts: DataFrame, texts: Da
     keys = cut(few.mapInArrow(frugal(_prefixes(size, percent, count)), "doc_id long, grams array<long>").select(F.explode("grams").alias("key"), F.col("doc_id").alias("rep")))
     shared = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("members")).where("members > 1")
     members = cut(keys.join(shared, "key"))
-    found = components(links)
     root = lambda c: F.coalesce(F.col(f"root_{c}"), F.col(c))
     pairs = members.where("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     for c in ("a", "b"):
         pairs = pairs.join(found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    links = cut(links.unionByName(_confirmed(pairs.where(root("a") != root("b")).select("a", "b"), facts, texts, size, percent)))
-    still = _rooted(members, components(links)).join(facts.drop("bands"), "rep").withColumn("bands", F.array().cast("array<long>"))
-    return links.unionByName(_in_blocks(still, texts, size, percent))
+    links = _confirmed(pairs.where(root("a") != root("b")).select("a", "b"), facts, texts, size, percent)
+    found = _with_links(found, links) if links.take(1) else found
+    still = _rooted(members, found).join(facts.drop("bands"), "rep").withColumn("bands", F.array().cast("array<long>"))
+    late = _in_blocks(still, texts, size, percent)
+    return _with_links(found, late) if late.take(1) else found
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -334,13 +351,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, carry: tu
     found = components(links)
 
     still = cut(_rooted(members, found))
-    late = _in_blocks(still.where(F.col("members") <= BLOCK).join(facts, "rep"), texts, size, percent)
-    crowd = still.where(F.col("members") > BLOCK)
-    if late.take(1):
-        links = cut(links.unionByName(late))
-        found = components(links)
+    late = _in_blocks(still.where(F.col("others") <= BLOCK).join(facts, "rep"), texts, size, percent)
+    found = _with_links(found, late) if late.take(1) else found
+    crowd = still.where(F.col("others") > BLOCK)
     if crowd.take(1):
-        found = components(_by_prefixes(crowd, links, facts, texts, size, percent))
+        found = _by_prefixes(crowd, found, facts, texts, size, percent)
 
     class_roots = classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"))
     out = base.select("doc_id", *carry, "n", "h1", "h2").join(class_roots, ["h1", "h2", "n"], "left")
