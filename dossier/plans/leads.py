@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.operators import affiliation, store
+from dossier.operators import affiliation, fill, store
 from dossier.plans.queries import query, table
+from dossier.session import shared_folder
 
 HERE, ELSEWHERE = "Zorbia Tech", "Quuxland Poly"
 REGISTRY = "struct<directory_checked:boolean,directory_listed:boolean,directory_url:string,hits:array<struct<source:string,institution:string,profile_url:string,designation:string,department:string>>>"
@@ -64,3 +67,42 @@ def affiliation_patch(spark, sf_dir):
     patches = rows.select("c_custkey", patch.alias("p"), unset.alias("unset")).select("c_custkey", "unset", "p.*").select("c_custkey", "unset", own.alias("institution"))
     out = store.merge_patch(rows.select("c_custkey", "institution"), patches, "c_custkey", "unset")
     return out.select("c_custkey", "institution.name", "institution.id", "institution.country", "institution.department", "institution.affiliation.status", "institution.affiliation.source")
+
+
+def _gaps(spark, sf_dir) -> tuple[DataFrame, ...]:
+    """Customers as leads with gaps, suppliers as members of the roster, orders as employments of their customers, own records of every third customer, pages of every fifth."""
+    k, none, t = F.col("c_custkey"), F.lit(None).cast("string"), lambda name: table(spark, sf_dir, name)
+    some = lambda on, text: F.when(on, F.concat(F.lit(text), k))
+    leads = t("customer").select(k.alias("lead_id"), k.cast("string").alias("orcid"), F.lit(HERE).alias("institution"), F.concat(F.lit("p"), k).alias("profile_url"), some(k % 2 == 0, "own").alias("email"), F.when(k % 4 == 0, "Dean").otherwise("").alias("title"), none.alias("department"), none.alias("phone"), some(k % 7 == 0, "https://own").alias("website"))
+    s = F.col("s_suppkey")
+    members = t("supplier").select(s.alias("member_id"), F.when(s % 5 != 0, "promoted").otherwise("eligible").alias("status"), F.when(s % 6 != 0, s.cast("long")).alias("lead_id"), none.alias("profile_url"), F.when(s % 3 == 0, F.concat(F.lit("m"), s)).alias("email"), *(none.alias(c) for c in ("title", "department", "phone", "website")))
+    url = lambda u: F.struct(F.lit("x").alias("name"), u.alias("url"))
+    persons = t("customer").where(k % 3 == 0).select(k.cast("string").alias("orcid"), F.array(F.concat(F.lit("o"), k)).alias("emails"), F.array(url(F.lit("https://orcid.org/1")), url(F.concat(F.lit("https://site"), k))).alias("urls"))
+    o = F.col("o_orderkey")
+    jobs = t("orders").select(F.col("o_custkey").cast("string").alias("orcid"), o.alias("seq"), F.when(o % 2 == 0, HERE).otherwise(ELSEWHERE).alias("organization"), F.when(o % 3 == 0, "PhD student").otherwise("Professor").alias("role"), F.concat(F.lit("D"), o % 4).alias("department"), (F.col("o_orderstatus") != "F").alias("current"))
+    web = t("customer").where(k % 5 == 0).select(k.alias("lead_id"), F.concat(F.lit("w"), k).alias("email"), F.lit("Head").alias("title"), F.lit("").alias("department"), F.concat(F.lit("+"), k).alias("phone"), none.alias("website"))
+    return leads, members, persons, jobs, web
+
+
+_FILLED = f"""WITH j AS (SELECT o_custkey AS k, arg_min(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'Professor' END, o_orderkey) AS role, min_by('D' || o_orderkey % 4, o_orderkey) AS dep, min(o_orderkey) AS o FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus <> 'F' GROUP BY 1),
+h AS (SELECT k, CASE WHEN o % 3 = 0 THEN NULL ELSE 'Professor' END AS role, dep FROM j), w AS (SELECT DISTINCT s_suppkey AS k FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 6 <> 0),
+l AS (SELECT c_custkey AS k, w.k IS NOT NULL AS wanted, CASE WHEN c_custkey % 2 = 0 THEN 'own' || c_custkey END AS email, CASE WHEN c_custkey % 4 = 0 THEN 'Dean' END AS title, CASE WHEN c_custkey % 7 = 0 THEN 'https://own' || c_custkey END AS website,
+  CASE WHEN c_custkey % 3 = 0 THEN 'o' || c_custkey END AS o_email, h.role AS o_title, h.dep AS o_dep, CASE WHEN c_custkey % 3 = 0 THEN 'https://site' || c_custkey END AS o_site, c_custkey % 5 = 0 AS web FROM customer LEFT JOIN w ON w.k = c_custkey LEFT JOIN h ON h.k = c_custkey),
+f AS (SELECT k, CASE WHEN NOT wanted THEN '' ELSE array_to_string(list_filter([CASE WHEN email IS NULL AND o_email IS NOT NULL THEN 'email' END, CASE WHEN title IS NULL AND o_title IS NOT NULL THEN 'title' END, CASE WHEN o_dep IS NOT NULL THEN 'department' END, CASE WHEN website IS NULL AND o_site IS NOT NULL THEN 'website' END], lambda x: x IS NOT NULL), ',') END AS filled,
+  CASE WHEN NOT (wanted AND web) THEN '' ELSE array_to_string(list_filter([CASE WHEN email IS NULL AND o_email IS NULL THEN 'email' END, CASE WHEN title IS NULL AND o_title IS NULL THEN 'title' END, 'phone'], lambda x: x IS NOT NULL), ',') END AS from_web,
+  CASE WHEN wanted THEN coalesce(email, o_email, CASE WHEN web THEN 'w' || k END) ELSE email END AS email, CASE WHEN wanted THEN coalesce(title, o_title, CASE WHEN web THEN 'Head' END, '') ELSE coalesce(title, '') END AS title,
+  CASE WHEN wanted THEN o_dep END AS department, CASE WHEN wanted AND web THEN '+' || k END AS phone, CASE WHEN wanted THEN coalesce(website, o_site) ELSE website END AS website FROM l)"""
+
+
+@query(_FILLED + """ SELECT 'lead' AS kind, k AS id, filled, from_web, email, title, department, phone, website FROM f
+UNION ALL SELECT 'member', s_suppkey, '', '', coalesce(CASE WHEN s_suppkey % 3 = 0 THEN 'm' || s_suppkey END, CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 6 <> 0 THEN f.email END), CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 6 <> 0 THEN nullif(f.title, '') END,
+  CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 6 <> 0 THEN f.department END, CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 6 <> 0 THEN f.phone END, CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 6 <> 0 THEN f.website END FROM supplier LEFT JOIN f ON f.k = s_suppkey""")
+def fill_missing(spark, sf_dir):
+    """Leads and members after a fill, read back from the one version that both were written as: gaps from own records, then from pages, with the names of what was filled; members mirror their leads."""
+    leads, members, persons, jobs, web = _gaps(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/fill-{uuid.uuid4().hex}"
+    after, roster = fill.fill_missing(leads, members, persons, jobs, web)
+    fill.commit(spark, folder, leads=after, members=roster)
+    named = [F.array_join("filled", ",").alias("filled"), F.array_join("filled_from_web", ",").alias("from_web")]
+    out = fill.committed(spark, folder, "leads").select(F.lit("lead").alias("kind"), F.col("lead_id").alias("id"), *named, *fill.FIELDS)
+    return out.unionByName(fill.committed(spark, folder, "members").select(F.lit("member").alias("kind"), F.col("member_id").alias("id"), F.lit("").alias("filled"), F.lit("").alias("from_web"), *fill.FIELDS))
