@@ -3,7 +3,7 @@
 The set of a document: its distinct shingles of `size` words (A-Z lower-cased, words between ASCII spaces); fewer words make one shingle, no word none.
 Documents of equal sets are one class at once (an aggregate, so a class of a third of all rows is one row a task). Classes that share a band bucket are
 first compared with the bucket's smallest one, and joined to components. In buckets that still hold several components the members outside the largest one
-are compared with all others, block by block, if they are no more than a block.
+are compared with all others, block by block, if they are no more than CROWD; so a member is copied for a bounded number of blocks of those.
 
 The members of other buckets meet by a prefix filter instead, which leaves out no link: of two sets with so much in common each has one of the other's
 rarest n - ceil(percent n) + 1 shingles among its own, whatever order stands for rarity. The order is that of counts over all members in a table of bounded
@@ -31,8 +31,8 @@ from dossier.llm.common import cut, cut_small, frugal, lines, only_ids, prepare
 
 #: Hash functions; chances, at most, that a pair at the asked similarity shares no band, and that its signatures agree too seldom to be a candidate.
 HASHES, NO_BAND, UNLIKELY = 100, 1e-5, 1e-9
-#: Members of a bucket that one block holds; counters of shingles that say which are rare.
-BLOCK, COUNTERS = 256, 1 << 17
+#: Members of a bucket that one block holds; members outside its largest component up to which it is compared in blocks; counters of shingles that say which are rare.
+BLOCK, CROWD, COUNTERS = 256, 4096, 1 << 17
 _random = np.random.default_rng(7)
 SLOPES = (_random.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 SHIFTS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -313,8 +313,8 @@ def _with_links(found: DataFrame, more: DataFrame) -> DataFrame:
     return cut_small(moved.unionByName(top))
 
 
-def _by_prefixes(crowd: DataFrame, found: DataFrame, facts: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """found after all links among the classes of crowd (rep): buckets of rare shingles, compared with their smallest member, what still holds several components in blocks."""
+def _by_prefixes(crowd: DataFrame, found: DataFrame, links: DataFrame, facts: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """found after links and all others among the classes of crowd (rep): buckets of rare shingles, compared with their smallest member, what still holds several components in blocks."""
     few = only_ids(texts, cut_small(crowd.select(F.col("rep").alias("doc_id")).distinct()))
     count = np.zeros(COUNTERS, np.int64)
     for r in few.mapInArrow(frugal(_counted(size)), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():  # COUNTERS rows at most
@@ -326,7 +326,7 @@ def _by_prefixes(crowd: DataFrame, found: DataFrame, facts: DataFrame, texts: Da
     pairs = members.where("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     for c in ("a", "b"):
         pairs = pairs.join(found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    links = _confirmed(pairs.where(root("a") != root("b")).select("a", "b"), facts, texts, size, percent)
+    links = links.unionByName(_confirmed(pairs.where(root("a") != root("b")).select("a", "b"), facts, texts, size, percent))
     found = _with_links(found, links) if links.take(1) else found
     still = _rooted(members, found).join(facts.drop("bands"), "rep").withColumn("bands", F.array().cast("array<long>"))
     late = _in_blocks(still, texts, size, percent)
@@ -351,11 +351,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, carry: tu
     found = components(links)
 
     still = cut(_rooted(members, found))
-    late = _in_blocks(still.where(F.col("others") <= BLOCK).join(facts, "rep"), texts, size, percent)
-    found = _with_links(found, late) if late.take(1) else found
-    crowd = still.where(F.col("others") > BLOCK)
+    late = _in_blocks(still.where(F.col("others") <= CROWD).join(facts, "rep"), texts, size, percent)
+    crowd = still.where(F.col("others") > CROWD)
     if crowd.take(1):
-        found = _by_prefixes(crowd, found, facts, texts, size, percent)
+        found = _by_prefixes(crowd, found, late, facts, texts, size, percent)
+    elif late.take(1):
+        found = _with_links(found, late)
 
     class_roots = classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"))
     out = base.select("doc_id", *carry, "n", "h1", "h2").join(class_roots, ["h1", "h2", "n"], "left")

@@ -212,6 +212,7 @@ def test_minhash_loses_no_link_at_any_percent(spark, percent, words, edits):
 def test_minhash_in_crowded_buckets(spark, monkeypatch, block):
     """Buckets of more members than a block go by rare shingles: the same answer as pair by pair."""
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "CROWD", block)
     rows = list(enumerate([*variants(60, 90, 1, 1), *variants(60, 90, 2, 3), *variants(20, 400, 3, 9), *pairs_apart(10, 130, 2)]))
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == components(sets(rows))
@@ -222,6 +223,7 @@ def test_a_crowd_without_links_isn_t_compared_in_pairs(spark, monkeypatch):
     rng, opening = np.random.default_rng(4), " ".join(f"o{k}" for k in range(150))
     rows = [(k, f"{opening} " + " ".join(f"x{k}y{i}" for i in range(30 + int(rng.integers(0, 8))))) for k in range(2000)]
     rows += [(5000, rows[700][1] + " end"), (5001, rows[800][1] + " last")]
+    monkeypatch.setattr(minhash, "CROWD", 256)
     made = []
     inner = minhash._in_blocks
     monkeypatch.setattr(minhash, "_in_blocks", lambda still, *a: made.append(still.count()) or inner(still, *a))
