@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions import rules
 from dossier.functions.text import csv_cell
 from dossier.operators.lists import models_by_brand
 
@@ -49,6 +50,34 @@ def sheet_names(df: DataFrame, sheet: str = "sheet") -> DataFrame:
     return named.withColumn("name", F.when(again == 1, F.col("name")).otherwise(F.concat(F.substring("name", 1, 27), F.lit(" ("), again, F.lit(")")))).orderBy(F.desc("n"), sheet)
 
 
+def roster_columns(own_vendor: str = "own", own_label: str = "Own") -> dict[str, Column]:
+    """The columns of a roster export under their headers, in their order, from columns name, title, role, department, domain, institution, discovered_name, affiliation (struct of status, source, verified_at,
+    previous), outside_target, email, phone, website, profile_url, orcid, author_id, score, instruments (array of struct brand, model, vendor), topics, works, h_index, sources, status, tags, reasoning."""
+    c = F.col
+    joined = lambda items: F.array_join(F.array_distinct(items), "; ")
+    label = F.element_at(F.create_map(*(F.lit(x) for kv in rules.DOMAIN_LABELS.items() for x in kv)), c("domain"))
+    named = F.transform(F.filter("instruments", lambda i: F.coalesce(i["model"], F.lit("")) != ""), lambda i: F.concat_ws(" ", i["brand"], i["model"]))
+    own = F.when(F.exists("instruments", lambda i: F.coalesce(i["vendor"] == own_vendor, F.lit(False))), "yes").otherwise("")
+    return {
+        "Name": c("name"), "Title": c("title"), "Role": c("role"), "Department": c("department"), "Domain": label, "Institute": c("institution"), "Discovered at": c("discovered_name"), "Affiliation status": F.coalesce("affiliation.status", F.lit("unverified")),
+        "Affiliation source": c("affiliation.source"), "Affiliation checked": F.date_format("affiliation.verified_at", "yyyy-MM-dd"), "Previous institution": c("affiliation.previous"), "Outside target list": F.when(c("outside_target"), "yes").otherwise(""),
+        "Email": c("email"), "Phone": c("phone"), "Website": c("website"), "Profile": c("profile_url"), "ORCID": c("orcid"), "OpenAlex": c("author_id"), "Relevance": c("score"),
+        "Instrument brands": joined(F.transform("instruments", lambda i: i["brand"])), "Instrument models": joined(named), f"{own_label} customer": own, "Topics": F.array_join(F.slice("topics", 1, 8), "; "), "Works": c("works"), "h-index": c("h_index"),
+        "Sources": joined(c("sources")), "Status": c("status"), "Tags": F.array_join("tags", "; "), "Score reasoning": c("reasoning"),
+    }
+
+
+def roster_cell(c: Column) -> Column:
+    """A cell of the roster: as it is, in quotes where it has a comma, a quote or a line end; formulas are left as they are."""
+    text = c.cast("string")
+    return F.coalesce(F.when(text.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text), F.lit(""))
+
+
+def roster_export(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """One line of the roster a row, in `line`. The format csv_files of sources.targets writes the same columns as files with their header."""
+    return df.select(F.concat_ws(",", *map(roster_cell, columns.values())).alias("line"))
+
+
 def write_csv(df: DataFrame, columns: dict[str, Column], folder: str, guard: bool = True) -> None:
     """Part files of CRLF lines; the header is the caller's, as a file of its own."""
     flat_export(df, columns, guard).write.option("lineSep", "\r\n").text(folder)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.operators import affiliation, fill, store
+from dossier.operators import affiliation, fill, reports, store
 from dossier.plans.queries import query, table
 from dossier.session import shared_folder
 
@@ -106,3 +106,28 @@ def fill_missing(spark, sf_dir):
     named = [F.array_join("filled", ",").alias("filled"), F.array_join("filled_from_web", ",").alias("from_web")]
     out = fill.committed(spark, folder, "leads").select(F.lit("lead").alias("kind"), F.col("lead_id").alias("id"), *named, *fill.FIELDS)
     return out.unionByName(fill.committed(spark, folder, "members").select(F.lit("member").alias("kind"), F.col("member_id").alias("id"), F.lit("").alias("filled"), F.lit("").alias("from_web"), *fill.FIELDS))
+
+
+_DOMAINS = ["chemistry", "materials", "civil", "other"]
+_LABELS = ["Chemistry", "Materials / Metallurgy", "Civil Engineering (corrosion)", "Other"]
+
+
+@query(f"""WITH i AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS b FROM orders GROUP BY 1), m AS (SELECT c_custkey AS k, c_name, c_mktsegment AS seg, c_nationkey AS n, coalesce(b, []) AS b FROM customer LEFT JOIN i ON o_custkey = c_custkey)
+SELECT c_name || ',"Head, ""of"" ' || seg || '",professor,=Dept ' || n || ',' || ({_LABELS})[k % 4 + 1] || ',' || CASE WHEN k % 3 = 0 THEN '' ELSE 'Inst ' || n END || ',,' || CASE k % 3 WHEN 0 THEN 'unverified,,,' WHEN 1 THEN 'current,orcid,2024-01-02,' ELSE 'moved,registry,2024-01-02,Old' END || ','
+  || CASE WHEN k % 5 = 0 THEN 'yes' ELSE '' END || ',' || CASE WHEN k % 2 = 0 THEN 'e' || k || '@x' ELSE '' END || ',,,,' || CASE WHEN k % 7 = 0 THEN '0000' ELSE '' END || ',A' || k || ',' || CASE WHEN k % 4 = 0 THEN '' ELSE CAST(k % 101 AS VARCHAR) END || ','
+  || array_to_string(b, '; ') || ',' || array_to_string(list_transform(list_filter(b, lambda x: x = 'F'), lambda x: x || ' m1; ' || x || ' m2'), '; ') || ',' || CASE WHEN list_contains(b, 'O') THEN 'yes' ELSE '' END || ',t1; t2; t3; t4; t5; t6; t7; t8,' || k || ',' || n || ',orcid; openalex,eligible,a; b,"one
+two"' AS line FROM m""")
+def roster_export(spark, sf_dir):
+    """The export of a roster, all twenty-nine columns: labels, joined lists, yes or nothing, line ends in quotes, formulas as they are."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    item = lambda b, model, vendor: F.struct(b.alias("brand"), F.lit(model).cast("string").alias("model"), F.lit(vendor).cast("string").alias("vendor"))
+    both = lambda b: F.when(b == "F", F.array(*(item(b, m, "competitor") for m in ("m1", "m2", "m1")))).when(b == "O", F.array(item(b, None, "own"))).otherwise(F.array(item(b, "", None)))
+    seen = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.flatten(F.transform(F.array_sort(F.collect_set("o_orderstatus")), both)).alias("instruments"))
+    status = F.struct(F.when(k % 3 == 1, "current").otherwise("moved").alias("status"), F.when(k % 3 == 1, "orcid").otherwise("registry").alias("source"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("verified_at"), F.when(k % 3 == 2, "Old").alias("previous"))
+    rows = table(spark, sf_dir, "customer").join(seen, "c_custkey", "left").select(
+        F.col("c_name").alias("name"), F.concat(F.lit('Head, "of" '), "c_mktsegment").alias("title"), F.lit("professor").alias("role"), F.concat(F.lit("=Dept "), "c_nationkey").alias("department"), F.element_at(F.array(*map(F.lit, _DOMAINS)), (k % 4 + 1).cast("int")).alias("domain"),
+        F.when(k % 3 != 0, F.concat(F.lit("Inst "), "c_nationkey")).alias("institution"), F.when(k % 3 != 0, status).alias("affiliation"), (k % 5 == 0).alias("outside_target"), F.when(k % 2 == 0, F.concat(F.lit("e"), k, F.lit("@x"))).alias("email"), *(none.alias(c) for c in ("discovered_name", "phone", "website", "profile_url")),
+        F.when(k % 7 == 0, "0000").alias("orcid"), F.concat(F.lit("A"), k).alias("author_id"), F.when(k % 4 != 0, k % 101).alias("score"), F.coalesce("instruments", F.array().cast("array<struct<brand:string,model:string,vendor:string>>")).alias("instruments"),
+        F.array(*(F.lit(f"t{n}") for n in range(1, 11))).alias("topics"), k.alias("works"), F.col("c_nationkey").alias("h_index"), F.array(F.lit("orcid"), F.lit("openalex"), F.lit("orcid")).alias("sources"), F.lit("eligible").alias("status"), F.array(F.lit("a"), F.lit("b")).alias("tags"), F.lit("one\ntwo").alias("reasoning"),
+    )
+    return reports.roster_export(rows, reports.roster_columns())

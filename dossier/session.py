@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **more: str) -> SparkSession:
-    """UTC, adaptive plans with skew joins. A cluster's own settings win; master is for tests."""
+    """UTC, adaptive plans with skew joins, checkpoints that go when nothing refers to them. A cluster's own settings win; master is for tests."""
     builder = SparkSession.builder.appName("dossier")
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.showConsoleProgress": "false"} | more
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.showConsoleProgress": "false", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"} | more
     for k, v in settings.items():
         builder = builder.config(k, v)
     return (builder.master(master) if master else builder).getOrCreate()

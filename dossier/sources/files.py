@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -43,19 +45,39 @@ def by_alias(df: DataFrame, needed: tuple[str, ...] = ("name", "institution"), a
     return df.select(*out).dropna(subset=list(needed))
 
 
+#: An ampersand that begins no character reference that XML knows.
+_AMPERSAND = re.compile(r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)")
+
+
+def _parts(xml: str) -> tuple[list[ElementTree.Element], str | None]:
+    """The items of a feed and what is wrong with it. Bare ampersands and names of characters that XML doesn't know are read as text; of a feed that breaks off, the items before that are kept."""
+    for text in (xml, _AMPERSAND.sub("&amp;", xml)):
+        parser, found = ElementTree.XMLPullParser(["end"]), []
+        try:
+            parser.feed(text.lstrip())
+            parser.close()
+            problem = None
+        except ElementTree.ParseError as e:
+            problem = str(e)
+        try:
+            found = [e for _, e in parser.read_events() if isinstance(e.tag, str) and e.tag.rsplit("}", 1)[-1].lower() in ("item", "entry")]
+        except ElementTree.ParseError as e:
+            problem = str(e)
+        if problem is None:
+            return found, None
+    return found, problem
+
+
 def _entries(xml: str | None, limit: int) -> list[tuple]:
-    """title, link, summary, date of the items of a feed, whatever their namespace; a feed that is no XML has none."""
-    try:
-        root = ElementTree.fromstring(xml or "")
-    except ElementTree.ParseError:
-        return []
-    bare = lambda e: e.tag.rsplit("}", 1)[-1].lower() if isinstance(e.tag, str) else ""
+    """title, link, summary, date of the items of a feed. Only elements of the item's own namespace count, so what other vocabularies add (such as media:title) takes no part's place."""
     text = lambda e: " ".join(" ".join(e.itertext()).split()) if e is not None else None
     out = []
-    for item in [e for e in root.iter() if bare(e) in ("item", "entry")][:limit]:
+    for item in _parts(xml or "")[0][:limit]:
+        space = item.tag[: item.tag.rindex("}") + 1] if "}" in item.tag else ""
         parts: dict[str, ElementTree.Element] = {}
         for e in item.iter():
-            parts.setdefault(bare(e), e)
+            if isinstance(e.tag, str) and e.tag.startswith(space) and "}" not in e.tag[len(space) :]:
+                parts.setdefault(e.tag[len(space) :].lower(), e)
         first = lambda *names, parts=parts: next((parts[n] for n in names if n in parts), None)
         if title := text(first("title")):
             link = first("link")
@@ -64,6 +86,17 @@ def _entries(xml: str | None, limit: int) -> list[tuple]:
     return out
 
 
+def unread_feeds(feeds: DataFrame, key: str, xml: str) -> DataFrame:
+    """key and problem of feeds that couldn't be read to their end, mended or not."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["k"], pa.array([_parts(x or "")[1] for x in b["x"].to_pylist()], pa.string())], names=["k", "problem"])
+
+    rows = feeds.select(F.col(key).alias("k"), F.col(xml).alias("x")).where(F.coalesce(F.trim("x"), F.lit("")) != "")
+    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, problem string").where("problem is not null").withColumnRenamed("k", key)
+
+
 def feed_items(feeds: DataFrame, key: str, xml: str, limit: int = 30) -> DataFrame:
     """key, position, title, link, summary, published, names (after titles) of the items of RSS and Atom feeds; items without a title go."""
     kind = "array<struct<title:string,link:string,summary:string,date:string>>"
