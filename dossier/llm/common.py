@@ -5,12 +5,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.session import shared_folder
+
 #: Rows and bytes of one Arrow batch: a worker holds a batch, not a partition.
 BATCH_ROWS, BATCH_BYTES = "4096", str(4 << 20)
 #: Ids up to so many are broadcast (16 MB at most); more are joined by a shuffle.
@@ -21,12 +22,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bounds the Arrow batches and makes sure of a checkpoint folder that all executors share."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))  # one process, as in tests: its own folder
+    shared_folder(spark)
     return spark
 
 
@@ -50,8 +46,7 @@ def cut_small(df: DataFrame) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
-    prepare(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def frugal(run):
