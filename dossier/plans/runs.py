@@ -58,7 +58,7 @@ p AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 7 = 0),
 k AS (SELECT s_suppkey AS k FROM supplier UNION SELECT k FROM o UNION SELECT k FROM r UNION SELECT k FROM p),
 j AS (SELECT k.k, s.s_suppkey IS NOT NULL AND k.k % 3 <> 0 AS senior, s.s_suppkey IS NOT NULL AND k.k % 4 = 0 AS known, coalesce(o.domain, r.domain, CASE WHEN p.k IS NOT NULL THEN 'chemistry' END, 'other') AS domain,
   CASE WHEN o.role = 'excluded' AND p.k IS NULL AND coalesce({_RANK.format("r.role")}, 0) NOT IN (3, 4, 5) THEN CASE WHEN s.s_suppkey IS NOT NULL AND k.k % 3 <> 0 THEN 2 ELSE 6 END
-    ELSE greatest(CASE WHEN o.role = 'excluded' THEN 0 ELSE {_RANK.format("o.role")} END, CASE WHEN r.role = 'excluded' AND p.k IS NOT NULL THEN {_RANK.format("r.role")} ELSE {_RANK.format("r.role")} END, CASE WHEN p.k IS NOT NULL THEN 5 ELSE 0 END) END AS rank,
+    ELSE greatest(CASE WHEN o.role = 'excluded' THEN 0 ELSE {_RANK.format("o.role")} END, CASE WHEN r.role = 'excluded' AND o.role = 'excluded' AND p.k IS NOT NULL THEN 0 ELSE {_RANK.format("r.role")} END, CASE WHEN p.k IS NOT NULL THEN 5 ELSE 0 END) END AS rank,
   o.k IS NOT NULL AND h.k IS NOT NULL AS told
   FROM k LEFT JOIN supplier s ON s.s_suppkey = k.k LEFT JOIN o ON o.k = k.k LEFT JOIN r ON r.k = k.k LEFT JOIN p ON p.k = k.k LEFT JOIN h ON h.k = k.k),
 d AS (SELECT k, CASE WHEN rank = 6 THEN 'excludedRole' WHEN rank = 0 AND NOT senior THEN 'droppedUnconfirmed' WHEN domain NOT IN {_KEPT} AND NOT (told AND domain IN ('civil', 'mechanical')) THEN 'excludedDomain' WHEN known THEN 'updated' ELSE 'created' END AS outcome, domain FROM j)"""
