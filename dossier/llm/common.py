@@ -7,6 +7,7 @@ import ctypes
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,7 @@ def frugal(run):
     def wrapped(batches):
         yield from run(batches)
         gc.collect()
+        pa.default_memory_pool().release_unused()  # Arrow keeps freed batches in a pool of its own
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL(None).malloc_trim(0)
 
