@@ -13,9 +13,9 @@ from dossier.streaming import activity, incremental, threads
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a stream: its file (or files) under the folder of all tables."""
+    """The table as a stream: its file, or the files of its folder. Spark takes a plain path of a stream for a folder; one with a pattern may be either."""
     own = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(own).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(own).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
