@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dossier.session import cut
+from dossier.session import cut, spread
 
-#: Characters of a gram.
-GRAM = 4
+#: Characters of a gram: so many that few texts share one, so a key is compared with few texts that don't hold it.
+GRAM = 8
 
 
 def grams(key: Column, size: Column | int) -> Column:
@@ -25,14 +25,38 @@ def holders(keys: DataFrame, key: str, texts: DataFrame, text: str) -> DataFrame
     """key, text: each distinct key with each distinct text that holds it, equal ones too. Null and empty keys are in nothing. One small job counts the lengths below a gram."""
     own = cut(keys.select(F.col(key).alias("key")).where("key <> ''").distinct())
     held = cut(texts.select(F.col(text).alias("text")).where("text <> ''").distinct())
-    sizes = sorted(r[0] for r in own.select(F.least(F.length("key"), F.lit(GRAM)).alias("n")).distinct().collect())
-    if not sizes:
-        return own.crossJoin(held.limit(0))
-    pieces = held.select("text", F.explode(F.concat(*(grams(F.col("text"), n) for n in sizes))).alias("gram"))
+    sizes = _sizes(own)
+    return _holders(own, held, sizes) if sizes else own.crossJoin(held.limit(0))
+
+
+def holder_counts(keys: DataFrame, key: str, texts: DataFrame, text: str) -> DataFrame:
+    """key, n, first, last of each distinct key that stands in a text: how many distinct texts hold it, the first and the last of them.
+
+    Keys no longer than a gram are grams, and texts are counted by gram before they meet, so a key that most texts hold makes no pairs. Longer keys are counted from their pairs."""
+    own = cut(keys.select(F.col(key).alias("key")).where("key <> ''").distinct())
+    held = cut(texts.select(F.col(text).alias("text")).where("text <> ''").distinct())
+    told = [F.count("*").alias("n"), F.min("text").alias("first"), F.max("text").alias("last")]
+    short, long = own.where(F.length("key") <= GRAM), own.where(F.length("key") > GRAM)
+    out = spread(_pieces(held, _sizes(short)).groupBy(F.col("gram").alias("key")).agg(*told)).join(short, "key")
+    return out.unionByName(_holders(long, held, [GRAM]).groupBy("key").agg(*told)) if long.head(1) else out
+
+
+def _sizes(own: DataFrame) -> list[int]:
+    return sorted(r[0] for r in own.select(F.least(F.length("key"), F.lit(GRAM)).alias("n")).distinct().collect())
+
+
+def _pieces(held: DataFrame, sizes: list[int]) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return held.select("text", F.explode(F.concat(none, *(grams(F.col("text"), n) for n in sizes))).alias("gram"))
+
+
+def _holders(own: DataFrame, held: DataFrame, sizes: list[int]) -> DataFrame:
+    pieces = _pieces(held, sizes)
     many = pieces.groupBy("gram").agg(F.count("*").alias("n"))
     asked = own.select("key", F.explode(grams(F.col("key"), F.least(F.length("key"), F.lit(GRAM)))).alias("gram"))
-    rarest = asked.join(many, "gram", "left").groupBy("key").agg(F.min(F.struct("n", "gram")).alias("best"), F.count_if(F.col("n").isNull()).alias("nowhere")).where("nowhere = 0")
-    return rarest.select("key", F.col("best.gram").alias("gram")).join(pieces, "gram").where(F.contains("text", F.col("key"))).select("key", "text")
+    rarest = asked.join(spread(many), "gram", "left").groupBy("key").agg(F.min(F.struct("n", "gram")).alias("best"), F.count_if(F.col("n").isNull()).alias("nowhere")).where("nowhere = 0")
+    # the few keys of a gram stand on the right, where a merge keeps the rows of a key
+    return spread(pieces).join(rarest.select("key", F.col("best.gram").alias("gram")), "gram").where(F.contains("text", F.col("key"))).select("key", "text")
 
 
 def either_way(asked: DataFrame, key: str, known: DataFrame, known_key: str, least_words: int = 1) -> DataFrame:

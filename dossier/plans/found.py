@@ -42,8 +42,7 @@ def fuzzy_lists(spark, sf_dir):
 SELECT key, count(*) AS n, min(text) AS first, max(text) AS last FROM k JOIN t ON contains(text, key) GROUP BY key""")
 def key_holders(spark, sf_dir):
     """Which order numbers hold the number of a customer, as text: counted, with the first and the last."""
-    pairs = containment.holders(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k")), "k", table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("t")), "t")
-    return pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("text").alias("first"), F.max("text").alias("last"))
+    return containment.holder_counts(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k")), "k", table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("t")), "t")
 
 
 @query("""WITH a AS (SELECT DISTINCT lower(p_name || ' ' || p_type) AS key FROM part), k AS (SELECT s_suppkey AS place, CASE s_suppkey % 3 WHEN 0 THEN lower(p_name) WHEN 1 THEN lower(p_name || ' ' || p_type) ELSE lower(p_type || ' of ' || p_name || ' ' || p_type || ' ' || p_brand) END AS k FROM supplier JOIN part ON p_partkey = s_suppkey)

@@ -31,3 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder: steps that read it several times don't repeat what is above it."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is not to be broadcast. Spark guesses a size from that of the files, so it takes exploded lists and counts of what is packed tightly for small."""
+    return df.hint("merge")
