@@ -17,7 +17,7 @@ from dossier.functions import fuzzy
 from dossier.functions.text import fold
 from dossier.operators import order
 from dossier.operators.containment import holders
-from dossier.session import cut
+from dossier.session import cut, spread
 
 
 class Index:
@@ -61,7 +61,7 @@ def _beginnings(c: Column, least: int = 1) -> Column:
 
 def fitting(asked: DataFrame, words: DataFrame) -> DataFrame:
     """word, term, score: which of the distinct query words fit which of the distinct terms (term, people), and how well."""
-    ahead = asked.join(words.select("term", F.explode(_beginnings(F.col("term"))).alias("word")), "word").select("word", "term")
+    ahead = spread(words.select("term", F.explode(_beginnings(F.col("term"))).alias("word"))).join(asked, "word").select("word", "term")
     behind = asked.where("length(word) >= 4").select("word", F.explode(_beginnings(F.col("word"), 3)).alias("term")).join(words.select("term"), "term").select("word", "term")
     pieces = words.where("length(term) >= 3").select("term", F.explode(fuzzy.trigrams(F.col("term"))).alias("gram"))
     many = pieces.groupBy("gram").agg(F.count("*").alias("n"))
@@ -70,12 +70,12 @@ def fitting(asked: DataFrame, words: DataFrame) -> DataFrame:
     # at least one gram of the rarest n - m + 1 is shared; repeated grams of a word count once, so the edits are counted on the distinct ones
     needed = F.greatest(F.lit(1), F.least(F.ceil(n * fuzzy.SIMILAR_FROM), n - 3 * edits))
     own = asked.where("length(word) >= 4").withColumn("grams", fuzzy.trigrams(F.col("word"))).select("word", "grams", needed.cast("int").alias("needed"), F.explode("grams").alias("gram"))
-    ranked = own.join(many, "gram", "left").withColumn("place", F.row_number().over(W.partitionBy("word").orderBy(F.coalesce("n", F.lit(0)), "gram")))
+    ranked = own.join(spread(many), "gram", "left").withColumn("place", F.row_number().over(W.partitionBy("word").orderBy(F.coalesce("n", F.lit(0)), "gram")))
     probes = ranked.where(F.col("place") <= n - F.col("needed") + 1).select("word", "gram", n.alias("own"))
     length = F.length("term") - F.length("word")
     edited = F.abs(length) <= edits
     alike = (F.length("term") + 1 >= F.floor(F.col("own") * fuzzy.SIMILAR_FROM)) & (F.length("term") >= 4)
-    near = probes.join(pieces, "gram").where(edited | alike).select("word", "term")
+    near = spread(pieces).join(probes, "gram").where(edited | alike).select("word", "term")
     pairs = ahead.unionByName(behind).unionByName(near).distinct()
     return pairs.withColumn("score", ladder(F.col("word"), F.col("term"))).where("score > 0")
 
@@ -87,14 +87,15 @@ def scored(ix: Index, queries: DataFrame, query: str, least: float = fuzzy.LEAST
     pairs = cut(fitting(tokens.select("word").distinct(), ix.words))
     by_word = pairs.join(ix.words, "term").groupBy("word").agg(F.sum("people").alias("people"))
     found = tokens.join(by_word, "word", "left").groupBy("asked").agg(F.min(F.struct("people", "word")).alias("rarest"), F.count_if(F.col("people").isNull()).alias("nowhere")).where("nowhere = 0")
-    first = found.select("asked", F.col("rarest.word").alias("word")).join(pairs, "word").join(ix.terms, "term").select("asked", "person").distinct()
+    wanted = found.select("asked", F.col("rarest.word").alias("word")).join(pairs, "word")
+    first = spread(ix.terms).join(wanted, "term").select("asked", "person").distinct()
     words = tokens.join(pairs, "word")
-    best = first.join(ix.terms, "person").join(words, ["asked", "term"]).groupBy("asked", "person", "word").agg(F.max(F.col("score") * F.col("weight")).alias("best"))
+    best = spread(first).join(spread(ix.terms), "person").join(spread(words), ["asked", "term"]).groupBy("asked", "person", "word").agg(F.max(F.col("score") * F.col("weight")).alias("best"))
     best = best.where(F.col("best") >= fuzzy.LEAST_TOKEN).groupBy("asked", "person").agg(F.map_from_entries(F.collect_list(F.struct("word", "best"))).alias("best"))
-    fits = best.join(each, "asked").where(F.size("best") == F.size(F.array_distinct("tokens")))
+    fits = best.join(spread(each), "asked").where(F.size("best") == F.size(F.array_distinct("tokens")))
     total = F.aggregate("tokens", F.lit(0.0), lambda s, w: s + F.element_at("best", w))
     out = fits.select("asked", "person", (total / F.size("tokens")).alias("score"))
-    known = holders(each.where((F.length("asked") >= 3) & (F.size("tokens") > 0)), "asked", ix.ids, "code").join(ix.ids.withColumnRenamed("code", "text"), "text")
+    known = holders(each.where((F.length("asked") >= 3) & (F.size("tokens") > 0)), "asked", ix.ids, "code").join(spread(ix.ids.withColumnRenamed("code", "text")), "text")
     out = out.unionByName(known.select(F.col("key").alias("asked"), "person", F.lit(1.0).alias("score"))).groupBy("asked", "person").agg(F.max("score").alias("score"))
     blank = [r.asked for r in each.where(F.size("tokens") == 0).collect()]
     if blank:  # few: queries are made of letters and digits, and equal ones are one
@@ -109,8 +110,8 @@ def fuzzy_search(queries: DataFrame, query_id: str, query: str, people: DataFram
     rows = people.where(where) if where is not None else people
     found = cut(scored(index(rows, id_, name, others, ids), queries, query))
     totals = found.groupBy("asked").agg(F.count("*").alias("total"))
-    held = found.select(F.col("asked").alias("__asked"), F.col("person").alias("__person"), F.col("score").alias("__score")).join(rows, F.col("__person") == F.col(id_))
+    held = found.select(F.col("asked").alias("__asked"), F.col("person").alias("__person"), F.col("score").alias("__score")).join(spread(rows), F.col("__person") == F.col(id_))
     ranked = order.top_per_group(held, ["__asked"], [F.desc("__score"), *(ties or []), F.col("__person")], page * limit)
-    ranked = ranked.where(F.col("rank") > (page - 1) * limit).select(F.col("__asked").alias("asked"), F.col("__person").alias("person"), F.col("__score").alias("score"), "rank").join(totals, "asked")
+    ranked = ranked.where(F.col("rank") > (page - 1) * limit).select(F.col("__asked").alias("asked"), F.col("__person").alias("person"), F.col("__score").alias("score"), "rank").join(spread(totals), "asked")
     own = queries.select(query_id, F.trim(fold(F.coalesce(query, F.lit("")))).alias("asked"))
-    return own.join(ranked, "asked").select(query_id, F.col("person").alias(id_), "score", "rank", "total")
+    return own.join(spread(ranked), "asked").select(query_id, F.col("person").alias(id_), "score", "rank", "total")

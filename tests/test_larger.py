@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from dossier.operators import containment, search
 from dossier.plans import built, found, leads, pages, people, runs, streams  # noqa: F401
 from dossier.plans.queries import ORACLE_SQL, QUERIES
 
@@ -40,3 +41,31 @@ def table(spark, sf, name):
 @pytest.mark.parametrize(("name", "of"), [("thread_state", "conversations"), ("incremental_upsert", "events")])
 def test_streams_of_a_table_in_several_files(spark, sf, agrees, name, of):
     assert agrees(name, **{of: table(spark, sf, of).repartition(3)})
+
+
+def test_numbers_beyond_a_million(spark, sf, agrees):
+    part = table(spark, sf, "part")
+    far = part.where("p_partkey < 40").withColumn("p_partkey", F.col("p_partkey") + 1_000_000)
+    assert agrees("upsert_retire", part=part.unionByName(far))
+
+
+def test_counts_of_holders_are_those_of_the_pairs(spark):
+    """Keys shorter than a gram, as long and longer; a key that all texts hold."""
+    texts = spark.createDataFrame([(f"{k:012d}x{k % 7}",) for k in range(300)] + [("",), (None,)], "t string")
+    keys = spark.createDataFrame([(x,) for x in ("0", "00", "17", "99", "0000002", "00000025", "0000000250", "000000000250x5", "nowhere", "", None)], "k string")
+    pairs = sorted((k, t) for (k,) in keys.collect() for (t,) in texts.collect() if k and t and k in t)
+    assert sorted((r.key, r.text) for r in containment.holders(keys, "k", texts, "t").collect()) == pairs
+    want = sorted((k, len(x), min(x), max(x)) for k in {k for k, _ in pairs} for x in [[t for o, t in pairs if o == k]])
+    assert sorted(map(tuple, containment.holder_counts(keys, "k", texts, "t").collect())) == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_exploded_pieces_are_not_broadcast(spark, sf):
+    """Packed tables look small to Spark: no plan of these queries builds a broadcast of what is exploded from them."""
+    assert "BroadcastHashJoin" not in plan_of(QUERIES["key_holders"](spark, sf))
+    people = spark.range(100).select("id", F.concat(F.lit("Ann B"), "id").alias("name"))
+    found = search.scored(search.index(people, "id", "name", [], []), people.select("id", "name"), "name")
+    assert "BroadcastExchange" not in plan_of(found)
