@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
@@ -83,6 +84,24 @@ class _Page(HTMLParser):
         return [x for x in (" ".join(line.split()) for line in "".join(self.text).split("\n")) if x]
 
 
+#: Pages that are parsed between two results, so that a worker holds the parts of few pages whatever the size of Spark's batches.
+PAGES = 64
+
+
+def few(batches):
+    """Arrow batches in pieces of PAGES rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, PAGES):
+            yield b.slice(at, PAGES)
+
+
+def only_read(html: str | None, references: Iterable[str] | None) -> str | None:
+    """html in which no other character references than these (names or numbers such as #x27, each with its semicolon) are read; the rest is text. None: all, as browsers do."""
+    if references is None or not html:
+        return html
+    return re.sub(rf"&(?!(?:{'|'.join(map(re.escape, references))});)", "&amp;", html)
+
+
 def _parsed(html: str | None) -> _Page:
     page = _Page()
     page.feed(html or "")
@@ -91,12 +110,12 @@ def _parsed(html: str | None) -> _Page:
     return page
 
 
-def page_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, text: visible text, one line a block."""
+def page_text(pages: DataFrame, key: str = "page_id", html: str = "html", references: Iterable[str] | None = None) -> DataFrame:
+    """key, text: visible text, one line a block. references: see only_read."""
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["k"], pa.array(["\n".join(_parsed(x).lines()) for x in b["h"].to_pylist()], pa.string())], names=[key, "text"])
+        for b in few(batches):
+            yield pa.RecordBatch.from_arrays([b["k"], pa.array(["\n".join(_parsed(only_read(x, references)).lines()) for x in b["h"].to_pylist()], pa.string())], names=[key, "text"])
 
     return pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInArrow(run, f"{key} long, text string")
 
@@ -105,7 +124,7 @@ def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     """key, page_url, position, href, link, host, link_text of each link in its order."""
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             out = []
             for k, u, h in zip(b["k"].to_pylist(), b["u"].to_pylist(), b["h"].to_pylist(), strict=True):
                 for n, (href, text) in enumerate(_parsed(h).links):
@@ -189,7 +208,7 @@ def page_cards(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     """key, url, groups: elements of one tag and class that come LEAST_CARDS to MOST_CARDS times, as groups in the order of their first ones. labels: the texts that may be names, the most telling elements first."""
 
     def run(batches):
-        for b in batches:
+        for b in few(batches):
             out = []
             for h in b["h"].to_pylist():
                 parser = _Cards()

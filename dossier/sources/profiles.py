@@ -125,12 +125,12 @@ def _cut(url: str | None, html: str | None) -> list[dict]:
     return [{"path": p, "css": c, "link": x, "link_text": w, "text": t, "next_path": n[0], "next_text": n[4]} for (p, c, x, w, t), n in zip(page.found, after, strict=True)]
 
 
-def page_blocks(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key, blocks: the page's texts in their order, each with the elements and classes around it, its first link with that link's text, and the text after it."""
+def page_blocks(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", references: Iterable[str] | None = None) -> DataFrame:
+    """key, blocks: the page's texts in their order, each with the elements and classes around it, its first link with that link's text, and the text after it. references: see html.only_read."""
 
     def run(batches):
-        for b in batches:
-            cut = [_cut(u, h) for u, h in zip(b["u"].to_pylist(), b["h"].to_pylist(), strict=True)]
+        for b in H.few(batches):
+            cut = [_cut(u, H.only_read(h, references)) for u, h in zip(b["u"].to_pylist(), b["h"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["k"], pa.array(cut, pa.list_(BLOCK))], names=[key, "blocks"])
 
     return pages.select(F.col(key).cast("long").alias("k"), F.col(url).alias("u"), F.col(html).alias("h")).mapInArrow(run, f"{key} long, blocks {_SCHEMA}")
