@@ -44,8 +44,14 @@ def thread_state(spark, sf_dir):
 
 
 def _pieces(rows: DataFrame, folder: str, by: str, n: int) -> DataFrame:
-    """rows as a stream of n batches, one for each remainder of `by`."""
-    rows.withColumn("__n", (F.pmod(F.col(by), F.lit(n))).cast("int")).repartition(n, "__n").write.partitionBy("__n").parquet(folder)
+    """rows as a stream of n batches, one for each remainder of `by`. A task keeps a file open for each of its remainders, so it sorts nothing and holds no rows."""
+    conf, key = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    had = conf.get(key)
+    conf.set(key, str(n))
+    try:
+        rows.withColumn("__n", (F.pmod(F.col(by), F.lit(n))).cast("int")).repartition(n, "__n").write.partitionBy("__n").parquet(folder)
+    finally:
+        conf.set(key, had)
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
 
 

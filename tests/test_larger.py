@@ -1,14 +1,18 @@
 """Queries against their SQL on tables that the given ones don't have: folders of files, more keys, odd pages; and steps that must not grow with a group's square."""
 
 import os
+from itertools import groupby
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.operators import containment, search
+from dossier.operators import containment, lists, search
 from dossier.plans import built, found, leads, pages, people, runs, streams  # noqa: F401
 from dossier.plans.queries import ORACLE_SQL, QUERIES
+from dossier.sources import html
+from dossier.streaming import activity
 
 
 @pytest.fixture
@@ -69,3 +73,77 @@ def test_exploded_pieces_are_not_broadcast(spark, sf):
     people = spark.range(100).select("id", F.concat(F.lit("Ann B"), "id").alias("name"))
     found = search.scored(search.index(people, "id", "name", [], []), people.select("id", "name"), "name")
     assert "BroadcastExchange" not in plan_of(found)
+
+
+def test_who_never_ordered(spark, sf, agrees):
+    assert agrees("relevance_blend", orders=table(spark, sf, "orders").where("o_custkey % 3 > 0"))
+
+
+ODD = "<html><head><title>t &amp;&amp</title></head><body><h1>Say &quot;so&quot; &amp;lt; &lt;&amp;&amp</h1><p>a&quot;b&ampc &copy</p></body></html>"
+
+
+@pytest.mark.parametrize("name", ["html_text", "news_headlines", "profile_fields"])
+def test_references_that_are_cut(spark, sf, agrees, name):
+    pages = table(spark, sf, "pages")
+    assert agrees(name, pages=pages.limit(20).unionByName(pages.limit(1).withColumns({"page_id": F.lit(-1).cast(pages.schema["page_id"].dataType), "html": F.lit(ODD)})))
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark):
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1000))})
+    parts = list(html.few([batch]))
+    assert max(p.num_rows for p in parts) == html.PAGES and [k for p in parts for k in p["k"].to_pylist()] == list(range(1000))
+
+
+def test_no_more_authors_than_are_wanted_meet_the_questions(spark):
+    """One name that all share: 400 questions and 400 authors, two questions of one number with other names, ties by id."""
+    authors = spark.range(400).select(F.when(F.col("id") < 390, "a").otherwise("b").alias("key"), F.col("id").alias("author_id"), (F.col("id") % 9).alias("works"))
+    asked = spark.range(400).select(F.col("id").alias("q"), F.lit("a").alias("key")).unionByName(spark.createDataFrame([(7, "b"), (500, "c"), (501, None)], "q long, key string"))
+    out = lists.author_candidates(asked, authors, ["key"], "q", 3)
+    got = out.collect()
+    assert len(got) == 1200 and [r.author_id for r in sorted(got, key=lambda r: r["rank"]) if r.q == 7] == [8, 17, 26]
+    assert rows_of_joins(out) <= 401 * 3
+
+
+def rows_of_joins(df):
+    """The most rows that a join of the plan that ran has made."""
+    df.collect()
+    plan, most = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan]
+    while todo:
+        node = todo.pop()
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().get("numOutputRows").get().value())
+        todo += [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_equal_texts_are_looked_up_once(spark):
+    texts = spark.range(500).select("id", F.array(F.lit("ring"), F.lit("bolt"), F.lit("ring"), F.when(F.col("id") % 2 == 0, "wide").otherwise("narrow"), F.lit("on")).alias("w")).unionByName(spark.createDataFrame([(900, None), (901, ["on"])], "id long, w array<string>"))
+    products = spark.createDataFrame([(f"p{k}", ["ring", "wide"] if k % 2 else ["bolt", "on"]) for k in range(20)], "p string, t array<string>")
+    out = lists.best_products(texts, "id", F.col("w"), products, "p", F.col("t"), 2)
+    rows = {k: [(r.p, r.hits) for r in sorted(g, key=lambda r: r["rank"])] for k, g in groupby(sorted(out.collect(), key=lambda r: r.id), key=lambda r: r.id)}
+    assert len(rows) == 500 and rows[0] == [("p1", 2), ("p11", 2)] and rows[1] == [("p0", 1), ("p1", 1)]
+    assert rows_of_joins(out) <= 1000
+
+
+def test_runs_keep_their_sources_not_a_sketch(spark, tmp_path):
+    rows = [(k % 3, "2024-01-01 00:00:00", "created", None if k == 5 else f"s{k % 40}") for k in range(240)]
+    spark.createDataFrame(rows, "run int, at string, outcome string, source string").withColumn("at", F.to_timestamp("at")).write.parquet(str(tmp_path / "in"))
+    counts = activity.run_counts(spark.readStream.schema("run int, at timestamp, outcome string, source string").parquet(str(tmp_path / "in")), ["run"], "at", "outcome", "source", late="1 day")
+    assert "approx_count_distinct" not in counts._jdf.queryExecution().analyzed().toString()
+    assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    activity.appended(counts, str(tmp_path / "log"), str(tmp_path / "progress"), "update")
+    assert sorted((r.run, r.sources_run, r.candidates_found) for r in activity.last_runs(spark, str(tmp_path / "log"), ["run"]).collect()) == [(0, 40, 80), (1, 40, 80), (2, 40, 80)]
+
+
+def test_pieces_are_written_without_a_sort(spark, tmp_path):
+    """Each remainder is a file of its own; the plans that ran hold no sort."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    out = streams._pieces(spark.range(1000), str(tmp_path / "in"), "id", 4)
+    assert out.isStreaming and spark.conf.get(key) == before
+    store = spark._jsparkSession.sharedState().statusStore().executionsList()
+    ran = [x for x in (store.apply(k).physicalPlanDescription() for k in range(store.size())) if str(tmp_path) in x and "InsertIntoHadoopFsRelationCommand" in x]
+    assert ran and not any("Sort" in x for x in ran)
+    files = [[r.id % 4 for r in spark.read.parquet(str(p)).collect()] for p in (tmp_path / "in").rglob("*.parquet")]
+    assert sorted((len(f), f[0], len(set(f))) for f in files) == [(250, k, 1) for k in range(4)]
