@@ -35,6 +35,8 @@ def log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).drop("batch")
 
 
+#: Settings of the state of runs: on disk, and what RocksDB holds in memory bounded for all stores of an executor together.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
 #: What a run comes to.
 COUNTS = ["sources_run", "candidates_found", "leads_created", "duplicates_skipped", "errors"]
 
@@ -42,11 +44,14 @@ COUNTS = ["sources_run", "candidates_found", "leads_created", "duplicates_skippe
 def run_counts(rows: DataFrame, run: list[str], at: str, outcome: str, source: str, late: str | None = None, window: str = "1 day") -> DataFrame:
     """COUNTS of each run and window of time, with started, finished and duration_ms. outcome: created, duplicate, error or anything else; errors are no candidates.
 
-    late: how long after the newest row a row of a stream may still come; older ones are left out, and their state is given back. A run's sources are counted by a sketch of their
-    distinct names in a stream, which keeps no list (exact up to some thousands of them)."""
+    late: how long after the newest row a row of a stream may still come; older ones are left out, and their state is given back. The state of a stream lies in RocksDB, with a bound on
+    its memory, and holds of each run the distinct names of its sources, which are few: a sketch of them would take 13 kB a run."""
     rows = rows.withWatermark(at, late) if late else rows
     kind = F.col(outcome)
-    sources = F.approx_count_distinct(source, 0.01) if rows.isStreaming else F.count_distinct(source)
+    if rows.isStreaming:
+        for key, value in STATE.items():
+            rows.sparkSession.conf.set(key, value)
+    sources = F.size(F.collect_set(source)).cast("long") if rows.isStreaming else F.count_distinct(source)
     out = rows.groupBy(*run, F.window(at, window)).agg(
         sources.alias("sources_run"), F.count_if(F.coalesce(kind != "error", F.lit(True))).alias("candidates_found"), F.count_if(kind == "created").alias("leads_created"), F.count_if(kind == "duplicate").alias("duplicates_skipped"),
         F.count_if(kind == "error").alias("errors"), F.min(at).alias("started"), F.max(at).alias("finished"),
