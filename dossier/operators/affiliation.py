@@ -69,12 +69,13 @@ def with_affiliation(df: DataFrame, name: Column, id_: Column, registry: Column,
 
     The first source with a positive answer decides: a directory that lists the person; a registry's profile that names an institution (irins before others); an open employment, if the papers don't
     place the person here after it began; then what the latest papers say; else unverified. known: a map of institution keys to ids, for institutions that only have a name. What patterns
-    find is in columns of its own, so each name is looked at once."""
+    find is in columns of its own, so each name is looked at once. Rows are dealt out first: a small file of many rows would be the work of one task."""
     inst = lambda n: F.struct(F.lit(None).cast("string").alias("id"), n.alias("name"), F.lit(None).cast("array<string>").alias("lineage"))
     here = lambda n: same_institution(name, id_, inst(n), F.col("__key"))
     hits = F.filter(registry["hits"], lambda h: (h["source"] != "directory") & (F.coalesce(h["institution"], F.lit("")) != ""))
     first = lambda rows: F.get(rows, F.lit(0))
-    rows = df.withColumn("__key", expanded_institution_key(name)).withColumns({
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = dealt.withColumn("__key", expanded_institution_key(name)).withColumns({
         "__hit": F.coalesce(first(F.filter(hits, lambda h: h["source"] == "irins")), first(hits)), "__jobs": F.coalesce(F.filter(orcid["employments"], lambda e: e["current"]), F.filter(F.array(F.lit(None)).cast("array<struct<organization:string,role:string,department:string,start_year:int,current:boolean>>"), lambda e: e.isNotNull())),
         "__there": F.when(papers.isNotNull(), assessment(name, id_, papers["last_known"], papers["affiliations"], as_of_year, F.col("__key"))), "__listed": F.when(F.coalesce(registry["directory_checked"], F.lit(False)), F.coalesce(registry["directory_listed"], F.lit(False))),
         "__evidence": evidence(name, registry, orcid, papers),
