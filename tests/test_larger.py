@@ -147,3 +147,8 @@ def test_pieces_are_written_without_a_sort(spark, tmp_path):
     assert ran and not any("Sort" in x for x in ran)
     files = [[r.id % 4 for r in spark.read.parquet(str(p)).collect()] for p in (tmp_path / "in").rglob("*.parquet")]
     assert sorted((len(f), f[0], len(set(f))) for f in files) == [(250, k, 1) for k in range(4)]
+
+
+@pytest.mark.parametrize("name", ["verify_lead", "affiliation_patch"])
+def test_costly_rows_of_one_file_are_many_tasks(spark, sf, name):
+    assert "REPARTITION_BY_NUM" in plan_of(QUERIES[name](spark, sf))
