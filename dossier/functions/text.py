@@ -66,6 +66,11 @@ def fold(c: Column | str) -> Column:
     return F.lower(F.regexp_replace(bare, "[̀-ͯ]", ""))
 
 
+def once(c: Column, f) -> Column:
+    """f(c), where f reads c in several places and c is costly: it is worked out once a row."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\s ﻿]+", " "))
 
@@ -85,10 +90,13 @@ def ordered_name_key(c: Column | str) -> Column:
 
 def short_name_keys(c: Column | str) -> Column:
     """Initial of one end and the other end whole, if that has three letters at least: both ways, distinct."""
-    t = F.filter(F.split(ordered_name_key(c), " "), lambda x: x != "")
-    first, last = F.try_element_at(t, F.lit(1)), F.try_element_at(t, F.lit(-1))
-    pair = lambda whole, other: F.when((F.size(t) >= 2) & (F.length(whole) >= 3), F.concat(F.substring(other, 1, 1), F.lit(" "), whole))
-    return F.array_distinct(F.array_compact(F.array(pair(last, first), pair(first, last))))
+
+    def keys(t: Column) -> Column:
+        first, last = F.try_element_at(t, F.lit(1)), F.try_element_at(t, F.lit(-1))
+        pair = lambda whole, other: F.when((F.size(t) >= 2) & (F.length(whole) >= 3), F.concat(F.substring(other, 1, 1), F.lit(" "), whole))
+        return F.array_distinct(F.array_compact(F.array(pair(last, first), pair(first, last))))
+
+    return once(F.filter(F.split(ordered_name_key(c), " "), lambda x: x != ""), keys)
 
 
 def name_tokens(c: Column | str) -> Column:

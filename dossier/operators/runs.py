@@ -5,6 +5,8 @@ an institution in one task. Decisions and writes are columns and one join each."
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from dossier.functions import rules
 from dossier.functions.text import expanded_institution_key, name_key, short_name_keys
 from dossier.operators import containment, identity, roster
-from dossier.session import cut
+from dossier.session import cut, spread
 
 #: What a sighting may tell beside place, seq, source, name and orcid; all strings but the last ones.
 FACTS = ["author_id", "title", "department", "email", "phone", "website", "profile_url", "keywords", "bio"]
@@ -31,44 +33,67 @@ def sightings(df: DataFrame) -> DataFrame:
     return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
 
 
-def _matched(index: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with the draft of the same ORCID, else of the same name (the first one), else the only one that a short form of the name fits; none whose ORCID is another."""
-    by_orcid = index.where("orcid is not null").groupBy("place", "orcid").agg(F.min("draft").alias("d1"))
+#: What a sighting is matched by.
+KEYS = ["__row", "seq", "place", "orcid", "full", "short"]
+
+
+def _matched(index: DataFrame, rows: DataFrame, with_orcid: bool) -> DataFrame:
+    """rows with the draft of the same ORCID, else of the same name (the first one), else the only one that a short form of the name fits; none whose ORCID is another.
+
+    with_orcid: whether rows have one; those without aren't looked up by it, since all of a place would be one task."""
     by_name = index.where("full <> ''").groupBy("place", "full").agg(F.min(F.struct("draft", F.col("orcid").alias("o"))).alias("d2"))
     each = index.select("place", F.explode("short").alias("key"), F.struct("draft", F.col("orcid").alias("o")).alias("d"))
     short = each.groupBy("place", "key").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-    hits = rows.select("seq", "place", F.explode("short").alias("key")).join(short, ["place", "key"]).groupBy("seq").agg(F.min("low").alias("d3"), F.max("high").alias("high"))
-    hits = hits.where("d3.draft = high.draft").select("seq", "d3")
-    found = rows.join(by_orcid, ["place", "orcid"], "left").join(by_name, ["place", "full"], "left").join(hits, "seq", "left")
+    hits = rows.select("__row", "place", F.explode("short").alias("key")).join(spread(short), ["place", "key"]).groupBy("__row").agg(F.min("low").alias("d3"), F.max("high").alias("high"))
+    hits = hits.where("d3.draft = high.draft").select("__row", "d3")
+    if with_orcid:
+        by_orcid = index.where("orcid is not null").groupBy("place", "orcid").agg(F.min("draft").alias("d1"))
+        rows = rows.join(spread(by_orcid), ["place", "orcid"], "left")
+    else:
+        rows = rows.withColumn("d1", F.lit(None).cast("long"))
+    found = rows.join(spread(by_name), ["place", "full"], "left").join(spread(hits), "__row", "left")
     fits = lambda d: F.coalesce(F.col("orcid") == F.col(f"{d}.o"), F.lit(True))
     own = F.when(F.col("d1").isNotNull(), F.col("d1")).when(F.col("d2").isNotNull(), F.when(fits("d2"), F.col("d2.draft"))).when(F.col("d3").isNotNull() & fits("d3"), F.col("d3.draft"))
-    return found.withColumn("draft", own).drop("d1", "d2", "d3")
+    return found.select(*KEYS, own.alias("draft"))
 
 
 def drafted(seen: DataFrame, sources: list[str], listed: tuple[str, ...] = ("openalex",), parsed: tuple[str, ...] = PARSED) -> DataFrame:
     """Sightings with the draft that each belongs to (the smallest seq of its sightings), taken source by source; of a source those with an ORCID first.
 
     Rows of the sources `listed` are a person each; in those of `parsed` labels are no names. Of the rows that find the same draft without an ORCID, those of the ORCID that comes first
-    stay; another ORCID is another person. New rows of one step with the same ORCID, or without one and with the same name, are one person."""
+    stay; another ORCID is another person. New rows of one step with the same ORCID, or without one and with the same name, are one person.
+
+    Rows are dealt out first, for a small file of many rows would be the work of one task; their keys are worked out once, and only keys go from step to step."""
     label = F.col("source").isin(*parsed) & F.col("name").rlike(NOT_A_NAME)
-    rows = seen.where(~F.coalesce(label, F.lit(False))).withColumns({"full": name_key("name"), "short": short_name_keys("name")})
-    done = None
+    rows = seen.where(F.col("source").isin(*sources) & ~F.coalesce(label, F.lit(False)))
+    rows = cut(rows.repartition(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq").withColumn("__row", F.monotonically_increasing_id()))
+    keys = cut(rows.select("__row", "seq", "place", "orcid", "source", name_key("name").alias("full"), short_name_keys("name").alias("short")))
+    present = {tuple(r) for r in keys.select("source", F.col("orcid").isNotNull()).distinct().collect()}  # two a source at most
+    done = []
     for source in sources:
         for with_orcid in (True, False):
-            own = rows.where((F.col("source") == source) & (F.col("orcid").isNotNull() if with_orcid else F.col("orcid").isNull()))
-            if done is None or source in listed:
-                new = own.withColumn("draft", F.col("seq"))
+            if (source, with_orcid) not in present:
+                continue
+            own = keys.where((F.col("source") == source) & (F.col("orcid").isNotNull() if with_orcid else F.col("orcid").isNull())).select(*KEYS)
+            if source in listed or (source == sources[0] and with_orcid):
+                done.append(own.withColumn("draft", F.col("seq")))
+                continue
+            if done:
+                named, told = F.min(F.struct("seq", "place", "full", "short")).alias("x"), F.min_by("orcid", F.when(F.col("orcid").isNotNull(), F.col("seq"))).alias("orcid")
+                known = reduce(DataFrame.unionByName, done).groupBy("draft").agg(named, told).select("draft", "x.place", "x.full", "x.short", "orcid")
+                met = cut(_matched(known, own, with_orcid)) if with_orcid else _matched(known, own, with_orcid)
             else:
-                known = done.groupBy("draft").agg(F.min_by("place", "seq").alias("place"), F.min_by("full", "seq").alias("full"), F.min_by("short", "seq").alias("short"), F.min_by("orcid", F.when(F.col("orcid").isNotNull(), F.col("seq"))).alias("orcid"))
-                first = F.min("seq").over(W.partitionBy("place", F.coalesce("orcid", F.concat(F.lit("name:"), "full"))))
-                met = cut(_matched(known, own))
-                if with_orcid:
-                    # what found its draft by another key than the ORCID: the first ORCID takes the draft
-                    taken = met.where("draft is not null").groupBy("draft").agg(F.min_by("orcid", "seq").alias("__first"))
-                    met = met.join(taken, "draft", "left").withColumn("draft", F.when(F.col("orcid") == F.col("__first"), F.col("draft"))).drop("__first")
-                new = met.withColumn("draft", F.coalesce("draft", F.when(F.col("draft").isNull(), first)))
-            done = cut(new.select(*rows.columns, "draft") if done is None else done.unionByName(new.select(*rows.columns, "draft")))
-    return done
+                met = own.withColumn("draft", F.lit(None).cast("long"))
+            if with_orcid:
+                # what found its draft by another key than the ORCID: the first ORCID takes the draft
+                old = met.where("draft is not null")
+                taken = old.groupBy("draft").agg(F.min_by("orcid", "seq").alias("__first"))
+                old = old.join(spread(taken), "draft").withColumn("draft", F.when(F.col("orcid") == F.col("__first"), F.col("draft"))).drop("__first")
+                met = met.where("draft is null").unionByName(old)
+            first = F.min("seq").over(W.partitionBy("place", F.coalesce("orcid", F.concat(F.lit("name:"), "full"))))
+            done.append(cut(met.withColumn("draft", F.coalesce("draft", F.when(F.col("draft").isNull(), first)))))
+    drafts = reduce(DataFrame.unionByName, done).select("__row", "draft") if done else keys.select("__row", F.col("seq").alias("draft"))
+    return cut(rows.join(spread(drafts), "__row").drop("__row"))
 
 
 def people(assigned: DataFrame, as_of_year: int) -> DataFrame:

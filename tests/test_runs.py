@@ -101,6 +101,22 @@ def test_two_numbers_are_two_people(spark):
     assert {r.seq: r.draft for r in runs.drafted(seen(spark, rows), SOURCES).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 0, 5: 5}
 
 
+def test_sources_without_numbers(spark):
+    """No step is left out where the first source has nobody with an ORCID, or a source nobody at all; rows of other sources are nobody's."""
+    rows = [("registry", "Ann Lee"), ("registry", "Lee Ann"), ("faculty_page", "A. Lee"), ("faculty_page", "Bo Chen"), ("import", "Ann Lee")]
+    assert {r.seq: r.draft for r in runs.drafted(seen(spark, rows), ["registry", "orcid", "faculty_page"]).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    assert runs.drafted(seen(spark, rows[4:]), SOURCES).collect() == []
+
+
+def test_keys_of_sightings_are_worked_out_once(spark, monkeypatch):
+    """Rows are dealt out before their keys, and only one of the steps that are written has the patterns of keys in its plan."""
+    plans, cut = [], runs.cut
+    monkeypatch.setattr(runs, "cut", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or cut(df))
+    rows = [("openalex", "Ann Lee", "o1"), ("orcid", "Ann Lee", "o1"), ("registry", "A. Lee"), ("faculty_page", "Bo Chen")]
+    assert {r.seq: r.draft for r in runs.drafted(seen(spark, rows), SOURCES).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    assert [k for k, p in enumerate(plans) if "regexp_replace" in p] == [1] and "REPARTITION_BY_NUM" in plans[0]
+
+
 def test_own_keywords_open_a_gate(spark):
     rows = [("orcid", n, o, "Professor", d) for n, o, d in (("Ann Lee", "o1", "Civil Engineering"), ("Bo Chen", "o2", "Civil Engineering"), ("Cy Zorn", "o3", "History"), ("Di Hart", None, "Mechanical Engineering"))]
     persons = spark.createDataFrame([("o1", ["pitting corrosion"], ["a@x", "b@x"], [("h", "https://a")]), ("o3", ["potentiostat"], [], [])], "orcid string, keywords array<string>, emails array<string>, urls array<struct<name:string,url:string>>")
