@@ -97,7 +97,7 @@ def drafted(seen: DataFrame, sources: list[str], listed: tuple[str, ...] = ("ope
 
 
 def people(assigned: DataFrame, as_of_year: int) -> DataFrame:
-    """One row a draft: of each fact the first that a source tells, all keywords, the strongest role with its source and words, and whether the record speaks for seniority."""
+    """One row a draft: of each fact the first that a source tells, all keywords, the strongest role with its source and words, whether the record speaks for seniority, and the key of the name."""
     facts = ["place", "name", "orcid", *FACTS[:-2], "bio", *[c for c in RECORD if c not in ("role", "role_text")]]
     one = identity.first_values(assigned, "draft", "seq", facts)
     category = F.coalesce("role", F.when(F.col("title").isNotNull(), rules.role(F.col("title"))["category"]), F.lit("unknown"))
@@ -112,7 +112,12 @@ def people(assigned: DataFrame, as_of_year: int) -> DataFrame:
     words_of = F.when(F.col("stated.category") == "excluded", F.coalesce("stated.role_text", rules.excluded_match(F.col("stated.title")))).otherwise(F.col("stated.role_text"))
     out = out.withColumns({"senior": F.coalesce(senior, F.lit(False)), "stated_text": words_of})
     stale = roster.stale_student(F.col("stated.source"), F.col("stated_text"), F.col("first_year"), as_of_year)
-    return out.withColumns({"stale_title": F.coalesce(stale, F.lit(False)), "stated": F.coalesce("stated.category", F.lit("unknown"))})
+    return out.withColumns({"stale_title": F.coalesce(stale, F.lit(False)), "stated": F.coalesce("stated.category", F.lit("unknown")), "name_key": name_key("name")})
+
+
+def _key(drafts: DataFrame) -> Column:
+    """The key of a draft's name, as people has left it."""
+    return F.col("name_key") if "name_key" in drafts.columns else name_key("name")
 
 
 def _domain(drafts: DataFrame) -> DataFrame:
@@ -136,7 +141,7 @@ def decided(drafts: DataFrame, pinned: Column | None = None, infer: bool = True,
         asked = asked.withColumns({"words": F.concat_ws(" ", "words", F.concat_ws(" ", "__k")), "email": F.coalesce("email", "__e"), "website": F.coalesce("website", "__u")}).drop("__k", "__e", "__u")
         rows = rows.where(~F.coalesce(again, F.lit(False))).unionByName(choose(_domain(asked)))
     unnamed = F.struct(F.lit("droppedUnconfirmed").alias("outcome"), F.col("stated").alias("role"))
-    rows = rows.withColumn("decision", F.when(name_key("name") == "", unnamed).otherwise(F.col("decision")))
+    rows = rows.withColumn("decision", F.when(_key(drafts) == "", unnamed).otherwise(F.col("decision")))
     title = F.coalesce("title", "stated_text") if "stated_text" in rows.columns else F.col("title")
     by = F.col("decision.outcome")
     return rows.withColumn("reason", F.when(by == "excludedRole", F.concat(F.lit("role: "), F.coalesce(title, F.lit("")))).when(by == "excludedDomain", rules.domain_reason(F.col("domain.domain"), F.col("department"))))
@@ -147,7 +152,7 @@ def known_members(drafts: DataFrame, members: DataFrame) -> DataFrame:
     c = F.col
     keys = [
         ("orcid", [c("orcid")], [c("m_orcid")]), ("author", [c("author_id")], [c("m_author_id")]),
-        ("name", [c("place"), F.nullif(name_key("name"), F.lit(""))], [c("m_place"), F.nullif(name_key("m_name"), F.lit(""))]), ("email", [F.lower("email")], [F.lower("m_email")]),
+        ("name", [c("place"), F.nullif(_key(drafts), F.lit(""))], [c("m_place"), F.nullif(name_key("m_name"), F.lit(""))]), ("email", [F.lower("email")], [F.lower("m_email")]),
     ]
     known = members.select("member_id", *(c(k).alias(f"m_{k}") for k in ("orcid", "author_id", "place", "name", "email")))
     return identity.cascade(drafts, known, keys, "member_id", "member", "via")
@@ -200,8 +205,8 @@ def pinned_places(entries: DataFrame, places: DataFrame) -> DataFrame:
 
 def _pinned(drafts: DataFrame, pinned: DataFrame) -> DataFrame:
     c = F.col
-    named = lambda n: F.nullif(name_key(n), F.lit(""))
-    keys = [("orcid", [c("orcid")], [c("p_orcid")]), ("author", [c("author_id")], [c("p_author_id")]), ("here", [named("name"), c("place")], [named("p_name"), c("p_place")]), ("name", [named("name")], [F.when(c("p_place").isNull(), named("p_name"))])]
+    own, theirs = (F.nullif(k, F.lit("")) for k in (_key(drafts), name_key("p_name")))
+    keys = [("orcid", [c("orcid")], [c("p_orcid")]), ("author", [c("author_id")], [c("p_author_id")]), ("here", [own, c("place")], [theirs, c("p_place")]), ("name", [own], [F.when(c("p_place").isNull(), theirs)])]
     entries = pinned.select(*(c(k).alias(f"p_{k}") for k in ("orcid", "author_id", "name", "place"))).withColumn("entry", F.lit(1))
     return roster.pinned_by(drafts, entries, keys, "entry")
 

@@ -117,6 +117,16 @@ def test_keys_of_sightings_are_worked_out_once(spark, monkeypatch):
     assert [k for k, p in enumerate(plans) if "regexp_replace" in p] == [1] and "REPARTITION_BY_NUM" in plans[0]
 
 
+def test_the_key_of_a_name_is_read_from_its_draft(spark):
+    """Decisions and members look at the key that people has left, not at the name again."""
+    members = spark.createDataFrame([(1, None, None, "p", "Zed Quill", None)], "member_id long, orcid string, author_id string, place string, name string, email string")
+    drafts = runs.people(runs.drafted(seen(spark, [("registry", "Dr. Lee Ann", None, "Professor", "Chemistry")]), SOURCES), 2024)
+    assert drafts.first().name_key == "ann lee"
+    for key, want in (("ann lee", ("created", None)), ("quill zed", ("updated", 1)), ("", ("droppedUnconfirmed", None))):
+        got = runs.stored(runs.decided(drafts.withColumn("name_key", F.lit(key))), members).first()
+        assert (got.outcome, got.member) == want
+
+
 def test_own_keywords_open_a_gate(spark):
     rows = [("orcid", n, o, "Professor", d) for n, o, d in (("Ann Lee", "o1", "Civil Engineering"), ("Bo Chen", "o2", "Civil Engineering"), ("Cy Zorn", "o3", "History"), ("Di Hart", None, "Mechanical Engineering"))]
     persons = spark.createDataFrame([("o1", ["pitting corrosion"], ["a@x", "b@x"], [("h", "https://a")]), ("o3", ["potentiostat"], [], [])], "orcid string, keywords array<string>, emails array<string>, urls array<struct<name:string,url:string>>")
