@@ -121,14 +121,19 @@ def institution_key(c: Column | str) -> Column:
 
 
 def expanded(c: Column | str, abbreviations: list[tuple[str, str]] = ABBREVIATIONS, campuses: list[tuple[str, str]] = CAMPUSES) -> Column:
-    """Names with their short forms written out: campuses first, which are looked for only where a name may hold one."""
+    """Names with their short forms written out: campuses first. Each kind is looked for only where a name may hold one."""
     out = col(c)
     for short, full in campuses:
         out = F.regexp_replace(out, rf"(?<![A-Za-z0-9_]){short}(?![A-Za-z0-9_])", full)
     out = F.when(col(c).rlike(r"(?i)NIT|IIT"), out).otherwise(col(c))
-    for short, full in abbreviations:
-        out = F.regexp_replace(out, rf"(?i)(?<![A-Za-z0-9_]){short}(?![A-Za-z0-9_])", full)
-    return out
+
+    def written_out(name: Column) -> Column:
+        full_name = name
+        for short, full in abbreviations:
+            full_name = F.regexp_replace(full_name, rf"(?i)(?<![A-Za-z0-9_]){short}(?![A-Za-z0-9_])", full)
+        return F.when(name.rlike("(?i)" + "|".join(short for short, _ in abbreviations)), full_name).otherwise(name)
+
+    return once(out, written_out)
 
 
 def expanded_institution_key(c: Column | str) -> Column:

@@ -5,28 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.text import expanded_institution_key, institution_key
+from dossier.functions.text import expanded_institution_key, institution_key, once
 
 
 def same_institution(name: Column, id_: Column, other: Column, key: Column | None = None) -> Column:
     """By id, by the id of a unit's parents, or by names of which one holds the other. other: struct(id, name, lineage); key: the expanded key of name, where it is known."""
-    a, b = expanded_institution_key(name) if key is None else key, expanded_institution_key(other["name"])
+    a = expanded_institution_key(name) if key is None else key
     by_id = F.coalesce((id_ == other["id"]) | F.array_contains(other["lineage"], id_), F.lit(False))
-    return by_id | F.coalesce(F.contains(a, b) | F.contains(b, a), F.lit(False))
+    return by_id | F.coalesce(once(expanded_institution_key(other["name"]), lambda b: F.contains(a, b) | F.contains(b, a)), F.lit(False))
 
 
 def assessment(name: Column, id_: Column, last_known: Column, history: Column, as_of_year: int, key: Column | None = None) -> Column:
     """struct(status, name, id, last_seen). last_known: array of struct(id, name, lineage); history: the same with years."""
     ours = F.get(F.filter(history, lambda h: same_institution(name, id_, h, key)), F.lit(0))
-    here = F.coalesce(F.array_max(ours["years"]), F.lit(0))
-    still = F.filter(last_known, lambda k: same_institution(name, id_, k, key))
     first = F.get(last_known, F.lit(0))
     there = F.get(F.filter(history, lambda h: h["id"] == first["id"]), F.lit(0))
     year_there = F.when(there.isNull(), as_of_year).otherwise(F.coalesce(F.array_max(there["years"]), F.lit(0)))
-    status = F.when(F.size(still) > 0, "current").when(first.isNotNull(), F.when((here > 0) & (here >= year_there), "current").otherwise("moved")).when(here >= as_of_year - 2, "current").otherwise("unknown")
-    new_name = F.when(status == "current", name).when(status == "moved", first["name"])
-    new_id = F.when(status == "current", F.coalesce(id_, F.get(still, F.lit(0))["id"])).when(status == "moved", first["id"])
-    return F.struct(status.alias("status"), new_name.alias("name"), new_id.alias("id"), F.nullif(here, F.lit(0)).alias("last_seen"))
+    still = F.filter(last_known, lambda k: same_institution(name, id_, k, key))
+    found = F.struct(F.coalesce(F.array_max(ours["years"]), F.lit(0)).alias("here"), still.alias("still"), first.alias("first"), year_there.alias("year_there"))
+
+    def told(x: Column) -> Column:
+        here, still, first = x["here"], x["still"], x["first"]
+        status = F.when(F.size(still) > 0, "current").when(first.isNotNull(), F.when((here > 0) & (here >= x["year_there"]), "current").otherwise("moved")).when(here >= as_of_year - 2, "current").otherwise("unknown")
+        new_name = F.when(status == "current", name).when(status == "moved", first["name"])
+        new_id = F.when(status == "current", F.coalesce(id_, F.get(still, F.lit(0))["id"])).when(status == "moved", first["id"])
+        return F.struct(status.alias("status"), new_name.alias("name"), new_id.alias("id"), F.nullif(here, F.lit(0)).alias("last_seen"))
+
+    return once(found, told)
 
 
 #: What a source says of somebody.

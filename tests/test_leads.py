@@ -69,3 +69,9 @@ def test_evidence_decides_in_its_order(spark):
     assert [e.current for e in got["irins before vidwan"].a.evidence] == [False, True, True] and got["irins before vidwan"].a.evidence[1].detail == "Dean, Chem"
     assert got["old papers only"].unset == [f"institution.{x}" for x in ("name", "name_key", "id", "department", "country")] and got["papers elsewhere"].unset == ["institution.department"]
     assert got["listed wins"].unset == [] and got["listed wins"].patch.affiliation.status == "current" and got["papers elsewhere"].patch.name == E
+
+
+def test_names_of_papers_are_looked_at_once(spark):
+    """A list's names get their keys in one place of the assessment, however often it reads what they say."""
+    c = affiliation.assessment(F.col("name"), F.col("id"), F.col("last_known"), F.col("history"), 2024, F.col("key"))
+    assert str(c).count("Indian Institute of Information Technology") == 2
