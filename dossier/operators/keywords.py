@@ -15,6 +15,8 @@ PRODUCT_NOUNS = ["instrument", "platform", "device", "kit", "package", "system",
 SUBJECTS_WITH_DIGITS = ["battery", "cell", "electrode", "voltammetry"]
 QUALIFIERS = r"(?i)^(?:pico|go|mux|bt|smart|wearable|core|\d[a-z]?|[a-z]{1,3}\d*)$"
 BATCH, WORDS, TAGS, DESCRIPTION = 5, 4, 30, 400
+#: Rows of a task that makes them distinct.
+ROWS = 1 << 18
 
 
 def quoted(term: Column) -> Column:
@@ -82,11 +84,14 @@ def model_tokens(name: Column, model: str) -> Column:
 
 
 def distinctive_tags(products: DataFrame, product: str, tags: str, least_words: int = 2) -> DataFrame:
-    """tag, n of tags of several words that no more than a third of the products (or three) have: one count a tag, one number for the ceiling."""
-    ceiling = products.agg(F.greatest(F.lit(3), F.floor(F.countDistinct(product) / 3)).alias("ceiling"))
-    each = products.select(product, F.explode(F.array_distinct(F.transform(tags, lambda t: F.lower(F.trim(t))))).alias("tag")).distinct()
+    """tag, n of tags of several words that no more than a third of the products (or three) have: one count a tag, one number for the ceiling.
+
+    Tags are dealt out by product and tag before they are made distinct, about ROWS to a task, so what a task holds doesn't grow with the table; for that they are counted first."""
+    size = products.agg(F.countDistinct(product).alias("products"), F.sum(F.greatest(F.size(tags), F.lit(0)).cast("long")).alias("rows")).first()
+    tasks = max(int(products.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size.rows or 0) // ROWS))
+    each = products.select(product, F.explode(F.array_distinct(F.transform(tags, lambda t: F.lower(F.trim(t))))).alias("tag")).repartition(tasks, product, "tag").distinct()
     counts = each.groupBy("tag").agg(F.count("*").alias("n")).where((F.col("tag") != "") & (F.size(F.split("tag", r"\s+")) >= least_words))
-    return counts.join(F.broadcast(ceiling), F.col("n") <= F.col("ceiling")).select("tag", "n")
+    return counts.where(F.col("n") <= max(3, size.products // 3)).select("tag", "n")
 
 
 def phrase_batches(phrases: DataFrame, phrase: str, order: list[str], size: int = BATCH) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.operators import containment, lists, search
+from dossier.operators import containment, keywords, lists, search
 from dossier.plans import built, found, leads, pages, people, runs, streams  # noqa: F401
 from dossier.plans.queries import ORACLE_SQL, QUERIES
 from dossier.sources import html
@@ -152,3 +152,15 @@ def test_pieces_are_written_without_a_sort(spark, tmp_path):
 @pytest.mark.parametrize("name", ["verify_lead", "affiliation_patch"])
 def test_costly_rows_of_one_file_are_many_tasks(spark, sf, name):
     assert "REPARTITION_BY_NUM" in plan_of(QUERIES[name](spark, sf))
+
+
+def test_tags_are_dealt_out_before_they_are_made_distinct(spark, sf, monkeypatch):
+    """No set of pairs is built in the tasks that read a file; tasks are as many as rows ask for; rows that occur twice, null lists and null tags count as ever."""
+    plan = plan_of(QUERIES["distinctive_tags"](spark, sf))
+    assert plan.rindex("HashAggregate") < plan.index("REPARTITION_BY_NUM") and "SortMergeJoin" not in plan
+    monkeypatch.setattr(keywords, "ROWS", 10)
+    rows = [(k % 40, [f"Own {k % 40}", " own  x ", f"of {k % 2}", "single", "", None]) for k in range(80)] + [(99, None), (98, [])]
+    out = keywords.distinctive_tags(spark.createDataFrame(rows, "id int, tags array<string>"), "id", "tags")
+    assert "REPARTITION_BY_NUM" in plan_of(out) and ", 48), REPARTITION_BY_NUM" in plan_of(out)
+    assert sorted(map(tuple, out.collect())) == sorted((f"own {k}", 1) for k in range(40))
+    assert keywords.distinctive_tags(spark.createDataFrame([], "id int, tags array<string>"), "id", "tags").collect() == []
