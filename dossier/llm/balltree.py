@@ -224,7 +224,7 @@ def search(ix: Index, queries: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("qkey").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     found = spark.createDataFrame([], FOUND)
     stops = sorted({min(x, len(ix.clusters)) for x in (*np.cumsum(ROUNDS).tolist(), len(ix.clusters))} - {0})
-    for first, stop in zip([0, *stops[:-1]], stops, strict=True):
+    for first, stop in zip([0, *stops], stops, strict=False):
         kth = found.where(F.col("rank") == k).select("qkey", F.col("score").alias("least")) if "rank" in found.columns else found.select("qkey", F.col("score").alias("least"))
         routed = asked.join(kth, "qkey", "left").mapInArrow(_routes(ix, first, stop), "cluster int, sub int, qkey long, query_id long, e array<long>, least long")
         more = V.meet(ix.trees, routed, ["cluster", "sub"]).mapInArrow(frugal(_searched(ix.shape, k)), FOUND)
