@@ -125,7 +125,8 @@ def mine(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
     slots = V.meet(held, away, ["bucket", "sub"]).mapInArrow(frugal(_scored(s, positives, False, negatives)), FOUND)
     slots = slots.withColumn("place", F.row_number().over(best("akey", "slot"))).where(F.col("place") <= negatives)
 
-    item = F.struct((-F.col("score")).alias("down"), F.col("vec_id").isNull().alias("void"), F.col("vec_id"), F.col("score"))
+    # the complement turns the order round as the negative does, but has no overflow at the lowest score
+    item = F.struct(F.bitwise_not("score").alias("down"), F.col("vec_id").isNull().alias("void"), F.col("vec_id"), F.col("score"))
     by = slots.groupBy("akey").agg(*(F.collect_list(F.when(F.col("slot") == j, item)).alias(f"s{j}") for j in range(positives)))
     for j in reversed(range(positives)):
         below = [F.col(f"s{j}"), *([F.col(f"w{j + 1}")] if j + 1 < positives else [])]
