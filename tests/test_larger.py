@@ -104,6 +104,17 @@ def test_no_more_authors_than_are_wanted_meet_the_questions(spark):
     assert rows_of_joins(out) <= 401 * 3
 
 
+def test_every_question_gets_its_authors(spark, agrees, tmp_path):
+    """Customers of any number, one that comes twice, one with two places, two without a number; places that nobody shares and none; more and fewer than five authors, ties by number."""
+    asked = [(k, k % 4) for k in range(1, 41)] + [(7, 3), (8, 1), (None, 2), (None, 2), (41, 9), (42, None)]
+    known = [(k, 0 if k < 3 else k % 3 + 1, None if k == 20 else float(k % 5)) for k in range(1, 31)] + [(31, None, 9.0), (32, 8, 9.0)]
+    customer = spark.createDataFrame(asked, "c_custkey long, c_nationkey int")
+    assert agrees("author_candidates", customer=customer, supplier=spark.createDataFrame(known, "s_suppkey long, s_nationkey int, s_acctbal double"))
+    first = {n: sorted((k for k, m, _ in known if m == n), key=lambda k: (k == 20, -(k % 5), k))[:5] for n in range(4)}
+    got = QUERIES["author_candidates"](spark, str(tmp_path / "in")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((c, a, place)) for c, n in asked for place, a in enumerate(first.get(n, []), 1))
+
+
 def rows_of_joins(df):
     """The most rows that a join of the plan that ran has made."""
     df.collect()
